@@ -13,8 +13,15 @@ def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFram
     """
     others = [name for name in titles.columns if name not in (companies, "genres")]
     return (
+        # The length is taken first, so that the list isn't copied into every row.
         titles.where(F.size(companies) > 0)
-        .select(*others, F.size(companies).alias("n_companies"), F.explode(companies).alias("_company"))
-        .select(*others, "n_companies", F.col("_company.id").alias("company_id"), F.col("_company.name").alias("company"))
+        .select(*others, F.size(companies).alias("n_companies"), companies)
+        .select(*others, "n_companies", F.explode(companies).alias("_company"))
+        .select(
+            *others,
+            "n_companies",
+            F.col("_company.id").alias("company_id"),
+            F.col("_company.name").alias("company"),
+        )
         .where("company <> ''")
     )

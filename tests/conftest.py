@@ -52,6 +52,7 @@ def spark(tmp_path_factory):
         spark__sql__shuffle__partitions="4",
         spark__sql__warehouse__dir=str(warehouse),
         spark__driver__memory="4g",
+        spark__sql__maxMetadataStringLength="2000",
     )
     built.sparkContext.setLogLevel("ERROR")
     yield built
