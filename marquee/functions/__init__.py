@@ -1,4 +1,12 @@
-from marquee.functions.entities import NAME_PATTERNS, entities_status, names_by_pattern, parse_entities
+from marquee.functions.entities import (
+    NAME_PATTERNS,
+    entities,
+    entities_status,
+    names_by_pattern,
+    parse_entities,
+    read_records,
+    status,
+)
 from marquee.functions.lenient import (
     blank_to_null,
     lenient_date,
@@ -23,6 +31,7 @@ __all__ = [
     "band",
     "blank_to_null",
     "capped_bucket",
+    "entities",
     "entities_status",
     "fraction",
     "lenient_date",
@@ -34,7 +43,9 @@ __all__ = [
     "period_of_date",
     "period_of_year",
     "prorate",
+    "read_records",
     "return_on_investment",
+    "status",
     "strip_space",
     "year_of_text",
 ]

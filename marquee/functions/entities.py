@@ -26,8 +26,14 @@ def _as_json(text: Column) -> Column:
     return F.regexp_replace(text, r",\s*\]\s*$", "]")
 
 
-def _records(text: Column) -> Column:
-    readable = text.rlike(r"^\s*\[") & text.rlike(r"\]\s*$") & ~text.rlike(r"(?<!\\)(?:\\\\)*\\[UN]")
+def read_records(text: Column) -> Column:
+    """The records as they stand, ``id`` being text; null where there is no readable list."""
+    readable = (
+        text.rlike(r"^\s*\[")
+        & text.rlike(r"\]\s*$")
+        # Escapes that JSON has no short form for.
+        & ~text.rlike(r"(?<!\\)(?:\\\\)*\\[UN]")
+    )
     json = _as_json(text)
     records = F.from_json(json, f"array<{_RECORD}>", _JSON)
     # A list that also holds other things than records: keep the records.
@@ -36,25 +42,24 @@ def _records(text: Column) -> Column:
     return F.when(readable, F.coalesce(records, mixed))
 
 
-def parse_entities(text: Column, named_only: bool = True) -> Column:
-    """``array<struct<id:bigint,name:string>>``; anything unreadable is an empty array.
+def entities(records: Column, named_only: bool = True) -> Column:
+    """``array<struct<id:bigint,name:string>>`` of the records, empty for null.
 
     ``named_only`` drops records without a name; without it every record counts.
     """
-    records = F.filter(_records(text), lambda r: r.isNotNull())
+    present = F.filter(records, lambda r: r.isNotNull())
     if named_only:
-        records = F.filter(records, lambda r: F.coalesce(r["name"], F.lit("")) != "")
+        present = F.filter(present, lambda r: F.coalesce(r["name"], F.lit("")) != "")
     typed = F.transform(
-        records,
+        present,
         lambda r: F.struct(r["id"].try_cast("bigint").alias("id"), r["name"].alias("name")),
     )
     return F.coalesce(typed, F.array().cast("array<struct<id:bigint,name:string>>"))
 
 
-def entities_status(text: Column) -> Column:
+def status(text: Column, records: Column) -> Column:
     """``ok``, ``empty`` (nothing was stated) or ``unreadable`` (goes to quarantine)."""
     plain = F.trim(F.coalesce(text, F.lit("")))
-    records = _records(text)
     odd_id = F.exists(records, lambda r: r["id"].isNotNull() & r["id"].try_cast("bigint").isNull())
     return (
         F.when(F.lower(plain).isin("", "nan", "false", "none", "null"), F.lit("empty"))
@@ -63,6 +68,14 @@ def entities_status(text: Column) -> Column:
     )
 
 
+def parse_entities(text: Column, named_only: bool = True) -> Column:
+    return entities(read_records(text), named_only)
+
+
+def entities_status(text: Column) -> Column:
+    return status(text, read_records(text))
+
+
 def names_by_pattern(text: Column) -> Column:
     """Names found by the two patterns alone; quotes inside a name are not understood."""
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in NAME_PATTERNS]

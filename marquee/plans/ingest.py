@@ -7,61 +7,58 @@ from pyspark.sql import functions as F
 
 from marquee.functions import (
     blank_to_null,
-    entities_status,
+    entities,
     lenient_date,
     lenient_double,
     lenient_long,
-    parse_entities,
     period_of_date,
+    read_records,
+    status,
 )
 from marquee.functions.lenient import DATE_FORMATS
 from marquee.schema import RAW_COLUMNS
-from marquee.sources.files import read_csv
+from marquee.sources.files import read_csv, write_titles
 
 LISTS = {"companies": "production_companies", "genres": "genres"}
 
 
 def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS, width: int = 10) -> DataFrame:
-    """Typed titles from the ten text columns, with ``<list>_status`` columns.
+    """Typed titles from the ten text columns, plus ``unreadable``: the list texts that failed.
 
     Bad values become null, a missing vote count zero, an unreadable list an empty one.
     Every input row is kept.
     """
     date = lenient_date(F.col("release_date"), date_formats)
-    return raw.select(
+    # The lists are read in a step of their own, as several columns come from them.
+    read = raw.withColumns({f"_{name}": read_records(F.col(text)) for name, text in LISTS.items()})
+    failed = [
+        F.when(
+            status(F.col(text), F.col(f"_{name}")) == "unreadable",
+            F.struct(F.lit(name).alias("list"), F.col(text).alias("text")),
+        )
+        for name, text in LISTS.items()
+    ]
+    return read.select(
         blank_to_null(F.col("id")).alias("id"),
         "original_title",
         date.alias("release_date"),
         F.col("release_date").alias("release_date_raw"),
         *[lenient_double(F.col(c)).alias(c) for c in ("budget", "revenue", "popularity", "vote_average")],
         lenient_long(F.col("vote_count")).alias("vote_count"),
-        parse_entities(F.col("production_companies")).alias("companies"),
-        parse_entities(F.col("genres"), named_only=False).alias("genres"),
+        entities(F.col("_companies")).alias("companies"),
+        entities(F.col("_genres"), named_only=False).alias("genres"),
         period_of_date(date, width).alias("period"),
-        *[entities_status(F.col(text)).alias(f"{name}_status") for name, text in LISTS.items()],
-        *[F.col(text).alias(f"_{name}_text") for name, text in LISTS.items()],
+        F.array_compact(F.array(*failed)).alias("unreadable"),
     )
 
 
 def split(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The titles, and a quarantine with one row per list text that couldn't be read."""
-    extra = [f"{name}_status" for name in LISTS] + [f"_{name}_text" for name in LISTS]
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("list"),
-                F.col(f"_{name}_text").alias("text"),
-                F.col(f"{name}_status").alias("status"),
-            )
-            for name in LISTS
-        ]
-    )
-    quarantine = (
-        cleaned.select("id", "original_title", F.inline(found))
-        .where("status = 'unreadable'")
-        .drop("status")
+    failed = cleaned.where(F.size("unreadable") > 0)
+    return (
+        cleaned.drop("unreadable"),
+        failed.select("id", "original_title", F.inline("unreadable")),
     )
-    return cleaned.drop(*extra), quarantine
 
 
 def ingest(
@@ -70,10 +67,22 @@ def ingest(
     date_formats: tuple[str, ...] = DATE_FORMATS,
     multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Titles and quarantine of a raw CSV file."""
+    """Titles and quarantine of a raw CSV file, both lazy."""
     return split(clean(read_csv(spark, path, RAW_COLUMNS, multi_line), date_formats))
 
 
+def ingest_to(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    date_formats: tuple[str, ...] = DATE_FORMATS,
+    multi_line: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """The same, read and parsed once into a Parquet table partitioned by period."""
+    write_titles(clean(read_csv(spark, path, RAW_COLUMNS, multi_line), date_formats), target)
+    return split(spark.read.parquet(target))
+
+
 def dropped_columns(raw: DataFrame) -> list[str]:
     """The columns of the raw file that aren't kept."""
     return [name for name in raw.columns if name not in RAW_COLUMNS]
