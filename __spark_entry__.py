@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import debut_effect, hidden_gems, load_check, profile, rating_stability
-from marquee import roi_by_decile, roi_skipped, top_share
+from marquee import roi_by_decile, roi_skipped, run, top_share
 from marquee.functions import (
     blank_to_null,
     capped_bucket,
@@ -27,9 +27,13 @@ from marquee.functions import (
     prorate,
     year_of_text,
 )
+from marquee.operators.ranks import nearest_rank, values_at_ranks
+from marquee.operators.running import running_total
+from marquee.operators.tiles import tile_sums
+from marquee.plans.ingest import clean, split
 from marquee.plans.shape import in_digits
-from marquee.scratch import written
-from marquee.sources.files import report_lines
+from marquee.scratch import scratch_path, written
+from marquee.sources.files import read_csv, report_lines, write_csv, write_titles
 from marquee.sources.orders import order_credits, order_titles, table
 
 MONEY = {"revenue": 2, "total": 2}
@@ -332,6 +336,109 @@ def load_check_titles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def running_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many lines of a flag were shipped up to each day."""
+    days = (
+        table(spark, folder, "lineitem")
+        .groupBy("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+        .agg(F.count("*").alias("n"))
+    )
+    return running_total(days, ["l_returnflag"], ["day"], "n")
+
+
+def tiles_of_tied_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Deciles by quantity, of which there are few, so most ends fall into ties."""
+    lines = table(spark, folder, "lineitem")
+    order = ["l_orderkey", "l_linenumber"]
+    sums = tile_sums(lines, ["l_returnflag"], "l_quantity", order, "l_extendedprice")
+    return in_digits(sums, {"total": 2})
+
+
+def decile_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """The nine cut points of the order totals per year."""
+    totals = table(spark, folder, "orders").select(
+        F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("total")
+    )
+    ranks = {i / 10: nearest_rank(i / 10) for i in range(1, 10)}
+    return values_at_ranks(totals, ["year"], "total", ranks)
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with quotes, commas and line ends through a CSV file and back."""
+    path = scratch_path(spark)
+    write_csv(table(spark, folder, "documents"), path)
+    back = read_csv(spark, path, ["doc_id", "text", "lang", "source", "n_chars", "missing"])
+    return back.select(
+        lenient_long(F.col("doc_id"), None).alias("doc_id"),
+        F.md5(F.col("text").cast("binary")).alias("digest"),
+        "lang",
+        "source",
+        lenient_long(F.col("n_chars"), None).alias("n_chars"),
+        F.col("missing").isNull().alias("missing"),
+    )
+
+
+def ingest_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Order titles spelled as raw text, stored through the ingest and read back."""
+    odd = F.col("vote_count") % 2 == 1
+    raw = order_titles(spark, folder).select(
+        F.concat(F.lit(" "), F.col("id"), F.lit("\t")).alias("id"),
+        "original_title",
+        F.when(odd, F.date_format("release_date", "yyyy-MM-dd")).otherwise("soon").alias("release_date"),
+        F.when(odd, F.col("budget").cast("string")).otherwise("/poster.jpg").alias("budget"),
+        F.col("revenue").cast("string").alias("revenue"),
+        F.coalesce(F.col("popularity").cast("string"), F.lit("nan")).alias("popularity"),
+        F.col("vote_average").cast("string").alias("vote_average"),
+        F.concat(F.col("vote_count").cast("string"), F.lit(".0")).alias("vote_count"),
+        F.when(odd, "[{'name': 'A\\'s', 'id': 7}, {'name': '', 'id': None}]")
+        .otherwise("[{'name': 'cut off")
+        .alias("production_companies"),
+        F.when(odd, '[{"id": 1}, {"id": 2}]').otherwise("False").alias("genres"),
+    )
+    path = scratch_path(spark)
+    write_titles(clean(raw), path)
+    titles, quarantine = split(spark.read.parquet(path))
+    failed = quarantine.groupBy("id").agg(F.count("*").alias("n_unreadable"))
+    return titles.join(failed, "id", "left").select(
+        "id",
+        F.date_format("release_date", "yyyy-MM-dd").alias("day"),
+        "period",
+        "budget",
+        "revenue",
+        "popularity",
+        "vote_average",
+        "vote_count",
+        F.array_join("companies.name", ",").alias("companies"),
+        F.size("genres").alias("n_genres"),
+        F.coalesce("n_unreadable", F.lit(0)).alias("n_unreadable"),
+    )
+
+
+def _report(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    parts = name in ("debut", "roi")
+    titles = order_titles(spark, folder, parts)
+    if name == "hg":
+        titles = written(titles)
+    return run(name, titles, order_credits(spark, folder, parts), min_votes="2")
+
+
+def report_concentration(spark: SparkSession, folder: str) -> DataFrame:
+    return _report(spark, folder, "mc_summary")
+
+
+def report_companies(spark: SparkSession, folder: str) -> DataFrame:
+    return _report(spark, folder, "mc_detail")
+
+
+def report_debuts(spark: SparkSession, folder: str) -> DataFrame:
+    report = _report(spark, folder, "debut")
+    return report.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+def report_gems(spark: SparkSession, folder: str) -> DataFrame:
+    return _report(spark, folder, "hg")
+
+
 def report_text(spark: SparkSession, folder: str) -> DataFrame:
     return report_lines(stability(spark, folder), ["decade", "bucket"], {"mean": 3, "std": 3})
 
@@ -373,6 +480,15 @@ _QUERIES = [
     top_n_global,
     profile_nulls,
     load_check_titles,
+    running_counts,
+    tiles_of_tied_values,
+    decile_cuts,
+    csv_round_trip,
+    ingest_titles,
+    report_concentration,
+    report_companies,
+    report_debuts,
+    report_gems,
     report_text,
 ]
 
@@ -678,6 +794,63 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date,
                    strftime(max(o_orderdate), '%Y-%m-%d') AS last_date
             FROM orders""",
+        "running_counts": """
+            SELECT l_returnflag, day, n, CAST(sum(n) OVER w - n AS BIGINT) AS start,
+                   CAST(sum(n) OVER w AS BIGINT) AS "end"
+            FROM (SELECT l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n
+                  FROM lineitem GROUP BY 1, 2)
+            WINDOW w AS (PARTITION BY l_returnflag ORDER BY day)""",
+        "tiles_of_tied_values": """
+            SELECT l_returnflag, CAST(tile AS INTEGER) AS tile, count(*) AS n,
+                   round(sum(l_extendedprice), 2) AS total, count(l_extendedprice) AS measured
+            FROM (SELECT *, ntile(10) OVER (
+                    PARTITION BY l_returnflag
+                    ORDER BY l_quantity, l_orderkey, l_linenumber, l_extendedprice) AS tile
+                  FROM lineitem)
+            GROUP BY 1, 2""",
+        "decile_cuts": """
+            WITH placed AS (
+              SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS value,
+                     row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_totalprice) AS place,
+                     count(*) OVER (PARTITION BY year(o_orderdate)) AS n,
+                     rank() OVER (PARTITION BY year(o_orderdate) ORDER BY o_totalprice) - 1 AS before,
+                     count(*) OVER (PARTITION BY year(o_orderdate), o_totalprice) AS ties
+              FROM orders)
+            SELECT year, CAST(t AS INTEGER) AS target, n, place AS rank, value, before, ties
+            FROM placed, (SELECT unnest(range(0, 9)) AS t)
+            WHERE place = greatest(1, CAST(ceil((t + 1) / 10e0 * n) AS BIGINT))""",
+        "csv_round_trip": """
+            SELECT doc_id, md5(text) AS digest, lang, source, n_chars, true AS missing FROM documents""",
+        "ingest_titles": f"""
+            WITH {_TITLES}, parity AS (SELECT *, coalesce(vote_count % 2 = 1, false) AS odd FROM titles)
+            SELECT id, CASE WHEN odd THEN strftime(release_date, '%Y-%m-%d') END AS day,
+                   CASE WHEN odd THEN decade END AS period, CASE WHEN odd THEN budget END AS budget,
+                   revenue, popularity, vote_average, coalesce(vote_count, 0) AS vote_count,
+                   CASE WHEN odd THEN 'A''s' ELSE '' END AS companies,
+                   CASE WHEN odd THEN 2 ELSE 0 END AS n_genres, CASE WHEN odd THEN 0 ELSE 1 END AS n_unreadable
+            FROM parity""",
+        "report_concentration": _sql_shares(
+            "decade",
+            "company_id, company",
+            5,
+            "decade, round(coalesce(top, 0e0) / total * 100, 4) AS top5_pct, round(total, 2) AS total",
+            "rank = 1 OR rank IS NULL",
+        ),
+        "report_companies": _sql_shares(
+            "decade",
+            "company_id, company",
+            5,
+            "decade, CAST(rank AS BIGINT) AS rank, company_id AS cid, company AS name, "
+            "round(revenue, 2) AS revenue, round(revenue / total * 100, 4) AS pct",
+            "rank IS NOT NULL",
+        ),
+        "report_debuts": f"""
+            SELECT company_id AS cid, company AS name, debut_date AS date, debut_roi, debut_pop,
+                   post_roi, post_pop, n_post, delta_roi, delta_pop
+            FROM ({_sql_debuts("company_id, company", "coalesce({}, 0e0)", "true", "")})""",
+        "report_gems": f"""
+            SELECT decade, id, original_title AS title, round(va, 3) AS va, round(pop, 3) AS pop, vc AS votes
+            FROM ({_sql_gems("decade", "true", "")})""",
         "report_text": f"""
             SELECT CAST(decade AS VARCHAR) || '|' || bucket || chr(9)
                    || printf('%.3f|%.3f|%d', mean, std, n) AS value

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.operators.joins import join_small
-from marquee.scratch import written
+from marquee.scratch import small, written
+
+# One row per partition and group it touches.
+MOST_OFFSETS = 200_000
 
 
 def running_total(rows: DataFrame, by: list[str], order: list[str], weight: str) -> DataFrame:
@@ -15,20 +18,21 @@ def running_total(rows: DataFrame, by: list[str], order: list[str], weight: str)
     Rows are spread by range over group and order, so a large group covers many
     partitions. Each partition sums up on its own and adds what the earlier ones of the
     group hold. The spread is written once, so both steps see the same partitions.
-    Rows with equal ``by`` and ``order`` should be merged beforehand.
+    Rows with equal ``by`` and ``order`` should be merged beforehand. Meant for few groups
+    of any size: groups and partitions together must not exceed ``MOST_OFFSETS``.
     """
     spread = written(
         rows.repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = small(
         spread.groupBy(*by, "_block")
         .agg(F.sum(weight).alias("_total"))
-        .select(*by, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+        .select(*by, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")),
+        MOST_OFFSETS,
     )
     so_far = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        # One row per partition and group it touches: few, whatever the group sizes are.
         join_small(spread.withColumn("_sum", F.sum(weight).over(so_far)), offsets, [*by, "_block"])
         .withColumn("end", F.col("_offset") + F.col("_sum"))
         .withColumn("start", F.col("end") - F.col(weight))

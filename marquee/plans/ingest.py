@@ -16,7 +16,7 @@ from marquee.functions import (
     status,
 )
 from marquee.functions.lenient import DATE_FORMATS
-from marquee.schema import RAW_COLUMNS
+from marquee.schema import DECLARED_TYPES, RAW_COLUMNS
 from marquee.sources.files import read_csv, write_titles
 
 LISTS = {"companies": "production_companies", "genres": "genres"}
@@ -83,6 +83,20 @@ def ingest_to(
     return split(spark.read.parquet(target))
 
 
+def as_declared(titles: DataFrame) -> DataFrame:
+    """The ten columns and types of the registered table: lists as JSON text, dates as text.
+
+    This is what goes to the cleaned CSV and Parquet files; ``clean`` reads it back.
+    """
+    day = F.coalesce(F.date_format("release_date", "yyyy-MM-dd"), F.lit(""))
+    columns = {
+        **{name: F.col(name) for name in RAW_COLUMNS if name in titles.columns},
+        "release_date": day,
+        **{text: F.to_json(name) for name, text in LISTS.items()},
+    }
+    return titles.select(*[columns[name].cast(kind).alias(name) for name, kind in DECLARED_TYPES.items()])
+
+
 def dropped_columns(raw: DataFrame) -> list[str]:
     """The columns of the raw file that aren't kept."""
     return [name for name in raw.columns if name not in RAW_COLUMNS]

@@ -28,12 +28,16 @@ def folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def written(frame: DataFrame) -> DataFrame:
     """The same rows, read from a table written now."""
-    spark = frame.sparkSession
-    path = f"{folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch_path(frame.sparkSession)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def small(frame: DataFrame, most: int) -> DataFrame:

@@ -6,39 +6,39 @@ the suppliers of its lines are the credited companies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MONEY = "decimal(12,2)"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def order_titles(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
-    """One title per order. ``budget`` and ``n_genres`` need the parts; leave them out if unused.
+def _hundredths(value: Column) -> Column:
+    """Whole hundredths, so that sums don't depend on the order of the rows."""
+    return F.floor(value * 100 + F.lit(0.5))
 
-    Orders without line items keep null figures.
-    """
+
+def _keyed_titles(spark: SparkSession, folder: str, parts: bool) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     figures = [
         F.sum("l_quantity").alias("popularity"),
-        F.sum(F.round(F.lit(100) * F.col("l_discount")).cast("int")).alias("_percents"),
+        F.sum(_hundredths(F.col("l_discount"))).alias("_percents"),
         F.count("*").alias("vote_count"),
     ]
     if parts:
         part = table(spark, folder, "part")
         lines = lines.join(part, lines["l_partkey"] == part["p_partkey"])
-        cost = F.col("l_quantity").cast(_MONEY) * F.col("p_retailprice").cast(_MONEY)
+        cost = _hundredths(F.col("l_quantity")) * _hundredths(F.col("p_retailprice"))
         figures += [
-            F.sum(cost).cast("double").alias("budget"),
+            (F.sum(cost) / F.lit(10_000.0)).alias("budget"),
             F.count_distinct("p_type").alias("n_genres"),
         ]
     per_order = lines.groupBy("l_orderkey").agg(*figures)
     orders = table(spark, folder, "orders")
-    rating = F.floor(F.lit(10.0) * F.col("_percents") / F.col("vote_count")).cast("double") / F.lit(10.0)
+    rating = F.floor(F.lit(10.0) * F.col("_percents") / F.col("vote_count")) / F.lit(10.0)
     return orders.join(per_order, orders["o_orderkey"] == per_order["l_orderkey"], "left").select(
+        "o_orderkey",
         F.col("o_orderkey").cast("string").alias("id"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("original_title"),
         F.col("o_orderdate").cast("date").alias("release_date"),
@@ -50,17 +50,26 @@ def order_titles(spark: SparkSession, folder: str, parts: bool = True) -> DataFr
     )
 
 
+def order_titles(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
+    """One title per order. ``budget`` and ``n_genres`` need the parts; leave them out if unused.
+
+    Orders without line items keep null figures.
+    """
+    return _keyed_titles(spark, folder, parts).drop("o_orderkey")
+
+
 def order_credits(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
     """One credit per order and supplier, with the title's figures and ``n_companies``."""
-    pairs = (
-        table(spark, folder, "lineitem")
-        .select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_suppkey").alias("company_id"))
-        .distinct()
-    )
-    sizes = pairs.groupBy("id").agg(F.count("*").alias("n_companies"))
+    pairs = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    sizes = pairs.groupBy(F.col("l_orderkey").alias("_key")).agg(F.count("*").alias("n_companies"))
+    titles = _keyed_titles(spark, folder, parts)
+    titles = titles.join(sizes, titles["o_orderkey"] == sizes["_key"]).drop("_key")
     names = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("company")
     )
     return (
-        pairs.join(order_titles(spark, folder, parts).join(sizes, "id"), "id").join(names, "company_id")
+        pairs.withColumnsRenamed({"l_orderkey": "o_orderkey", "l_suppkey": "company_id"})
+        .join(titles, "o_orderkey")
+        .join(names, "company_id")
+        .drop("o_orderkey")
     )
