@@ -20,6 +20,8 @@ from marquee.functions.measures import (
     band,
     capped_bucket,
     fraction,
+    gap,
+    passed,
     period_of_date,
     period_of_year,
     prorate,
@@ -34,12 +36,14 @@ __all__ = [
     "entities",
     "entities_status",
     "fraction",
+    "gap",
     "lenient_date",
     "lenient_double",
     "lenient_long",
     "names_by_pattern",
     "one_line",
     "parse_entities",
+    "passed",
     "period_of_date",
     "period_of_year",
     "prorate",

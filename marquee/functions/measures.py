@@ -38,6 +38,29 @@ def capped_bucket(count: Column, cap: int = 3) -> Column:
     return F.when(count >= cap, F.lit(f"{cap}+")).when(count >= 1, count.cast("string"))
 
 
-def band(cuts: Column, value: Column) -> Column:
+def passed(cuts: Column, value: Column, count: int, including: bool = True) -> Column:
+    """How many of the sorted ``cuts`` are below the value, or equal to it if ``including``.
+
+    ``cuts`` has at most ``count`` entries. Bisection spelled out as nested conditions stays
+    in generated code, unlike a lambda over the array.
+    """
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        cut = F.get(cuts, F.lit(middle))
+        upper, lower = between(middle + 1, high), between(low, middle)
+        return F.when(cut <= value if including else cut < value, upper).otherwise(lower)
+
+    return between(0, count)
+
+
+def band(cuts: Column, value: Column, count: int) -> Column:
     """Number of the band, from 1; a value equal to a cut point goes to the upper band."""
-    return F.size(F.filter(cuts, lambda cut: cut <= value)) + 1
+    return passed(cuts, value, count) + 1
+
+
+def gap(edges: Column, value: Column, count: int) -> Column:
+    """Place among distinct sorted edges: even between two of them, odd on one."""
+    return passed(edges, value, count, including=False) + passed(edges, value, count)

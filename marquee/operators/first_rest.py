@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Values below this size are added up as exact decimals, see below.
-_EXACT_BELOW = 1e15
-_EXACT = "decimal(38,12)"
-
 
 def first_and_rest(
     rows: DataFrame, entity: list[str], date: str, tie: str, measures: list[str]
@@ -17,27 +13,24 @@ def first_and_rest(
 
     An entity may own a large part of all rows, so they aren't ranked: the earliest row is
     a minimum and the rest is what the sums hold besides it, which combines before the
-    shuffle. The sums are decimals, because taking one huge value out of a floating-point
-    sum would leave rounding noise as the average of the others; only values too large
-    for decimals (1e15 and up) stay floating-point. Ties on the date go by ``tie``, then
-    by the measures.
+    shuffle. Taking one huge value out of a floating-point sum would leave rounding noise
+    as the average of the others, so every value is summed up in three parts, see
+    ``_parts``. Ties on the date go by ``tie``, then by the measures.
     """
     earliest = F.min(F.struct(date, tie, *measures))
     aggregates: list[Column] = [earliest.alias("_first"), F.count("*").alias("_rows")]
     for m in measures:
-        aggregates += [
-            F.sum(_exact(F.col(m))).alias(f"_exact_{m}"),
-            F.sum(_huge(F.col(m))).alias(f"_huge_{m}"),
-            F.count(m).alias(f"_count_{m}"),
-        ]
+        aggregates += [F.sum(part).alias(f"_{m}_{i}") for i, part in enumerate(_parts(F.col(m)))]
+        aggregates.append(F.count(m).alias(f"_{m}_count"))
     summed = rows.where(F.col(date).isNotNull()).groupBy(*entity).agg(*aggregates)
 
     def rest(m: str) -> Column:
         first = F.col(f"_first.{m}")
-        exact = F.col(f"_exact_{m}") - F.coalesce(_exact(first), F.lit(0).cast(_EXACT))
-        huge = F.col(f"_huge_{m}") - F.coalesce(_huge(first), F.lit(0.0))
-        total = F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(huge, F.lit(0.0))
-        count = F.col(f"_count_{m}") - first.isNotNull().cast("int")
+        left = [
+            F.col(f"_{m}_{i}") - F.coalesce(part, F.lit(0.0)) for i, part in enumerate(_parts(first))
+        ]
+        total = left[0] + left[1] + left[2]
+        count = F.col(f"_{m}_count") - first.isNotNull().cast("int")
         return F.when(count > 0, total / count)
 
     return summed.select(
@@ -49,9 +42,12 @@ def first_and_rest(
     )
 
 
-def _exact(value: Column) -> Column:
-    return F.when(F.abs(value) < _EXACT_BELOW, value.cast(_EXACT))
+def _parts(value: Column) -> list[Column]:
+    """The value as a multiple of 2^30, a multiple of 2^-10 below that, and the remainder.
 
-
-def _huge(value: Column) -> Column:
-    return F.when(F.abs(value) >= _EXACT_BELOW, value)
+    The parts add up to the value exactly. Sums of the first two are exact as well while
+    they stay below 2^83 and 2^43, so a value can be taken out again without a trace.
+    """
+    coarse = F.rint(value / 2.0**30) * 2.0**30
+    middle = F.rint((value - coarse) * 2.0**10) / 2.0**10
+    return [coarse, middle, value - coarse - middle]

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.functions import gap
 from marquee.operators.joins import join_small
 from marquee.scratch import small
 
@@ -35,9 +36,9 @@ def end_of_tile(tile: int, tiles: int) -> Callable[[Column], Column]:
 
 def _slots(rows: DataFrame, edges: DataFrame, by: list[str], value: str) -> DataFrame:
     """Even slots lie between two edges, odd slots hold the rows equal to one edge."""
-    below = F.size(F.filter("_edges", lambda edge: edge < F.col(value)))
-    up_to = F.size(F.filter("_edges", lambda edge: edge <= F.col(value)))
-    return join_small(rows, edges, by).select(*by, value, (below + up_to).alias("_slot"))
+    most = edges.agg(F.max(F.size("_edges"))).first()[0] or 0
+    slot = gap(F.col("_edges"), F.col(value), most).alias("_slot")
+    return join_small(rows, edges, by).select(*by, value, slot)
 
 
 def values_at_ranks(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions import passed
 from marquee.operators.joins import join_small
 from marquee.operators.ranks import MOST_GROUPS, end_of_tile, values_at_ranks
 from marquee.operators.running import running_total
@@ -35,8 +36,7 @@ def tile_sums(
 
     values = ends.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_ends"))
     located = join_small(rows, values, by)
-    smaller = F.size(F.filter("_ends", lambda end: end < F.col(value)))
-    located = located.withColumn("tile", smaller + 1)
+    located = located.withColumn("tile", passed(F.col("_ends"), F.col(value), tiles - 1, including=False) + 1)
     if any_split:
         located = join_small(located, split.distinct(), [*by, value], "left_anti")
     whole = located.groupBy(*by, "tile").agg(
@@ -58,8 +58,8 @@ def tile_sums(
         .withColumn("_from", F.col("_before") + F.col("start"))
         .withColumn("_to", F.col("_before") + F.col("end"))
         # Copies of a row may cover several tiles.
-        .withColumn("_first", F.size(F.filter("_ranks", lambda r: r <= F.col("_from"))) + 1)
-        .withColumn("_last", F.size(F.filter("_ranks", lambda r: r < F.col("_to"))) + 1)
+        .withColumn("_first", passed(F.col("_ranks"), F.col("_from"), tiles - 1) + 1)
+        .withColumn("_last", passed(F.col("_ranks"), F.col("_to"), tiles - 1, including=False) + 1)
         .withColumn("tile", F.explode(F.sequence("_first", "_last")))
         .withColumn("_low", F.greatest("_from", F.get("_ranks", F.col("tile") - 2)))
         .withColumn("_high", F.least("_to", F.get("_ranks", F.col("tile") - 1)))

@@ -74,18 +74,19 @@ def hidden_gems(
 def _exact_limits(measured: DataFrame, high_q: float, low_q: float, accuracy: int) -> DataFrame:
     """Both thresholds per decade, from one pass over ratings and popularities together."""
     either = F.array(
-        F.struct(F.lit(True).alias("_rating"), F.col("va").alias("_x")),
-        F.struct(F.lit(False).alias("_rating"), F.col("pop").alias("_x")),
+        F.struct(F.lit(1).alias("_rating"), F.col("va").alias("_x")),
+        F.struct(F.lit(0).alias("_rating"), F.col("pop").alias("_x")),
     )
     ranks = {high_q: nearest_rank(high_q), low_q: nearest_rank(low_q)}
-    high, low = F.col("target") == 0, F.col("target") == 1
+    high = (F.col("_rating") == 1) & (F.col("target") == 0)
+    low = (F.col("_rating") == 0) & (F.col("target") == 1)
     return (
         values_at_ranks(
             measured.select("decade", F.inline(either)), ["decade", "_rating"], "_x", ranks, accuracy
         )
         .groupBy("decade")
         .agg(
-            F.max(F.when(F.col("_rating") & high, F.col("value"))).alias("_va"),
-            F.max(F.when(~F.col("_rating") & low, F.col("value"))).alias("_pop"),
+            F.max(F.when(high, F.col("value"))).alias("_va"),
+            F.max(F.when(low, F.col("value"))).alias("_pop"),
         )
     )

@@ -64,7 +64,7 @@ def roi_by_decile(
         earned = funded.where(F.col("revenue").isNotNull())
         sums = (
             join_small(earned, cuts, ["decade"])
-            .withColumn("bud_decile", band(F.col("_cuts"), F.col("budget")))
+            .withColumn("bud_decile", band(F.col("_cuts"), F.col("budget"), tiles - 1))
             .groupBy("decade", "bud_decile")
             .agg(F.sum(roi).alias("total"), F.count(roi).alias("measured"), F.count("*").alias("n"))
         )

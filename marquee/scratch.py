@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_folder: str | None = None
 
@@ -44,8 +45,13 @@ def small(frame: DataFrame, most: int) -> DataFrame:
     """The rows of a table known to be small, fixed on the driver and marked for broadcast.
 
     More than ``most`` rows is an error, so nothing that grows with the data gets here.
+    Columns without nulls are declared as such.
     """
     rows = frame.limit(most + 1).toArrow()
     if rows.num_rows > most:
         raise ValueError(f"expected at most {most} rows, one per group")
-    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema))
+    fields = [
+        T.StructField(field.name, field.dataType, rows[field.name].null_count > 0)
+        for field in frame.schema
+    ]
+    return F.broadcast(frame.sparkSession.createDataFrame(rows, T.StructType(fields)))

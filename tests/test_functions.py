@@ -10,6 +10,7 @@ from marquee.functions import (
     blank_to_null,
     capped_bucket,
     entities_status,
+    gap,
     lenient_date,
     lenient_double,
     lenient_long,
@@ -97,7 +98,13 @@ def test_measures(spark):
 def test_value_equal_to_a_cut_goes_up(spark):
     cuts = F.array(*[F.lit(float(c)) for c in (10, 20, 20, 30)])
     values = [5.0, 10.0, 15.0, 20.0, 30.0, 99.0]
-    assert evaluate(spark, values, lambda c: band(cuts, c), "double") == [1, 2, 2, 4, 5, 5]
+    assert evaluate(spark, values, lambda c: band(cuts, c, 6), "double") == [1, 2, 2, 4, 5, 5]
+
+
+def test_gap_tells_between_from_on(spark):
+    edges = F.array(*[F.lit(float(c)) for c in (10, 20, 30)])
+    values = [5.0, 10.0, 15.0, 20.0, 30.0, 99.0]
+    assert evaluate(spark, values, lambda c: gap(edges, c, 5), "double") == [0, 1, 2, 3, 5, 6]
 
 
 # text, named records, number of records, status
