@@ -22,7 +22,7 @@ from marquee.sources.files import read_csv, write_titles
 LISTS = {"companies": "production_companies", "genres": "genres"}
 
 
-def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS, width: int = 10) -> DataFrame:
+def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """Typed titles from the ten text columns, plus ``unreadable``: the list texts that failed.
 
     Bad values become null, a missing vote count zero, an unreadable list an empty one.
@@ -47,7 +47,7 @@ def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS, width: i
         lenient_long(F.col("vote_count")).alias("vote_count"),
         entities(F.col("_companies")).alias("companies"),
         entities(F.col("_genres"), named_only=False).alias("genres"),
-        period_of_date(date, width).alias("period"),
+        period_of_date(date).alias("period"),
         F.array_compact(F.array(*failed)).alias("unreadable"),
     )
 

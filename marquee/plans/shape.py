@@ -14,8 +14,8 @@ PLAUSIBLE_DECADES = (1870, 2100)
 def with_decade(titles: DataFrame, width: int = 10, keep_null_period: bool = False) -> DataFrame:
     """Add ``decade``, the first year of the ``width``-year period of the release date.
 
-    A stored ``period`` column of the same width is used as it is, so that a table
-    partitioned by it is pruned.
+    The stored ``period`` is the decade; it is used as it is, so that a table partitioned by
+    it is pruned.
     """
     stored = width == 10 and "period" in titles.columns
     decade = F.col("period") if stored else period_of_date(F.col("release_date"), width)

@@ -7,6 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marquee import hidden_gems
+from marquee.scratch import written
+from marquee.sources.orders import order_titles
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
@@ -53,9 +56,15 @@ def test_every_sql_has_a_query():
 
 
 def test_approximate_gems_are_within_the_rank_error(spark):
-    exact = {r.id for r in entry.queries()["hidden_gems_yearly"](spark, FOLDER).collect()}
-    approx = {r.id for r in entry.queries()["hidden_gems_approx"](spark, FOLDER).collect()}
-    assert approx and len(exact) > 0
+    titles = written(order_titles(spark, FOLDER, parts=False))
+
+    def ids(method, accuracy, high, low):
+        options = {"min_votes": 2, "limit": None, "accuracy": accuracy, "high_q": high, "low_q": low}
+        return {r.id for r in hidden_gems(titles, method=method, **options).collect()}
+
+    assert ids("approx", 1_000_000, 0.9, 0.1) == ids("exact", 10_000, 0.9, 0.1)
+    rough = ids("approx", 20, 0.9, 0.1)
+    assert ids("exact", 10_000, 0.96, 0.04) <= rough <= ids("exact", 10_000, 0.84, 0.16)
 
 
 def test_entry(spark):

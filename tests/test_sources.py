@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marquee import ingest, load_check, profile, run, variants
 from marquee.operators.credits import explode_credits
-from marquee.plans.ingest import clean, dropped_columns, ingest_to, preview
+from marquee.plans.ingest import as_declared, clean, dropped_columns, ingest_to, preview, split
 from marquee.plans.registry import min_votes_of
 from marquee.schema import DECLARED_TYPES, RAW_COLUMNS, TITLES
 from marquee.scratch import folder, small, written
@@ -174,6 +174,18 @@ def test_external_table_over_cleaned_file(spark, tmp_path):
     spark.sql("DROP DATABASE films CASCADE")
 
 
+def test_analyses_over_the_registered_text_table(spark, titles, tmp_path, rows):
+    location = str(tmp_path / "declared")
+    as_declared(titles).write.parquet(location)
+    create_database(spark, "shows")
+    table = register_table(spark, "shows.movies", location)
+    again, quarantine = split(clean(table))
+    assert quarantine.count() == 0
+    for name in ("q1", "q3", "stab", "hg"):
+        assert rows(run(name, again)) == rows(run(name, titles))
+    spark.sql("DROP DATABASE shows CASCADE")
+
+
 def test_registry(spark, titles, rows):
     assert len(variants()) == 13
     for name in variants():
