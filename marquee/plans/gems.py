@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from marquee.functions import one_line
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import nearest_rank, values_at_ranks
+from marquee.operators.ranks import MOST_GROUPS, nearest_rank, values_at_ranks
 from marquee.plans.shape import PLAUSIBLE_DECADES, with_decade
+from marquee.scratch import small
 
 
 def hidden_gems(
@@ -63,7 +64,7 @@ def hidden_gems(
         raise ValueError("method must be exact or approx")
 
     gems = (
-        join_small(eligible, limits, ["decade"])
+        join_small(eligible, small(limits, MOST_GROUPS), ["decade"])
         .where("va >= _va AND pop <= _pop")
         .select("decade", "id", "original_title", "va", "pop", "vc")
         .orderBy("decade", F.col("va").desc(), "pop", "id")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from marquee.functions import band, return_on_investment
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import nearest_rank, values_at_ranks
+from marquee.operators.ranks import MOST_GROUPS, nearest_rank, values_at_ranks
 from marquee.operators.tiles import tile_sums
 from marquee.plans.shape import with_decade
+from marquee.scratch import small
 
 
 def _funded(titles: DataFrame, width: int, keep_null_period: bool) -> DataFrame:
@@ -72,7 +73,7 @@ def roi_by_decile(
         raise ValueError("method must be ntile or cuts")
 
     if min_rows > 1 or least > 1 or densify:
-        kept = _gate(funded, min_rows, least).where("enough").select("decade")
+        kept = small(_gate(funded, min_rows, least).where("enough").select("decade"), MOST_GROUPS)
         if densify:
             spine = kept.withColumn("bud_decile", F.explode(F.sequence(F.lit(1), F.lit(tiles))))
             sums = join_small(spine, sums, ["decade", "bud_decile"], "left")

@@ -12,13 +12,24 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+# For many executors: start from many shuffle partitions and let them be merged to a size
+# that fits a task's memory, read large splits of narrow columns.
+CLUSTER_SETTINGS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+}
+
 
-def build(app: str = "marquee", master: str | None = None, **extra: str) -> SparkSession:
+def build(
+    app: str = "marquee", master: str | None = None, cluster: bool = False, **extra: str
+) -> SparkSession:
     """A session with the settings above; ``extra`` names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in SETTINGS.items():
+    for name, value in {**SETTINGS, **(CLUSTER_SETTINGS if cluster else {})}.items():
         builder = builder.config(name, value)
     for name, value in extra.items():
         builder = builder.config(name.replace("__", "."), value)
