@@ -20,8 +20,15 @@ def blank_to_null(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """Tabs, line ends and pipes become blanks, so the text fits a delimited report."""
-    return F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n|", "   "))
+    """Tabs, line ends and pipes become blanks, so the text fits a delimited report.
+
+    Most texts need no change; finding that out is cheaper than rewriting them.
+    """
+    edited = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n|", "   "))
+    odd = text.startswith(" ") | text.endswith(" ")
+    for mark in "\t\n|":
+        odd = odd | text.contains(mark)
+    return F.when(~odd, text).otherwise(edited)
 
 
 def lenient_double(text: Column) -> Column:

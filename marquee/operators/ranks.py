@@ -20,6 +20,7 @@ from marquee.scratch import small
 
 MOST_GROUPS = 20_000
 MOST_VALUES_PER_SORT = 5_000_000
+REFINING_SHARES = [i / 64 for i in range(65)]
 
 
 def nearest_rank(share: float) -> Callable[[Column], Column]:
@@ -34,9 +35,8 @@ def end_of_tile(tile: int, tiles: int) -> Callable[[Column], Column]:
     )
 
 
-def _slots(rows: DataFrame, edges: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Even slots lie between two edges, odd slots hold the rows equal to one edge."""
-    most = edges.agg(F.max(F.size("_edges"))).first()[0] or 0
+def _slots(rows: DataFrame, edges: DataFrame, most: int, by: list[str], value: str) -> DataFrame:
+    """Even slots lie between two of the at most ``most`` edges, odd ones hold the rows on an edge."""
     slot = gap(F.col("_edges"), F.col(value), most).alias("_slot")
     return join_small(rows, edges, by).select(*by, value, slot)
 
@@ -68,6 +68,7 @@ def values_at_ranks(
         ),
         MOST_GROUPS,
     )
+    most_edges = len(shares)
     in_order = Window.partitionBy(*by).orderBy("_slot")
     targets = F.array(
         *[
@@ -76,7 +77,7 @@ def values_at_ranks(
         ]
     )
     while True:
-        slotted = _slots(rows, edges, by, value)
+        slotted = _slots(rows, edges, most_edges, by, value)
         wanted = small(
             slotted.groupBy(*by, "_slot")
             .agg(F.count("*").alias("_in_slot"))
@@ -93,8 +94,9 @@ def values_at_ranks(
         finer = (
             join_small(slotted, crowded.select(*by, "_slot"), [*by, "_slot"], "left_semi")
             .groupBy(*by)
-            .agg(F.percentile_approx(value, [i / 64 for i in range(65)], accuracy).alias("_edges"))
+            .agg(F.percentile_approx(value, REFINING_SHARES, accuracy).alias("_edges"))
         )
+        most_edges += len(REFINING_SHARES)
         edges = small(
             edges.unionByName(finer)
             .groupBy(*by)

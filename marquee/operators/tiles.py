@@ -38,7 +38,7 @@ def tile_sums(
     located = join_small(rows, values, by)
     located = located.withColumn("tile", passed(F.col("_ends"), F.col(value), tiles - 1, including=False) + 1)
     if any_split:
-        located = join_small(located, split.distinct(), [*by, value], "left_anti")
+        located = join_small(located, split, [*by, value], "left_anti")
     whole = located.groupBy(*by, "tile").agg(
         F.count("*").alias("n"), F.sum(measure).alias("total"), F.count(measure).alias("measured")
     )
@@ -46,7 +46,7 @@ def tile_sums(
         return whole
 
     tied = (
-        join_small(rows, split.distinct(), [*by, value], "left_semi")
+        join_small(rows, split, [*by, value], "left_semi")
         .groupBy(*by, value, *ties, measure)
         .agg(F.count("*").alias("_copies"))
     )

@@ -23,7 +23,7 @@ def top_k_with_total(
     summed = rows.groupBy(by, "_whole", *entity).agg(F.sum(amount).alias(amount))
     best_first = Window.partitionBy(by).orderBy(
         F.col("_whole").desc(),
-        F.round(amount, 2).desc_nulls_last(),
+        F.rint(F.col(amount) * 100).desc_nulls_last(),
         *[F.col(name).asc_nulls_last() for name in reversed(entity)],
     )
     period = Window.partitionBy(by)
