@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import passed
 from marquee.operators.joins import join_small
 from marquee.operators.ranks import MOST_GROUPS, end_of_tile, values_at_ranks
-from marquee.operators.running import running_total
+from marquee.operators.running import spread, total_in_block
 from marquee.scratch import small
 
 
@@ -25,7 +25,7 @@ def tile_sums(
 
     Only the values at the ends of the tiles matter. A row between two of them has its
     tile without being sorted; only rows that equal an end value which falls into two
-    tiles are ranked by ``ties``. Result: ``by…, tile, n, total, measured`` with the sum
+    tiles are spread by ``ties``, and of those only the blocks at an end are sorted. Result: ``by…, tile, n, total, measured`` with the sum
     and the count of ``measure``. ``value`` must not be null.
     """
     rows = rows.select(*by, value, *ties, measure)
@@ -50,26 +50,7 @@ def tile_sums(
         .groupBy(*by, value, *ties, measure)
         .agg(F.count("*").alias("_copies"))
     )
-    bounds = ends.groupBy(*by).agg(F.sort_array(F.collect_list("rank")).alias("_ranks"))
-    firsts = ends.groupBy(*by, F.col("value").alias(value)).agg(F.first("before").alias("_before"))
-    ranked = join_small(running_total(tied, [*by, value], [*ties, measure], "_copies"), firsts, [*by, value])
-    ranked = (
-        join_small(ranked, bounds, by)
-        .withColumn("_from", F.col("_before") + F.col("start"))
-        .withColumn("_to", F.col("_before") + F.col("end"))
-        # Copies of a row may cover several tiles.
-        .withColumn("_first", passed(F.col("_ranks"), F.col("_from"), tiles - 1) + 1)
-        .withColumn("_last", passed(F.col("_ranks"), F.col("_to"), tiles - 1, including=False) + 1)
-        .withColumn("tile", F.explode(F.sequence("_first", "_last")))
-        .withColumn("_low", F.greatest("_from", F.get("_ranks", F.col("tile") - 2)))
-        .withColumn("_high", F.least("_to", F.get("_ranks", F.col("tile") - 1)))
-    )
-    part = F.col("_high") - F.col("_low")
-    shared = ranked.groupBy(*by, "tile").agg(
-        F.sum(part).alias("n"),
-        F.sum(F.col(measure) * part).alias("total"),
-        F.sum(F.when(F.col(measure).isNotNull(), part)).alias("measured"),
-    )
+    shared = _tied_sums(tied, ends, by, value, ties, measure, tiles)
     return (
         whole.unionByName(shared)
         .groupBy(*by, "tile")
@@ -79,3 +60,48 @@ def tile_sums(
             F.sum(F.coalesce("measured", F.lit(0))).alias("measured"),
         )
     )
+
+
+def _tied_sums(
+    tied: DataFrame, ends: DataFrame, by: list[str], value: str, ties: list[str], measure: str, tiles: int
+) -> DataFrame:
+    """The sums of rows equal to an end value, ``_copies`` saying how often each one occurs."""
+    group, order = [*by, value], [*ties, measure]
+    bounds = ends.groupBy(*by).agg(F.sort_array(F.collect_list("rank")).alias("_ranks"))
+    firsts = ends.groupBy(*by, F.col("value").alias(value)).agg(F.first("before").alias("_before"))
+
+    def tiles_of(low: Column, high: Column) -> tuple[Column, Column]:
+        first = passed(F.col("_ranks"), low, tiles - 1) + 1
+        return first, passed(F.col("_ranks"), high, tiles - 1, including=False) + 1
+
+    stored, blocks = spread(tied, group, order, "_copies")
+    blocks = join_small(join_small(blocks, firsts, group), bounds, by)
+    blocks = blocks.withColumn("_from", F.col("_before") + F.col("_start"))
+    first, last = tiles_of(F.col("_from"), F.col("_from") + F.col("_total"))
+    blocks = blocks.select(*group, "_block", "_ranks", "_from", first.alias("_first"), last.alias("_last"))
+
+    def located(condition: str) -> DataFrame:
+        return join_small(stored, blocks.where(condition), [*group, "_block"])
+
+    inside = located("_first = _last").select(*by, F.col("_first").alias("tile"), measure, "_copies")
+
+    high = F.col("_from") + total_in_block(group, order, "_copies")
+    across = located("_first < _last").withColumn("_high", high)
+    across = across.withColumn("_low", F.col("_high") - F.col("_copies"))
+    first, last = tiles_of(F.col("_low"), F.col("_high"))
+    # Copies of one row may still cover several tiles.
+    across = across.withColumn("tile", F.explode(F.sequence(first, last)))
+    low = F.greatest("_low", F.get("_ranks", F.col("tile") - 2))
+    high = F.least("_high", F.get("_ranks", F.col("tile") - 1))
+    across = across.select(*by, "tile", measure, (high - low).alias("_copies"))
+
+    copies = F.col("_copies")
+    return (
+        inside.unionByName(across)
+        .groupBy(*by, "tile")
+        .agg(
+            F.sum(copies).alias("n"),
+            F.sum(F.col(measure) * copies).alias("total"),
+            F.sum(F.when(F.col(measure).isNotNull(), copies)).alias("measured"),
+        )
+    )
