@@ -215,3 +215,23 @@ def test_scratch(spark, titles):
     assert small(titles, 10).count() == 10
     with pytest.raises(ValueError):
         small(titles, 9)
+
+
+class Unset:
+    """A session whose checkpoint folder isn't set."""
+
+    def __init__(self, master):
+        self.master = master
+        self.conf = self.sparkContext = self
+
+    def get(self, name, default=None):
+        return default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_folder_is_local_on_one_machine_only():
+    assert folder(Unset("local[2]")) == folder(Unset("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folder(Unset("yarn"))
