@@ -552,7 +552,7 @@ def _sql_shares(period: str, entity: str, k: int, columns: str, where: str) -> s
 
 
 _SHARE = "round(coalesce(top, 0e0) / total, 6) AS top_share"
-_DETAIL = "CAST(rank AS BIGINT) AS rank, {e}, round(revenue, 2) AS revenue, round(revenue / total, 6) AS pct_of_total"
+_DETAIL = "CAST(rank AS INTEGER) AS rank, {e}, round(revenue, 2) AS revenue, round(revenue / total, 6) AS pct_of_total"
 _BY_ID = _DETAIL.format(e="company_id, company")
 _BY_NAME = _DETAIL.format(e="company")
 
@@ -827,7 +827,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN odd THEN decade END AS period, CASE WHEN odd THEN budget END AS budget,
                    revenue, popularity, vote_average, coalesce(vote_count, 0) AS vote_count,
                    CASE WHEN odd THEN 'A''s' ELSE '' END AS companies,
-                   CASE WHEN odd THEN 2 ELSE 0 END AS n_genres, CASE WHEN odd THEN 0 ELSE 1 END AS n_unreadable
+                   CASE WHEN odd THEN 2 ELSE 0 END AS n_genres, CAST(CASE WHEN odd THEN 0 ELSE 1 END AS BIGINT) AS n_unreadable
             FROM parity""",
         "report_concentration": _sql_shares(
             "decade",
@@ -840,7 +840,7 @@ def oracle_sql() -> dict[str, str]:
             "decade",
             "company_id, company",
             5,
-            "decade, CAST(rank AS BIGINT) AS rank, company_id AS cid, company AS name, "
+            "decade, CAST(rank AS INTEGER) AS rank, company_id AS cid, company AS name, "
             "round(revenue, 2) AS revenue, round(revenue / total * 100, 4) AS pct",
             "rank IS NOT NULL",
         ),
