@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.functions.lenient import WHITE_SPACE, strip_space
+
 # A named entry in the JSON and in the Python spelling.
 NAME_PATTERNS = (
     r'"name"\s*:\s*"([^"]+)"',
@@ -20,20 +22,24 @@ _JSON = {"allowBackslashEscapingAnyCharacter": "true"}
 
 
 def _as_json(text: Column) -> Column:
+    """The literal in JSON spelling. The rewriting is left out where nothing calls for it."""
+    json = text
     for word, literal in (("None", "null"), ("True", "true"), ("False", "false")):
-        text = F.regexp_replace(text, rf"""(["']\s*:\s*){word}(?=\s*[,}}])""", rf"$1{literal}")
-    text = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
-    return F.regexp_replace(text, r",\s*\]\s*$", "]")
+        json = F.regexp_replace(json, rf"""(["']\s*:\s*){word}(?=\s*[,}}])""", rf"$1{literal}")
+    json = F.regexp_replace(json, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    json = F.regexp_replace(json, r",\s*\]\s*$", "]")
+    odd = F.rtrim(text, F.lit(WHITE_SPACE + "]")).endswith(",")
+    for mark in ("None", "True", "False", r"\x"):
+        odd = odd | text.contains(mark)
+    return F.when(odd, json).otherwise(text)
 
 
 def read_records(text: Column) -> Column:
     """The records as they stand, ``id`` being text; null where there is no readable list."""
-    readable = (
-        text.rlike(r"^\s*\[")
-        & text.rlike(r"\]\s*$")
-        # Escapes that JSON has no short form for.
-        & ~text.rlike(r"(?<!\\)(?:\\\\)*\\[UN]")
-    )
+    plain = strip_space(text)
+    # Escapes that JSON has no short form for.
+    escaped = text.contains("\\") & text.rlike(r"(?<!\\)(?:\\\\)*\\[UN]")
+    readable = plain.startswith("[") & plain.endswith("]") & ~escaped
     json = _as_json(text)
     records = F.from_json(json, f"array<{_RECORD}>", _JSON)
     # A list that also holds other things than records: keep the records.

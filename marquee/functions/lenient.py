@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DATE_FORMATS = ("yyyy-MM-dd",)
+WHITE_SPACE = " \t\n\r\f\x0b"
 
 
 def strip_space(text: Column) -> Column:
     """Drop white space of any kind at both ends (``trim`` drops blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -34,7 +35,8 @@ def one_line(text: Column) -> Column:
 def lenient_double(text: Column) -> Column:
     """A finite number or null. Java's ``1.5d`` spelling isn't a number here."""
     plain = strip_space(text.cast("string"))
-    number = F.when(~plain.rlike(r"[0-9.][dDfF]$"), plain.try_cast("double"))
+    suffixed = F.right(plain, F.lit(1)).isin("d", "D", "f", "F")
+    number = F.when(~suffixed, plain.try_cast("double"))
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
