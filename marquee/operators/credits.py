@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions import names_by_pattern
+
 
 def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFrame:
     """One row per listed company, repeats included; titles without any have no row.
@@ -25,3 +27,17 @@ def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFram
         )
         .where("company <> ''")
     )
+
+
+def pattern_credits(titles: DataFrame, text: str) -> DataFrame:
+    """The same from a list text by the name patterns alone, for comparison with such reports.
+
+    Names holding quotes are missed and don't count in ``n_companies``; there are no ids.
+    """
+    others = [name for name in titles.columns if name != text]
+    named = titles.select(*others, names_by_pattern(F.col(text)).alias("_names"))
+    return (
+        named.select(*others, F.size("_names").alias("n_companies"), "_names")
+        .select(*others, "n_companies", F.explode("_names").alias("company"))
+        .withColumn("company_id", F.lit(None).cast("bigint"))
+    )

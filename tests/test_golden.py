@@ -5,7 +5,8 @@ import datetime
 import pytest
 
 from marquee import debut_effect, hidden_gems, rating_stability, roi_by_decile, roi_skipped, top_share
-from marquee.operators.credits import explode_credits
+from marquee.operators.credits import explode_credits, pattern_credits
+from marquee.plans.ingest import as_declared
 
 DETAIL = [
     (1990, 1, 1, "P", 350.0, 0.5),
@@ -51,6 +52,14 @@ def test_equal_year_and_revenue_is_not_multiplied(titles):
     assert detail.agg({"revenue": "sum"}).first()[0] == pytest.approx(700)
 
 
+def test_top_share_of_names_found_by_pattern(titles, rows):
+    texts = titles.join(as_declared(titles).select("id", "production_companies"), "id")
+    credits = pattern_credits(texts.drop("companies", "genres"), "production_companies")
+    assert rows(top_share(titles, credits, output="detail")) == [
+        (row[0], row[1], None, *row[3:]) for row in DETAIL
+    ]
+
+
 def test_roi_cuts(titles, rows):
     assert rows(roi_by_decile(titles, method="cuts")) == [
         (1990, 3, 1.0, 1),
