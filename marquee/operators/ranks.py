@@ -1,10 +1,10 @@
 """Exact order statistics of very large groups.
 
 A handful of periods may hold all rows, so no period may be sorted in one task. The value
-at a given rank is found by counting instead: approximate percentiles around the rank
-split the number line into a few slots, the rows of every slot are counted, and only the
-values in the slot that holds the rank are sorted. The percentiles decide how much is left
-to sort, never the answer.
+at a given rank is found by counting instead. Approximate percentiles give a narrow bracket
+around every wanted rank; one pass then counts the rows by value inside the brackets and as
+a whole between them. What is left is a small table of such cells, and only the cells of a
+bracket are ever sorted. The percentiles decide how small the table gets, never the answer.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions import gap
+from marquee.functions import passed
 from marquee.operators.joins import join_small
-from marquee.scratch import small
+from marquee.operators.running import running_total
+from marquee.scratch import small, written
 
 MOST_GROUPS = 20_000
 MOST_VALUES_PER_SORT = 5_000_000
-REFINING_SHARES = [i / 64 for i in range(65)]
+
+Ranks = dict[float, Callable[[Column], Column]]
 
 
 def nearest_rank(share: float) -> Callable[[Column], Column]:
@@ -35,85 +37,121 @@ def end_of_tile(tile: int, tiles: int) -> Callable[[Column], Column]:
     )
 
 
-def _slots(rows: DataFrame, edges: DataFrame, most: int, by: list[str], value: str) -> DataFrame:
-    """Even slots lie between two of the at most ``most`` edges, odd ones hold the rows on an edge."""
-    slot = gap(F.col("_edges"), F.col(value), most).alias("_slot")
-    return join_small(rows, edges, by).select(*by, value, slot)
+def _cells(
+    rows: DataFrame, by: list[str], value: str, shares: list[float], measure: str | None, accuracy: int, slack: float
+) -> DataFrame:
+    """``by…, _slot, _inside, low, ties`` (and ``total, measured``), written as a table.
 
+    A cell is one value inside a bracket, or all rows between two brackets; ``low`` is its
+    smallest value. Slots follow the order of the values.
+    """
+    lows, highs = [max(0.0, p - slack) for p in shares], [min(1.0, p + slack) for p in shares]
+    points = sorted({*lows, *highs})
+    around = small(
+        rows.groupBy(*by).agg(F.percentile_approx(value, points, accuracy).alias("_points")), MOST_GROUPS
+    )
 
-def values_at_ranks(
+    def values_at(wanted: list[float]) -> Column:
+        return F.array(*[F.get("_points", F.lit(points.index(p))) for p in wanted])
+
+    brackets = around.select(*by, values_at(lows).alias("_lows"), values_at(highs).alias("_highs"))
+    measured = [measure] if measure else []
+    placed = (
+        join_small(rows, brackets, by)
+        .select(
+            *by,
+            value,
+            *measured,
+            passed(F.col("_lows"), F.col(value), len(shares)).alias("_entered"),
+            passed(F.col("_highs"), F.col(value), len(shares), including=False).alias("_left"),
+        )
+        # Both counts only grow with the value, so equal sums mean equal counts.
+        .withColumn("_slot", F.col("_entered") + F.col("_left"))
+        .withColumn("_inside", F.col("_entered") > F.col("_left"))
+    )
+    sums = [F.sum(measure).alias("total"), F.count(measure).alias("measured")] if measure else []
+    return written(
+        placed.groupBy(*by, "_slot", "_inside", F.when(F.col("_inside"), F.col(value)).alias("_key"))
+        .agg(F.min(value).alias("low"), F.count("*").alias("ties"), *sums)
+        .drop("_key")
+    )
+
+
+def _wanted(cells: DataFrame, by: list[str], ranks: Ranks) -> DataFrame:
+    """Per group and rank: the slot that holds it and the rows in the slots below."""
+    in_order = Window.partitionBy(*by).orderBy("_slot")
+    targets = F.array(
+        *[
+            F.struct(F.lit(i).alias("target"), rank(F.col("n")).cast("bigint").alias("rank"))
+            for i, rank in enumerate(ranks.values())
+        ]
+    )
+    return small(
+        cells.groupBy(*by, "_slot", "_inside")
+        .agg(F.sum("ties").alias("_in_slot"), F.count("*").alias("_values"))
+        .withColumn("n", F.sum("_in_slot").over(Window.partitionBy(*by)))
+        .withColumn("_below", F.sum("_in_slot").over(in_order) - F.col("_in_slot"))
+        .withColumn("_t", F.explode(targets))
+        .select(*by, "_slot", "_inside", "_values", "_in_slot", "n", "_below", "_t.*")
+        .where("_below < rank AND rank <= _below + _in_slot")
+        .drop("_in_slot"),
+        MOST_GROUPS * len(ranks),
+    )
+
+
+def ranked_cells(
     rows: DataFrame,
     by: list[str],
     value: str,
-    ranks: dict[float, Callable[[Column], Column]],
+    ranks: Ranks,
+    measure: str | None = None,
     accuracy: int = 10_000,
+    slack: float | None = None,
     most_per_sort: int = MOST_VALUES_PER_SORT,
+) -> tuple[DataFrame, DataFrame]:
+    """The values at the ranks, see ``values_at_ranks``, and the cells they come from.
+
+    No two wanted values, nor rows on different sides of one, share a cell: sums over the
+    rows between the ranks can be taken from the cells, ``low`` standing for the value. With
+    ``measure`` they carry its sum and count as ``total`` and ``measured``.
+    """
+    columns = [*by, value, *([measure] if measure else [])]
+    rows = rows.where(F.col(value).isNotNull()).select(*columns)
+    slack = slack or 2.0 / accuracy
+    while True:
+        cells = _cells(rows, by, value, sorted(ranks), measure, accuracy, slack)
+        wanted = _wanted(cells, by, ranks)
+        if wanted.where("NOT _inside").isEmpty():
+            break
+        slack *= 10  # a bracket has missed its rank; at the widest they cover everything
+
+    slot = [*by, "_slot"]
+    sought = join_small(cells, wanted.select(*slot), slot, "left_semi").select(*slot, "low", "ties")
+    if wanted.where(F.col("_values") > most_per_sort).isEmpty():
+        so_far = Window.partitionBy(*slot).orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
+        sought = sought.withColumn("start", F.sum("ties").over(so_far) - F.col("ties"))
+    else:
+        sought = running_total(sought, slot, ["low"], "ties")
+    found = (
+        join_small(sought, wanted, slot)
+        .withColumn("before", F.col("_below") + F.col("start"))
+        .where("before < rank AND rank <= before + ties")
+        .select(*by, "target", "n", "rank", F.col("low").alias("value"), "before", "ties")
+    )
+    return found, cells
+
+
+def values_at_ranks(
+    rows: DataFrame, by: list[str], value: str, ranks: Ranks, **options: float
 ) -> DataFrame:
     """For each group and each wanted rank: the value there and how its ties lie.
 
     ``ranks`` maps the approximate share of the rows below the rank to the rank itself as
     an expression of the group's row count. Null values are left out. ``rows`` is read
-    several times, so it should be a table. The result is small:
+    twice, so it should be a table. The result is small:
 
     ``by…, target (0, 1, … in the order of ranks), n, rank, value, before, ties``
 
     with ``before`` rows smaller than the value and ``ties`` rows equal to it.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(*by, value)
-    slack = 2.0 / accuracy
-    shares = sorted({min(1.0, max(0.0, p + d)) for p in ranks for d in (-slack, slack)})
-    edges = small(
-        rows.groupBy(*by).agg(
-            F.array_distinct(F.percentile_approx(value, shares, accuracy)).alias("_edges")
-        ),
-        MOST_GROUPS,
-    )
-    most_edges = len(shares)
-    in_order = Window.partitionBy(*by).orderBy("_slot")
-    targets = F.array(
-        *[
-            F.struct(F.lit(i).alias("target"), rank(F.col("n")).cast("bigint").alias("rank"))
-            for i, rank in enumerate(ranks.values())
-        ]
-    )
-    while True:
-        slotted = _slots(rows, edges, most_edges, by, value)
-        wanted = small(
-            slotted.groupBy(*by, "_slot")
-            .agg(F.count("*").alias("_in_slot"))
-            .withColumn("n", F.sum("_in_slot").over(Window.partitionBy(*by)))
-            .withColumn("_below", F.sum("_in_slot").over(in_order) - F.col("_in_slot"))
-            .withColumn("_t", F.explode(targets))
-            .select(*by, "_slot", "_in_slot", "n", "_below", "_t.*")
-            .where("_below < rank AND rank <= _below + _in_slot"),
-            MOST_GROUPS * len(ranks),
-        )
-        crowded = wanted.where((F.col("_in_slot") > most_per_sort) & (F.col("_slot") % 2 == 0))
-        if crowded.isEmpty():
-            break
-        finer = (
-            join_small(slotted, crowded.select(*by, "_slot"), [*by, "_slot"], "left_semi")
-            .groupBy(*by)
-            .agg(F.percentile_approx(value, REFINING_SHARES, accuracy).alias("_edges"))
-        )
-        most_edges += len(REFINING_SHARES)
-        edges = small(
-            edges.unionByName(finer)
-            .groupBy(*by)
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_edges")))).alias("_edges")),
-            MOST_GROUPS,
-        )
-
-    counted = (
-        join_small(slotted, wanted.select(*by, "_slot"), [*by, "_slot"], "left_semi")
-        .groupBy(*by, "_slot", value)
-        .agg(F.count("*").alias("ties"))
-    )
-    smaller = Window.partitionBy(*by, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumn("_before", F.sum("ties").over(smaller) - F.col("ties"))
-    return (
-        join_small(counted, wanted, [*by, "_slot"])
-        .withColumn("before", F.col("_below") + F.col("_before"))
-        .where("before < rank AND rank <= before + ties")
-        .select(*by, "target", "n", "rank", F.col(value).alias("value"), "before", "ties")
-    )
+    return ranked_cells(rows, by, value, ranks, **options)[0]

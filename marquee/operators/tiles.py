@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import passed
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import MOST_GROUPS, end_of_tile, values_at_ranks
+from marquee.operators.ranks import MOST_GROUPS, end_of_tile, ranked_cells
 from marquee.operators.running import spread, total_in_block
 from marquee.scratch import small
 
@@ -19,28 +19,29 @@ def tile_sums(
     ties: list[str],
     measure: str,
     tiles: int = 10,
-    **select: int,
+    **options: float,
 ) -> DataFrame:
     """Sums per tile of ``ntile(tiles) over (partition by … order by value, ties…)``.
 
-    Only the values at the ends of the tiles matter. A row between two of them has its
-    tile without being sorted; only rows that equal an end value which falls into two
+    Only the values at the ends of the tiles matter. The rows between two of them are summed
+    up without being sorted; only rows that equal an end value which falls into two
     tiles are spread by ``ties``, and of those only the blocks at an end are sorted. Result: ``by…, tile, n, total, measured`` with the sum
     and the count of ``measure``. ``value`` must not be null.
     """
     rows = rows.select(*by, value, *ties, measure)
     ranks = {t / tiles: end_of_tile(t, tiles) for t in range(1, tiles)}
-    ends = small(values_at_ranks(rows, by, value, ranks, **select), MOST_GROUPS * tiles)
+    found, cells = ranked_cells(rows, by, value, ranks, measure, **options)
+    ends = small(found, MOST_GROUPS * tiles)
     split = ends.where("rank < before + ties").select(*by, F.col("value").alias(value))
     any_split = not split.isEmpty()
 
     values = ends.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_ends"))
-    located = join_small(rows, values, by)
-    located = located.withColumn("tile", passed(F.col("_ends"), F.col(value), tiles - 1, including=False) + 1)
+    located = join_small(cells, values, by)
+    located = located.withColumn("tile", passed(F.col("_ends"), F.col("low"), tiles - 1, including=False) + 1)
     if any_split:
-        located = join_small(located, split, [*by, value], "left_anti")
+        located = join_small(located, split.withColumnRenamed(value, "low"), [*by, "low"], "left_anti")
     whole = located.groupBy(*by, "tile").agg(
-        F.count("*").alias("n"), F.sum(measure).alias("total"), F.count(measure).alias("measured")
+        F.sum("ties").alias("n"), F.sum("total").alias("total"), F.sum("measured").alias("measured")
     )
     if not any_split:
         return whole

@@ -83,7 +83,11 @@ def _exact_limits(measured: DataFrame, high_q: float, low_q: float, accuracy: in
     low = (F.col("_rating") == 0) & (F.col("target") == 1)
     return (
         values_at_ranks(
-            measured.select("decade", F.inline(either)), ["decade", "_rating"], "_x", ranks, accuracy
+            measured.select("decade", F.inline(either)),
+            ["decade", "_rating"],
+            "_x",
+            ranks,
+            accuracy=accuracy,
         )
         .groupBy("decade")
         .agg(

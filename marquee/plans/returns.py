@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import band, return_on_investment
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import MOST_GROUPS, nearest_rank, values_at_ranks
+from marquee.operators.ranks import MOST_GROUPS, nearest_rank, ranked_cells
 from marquee.operators.tiles import tile_sums
 from marquee.plans.shape import with_decade
 from marquee.scratch import small
@@ -21,15 +21,17 @@ def _funded(titles: DataFrame, width: int, keep_null_period: bool) -> DataFrame:
     )
 
 
-def _gate(funded: DataFrame, min_movies: int, min_budgets: int) -> DataFrame:
-    enough = (F.col("n_movies") >= min_movies) & (F.col("n_budgets") >= min_budgets)
-    return (
-        funded.groupBy("decade")
-        .agg(F.count("revenue").alias("n_movies"), F.count("*").alias("n_budgets"))
-        .withColumn("enough", enough)
+def _sizes(funded: DataFrame) -> DataFrame:
+    return funded.groupBy("decade").agg(
+        F.count("revenue").alias("n_movies"), F.count("*").alias("n_budgets")
     )
 
 
+def _gate(sizes: DataFrame, min_movies: int, min_budgets: int) -> DataFrame:
+    enough = (F.col("n_movies") >= min_movies) & (F.col("n_budgets") >= min_budgets)
+    return sizes.withColumn("enough", enough)
+
+
 def roi_by_decile(
     titles: DataFrame,
     method: str = "ntile",
@@ -48,32 +50,30 @@ def roi_by_decile(
     (the same unless given) drop small decades, see ``roi_skipped``. ``densify`` adds empty
     deciles as zero. ``titles`` is read several times, so it should be a table.
     """
-    funded = _funded(titles, width, keep_null_period)
     least = min_rows if min_budgets is None else min_budgets
     roi = return_on_investment(F.col("budget"), F.col("revenue"))
+    funded = _funded(titles, width, keep_null_period).withColumn("roi", roi)
 
     if method == "ntile":
-        sums = tile_sums(funded.withColumn("roi", roi), ["decade"], "budget", ["id"], "roi", tiles)
+        sums = tile_sums(funded, ["decade"], "budget", ["id"], "roi", tiles)
         sums = sums.withColumnRenamed("tile", "bud_decile")
     elif method == "cuts":
         ranks = {i / tiles: nearest_rank(i * (100 / tiles) / 100) for i in range(1, tiles)}
-        cuts = (
-            values_at_ranks(funded, ["decade"], "budget", ranks)
-            .groupBy("decade")
-            .agg(F.sort_array(F.collect_list("value")).alias("_cuts"))
-        )
-        earned = funded.where(F.col("revenue").isNotNull())
+        found, cells = ranked_cells(funded, ["decade"], "budget", ranks, "roi")
+        cuts = found.groupBy("decade").agg(F.sort_array(F.collect_list("value")).alias("_cuts"))
         sums = (
-            join_small(earned, cuts, ["decade"])
-            .withColumn("bud_decile", band(F.col("_cuts"), F.col("budget"), tiles - 1))
+            join_small(cells, cuts, ["decade"])
+            .withColumn("bud_decile", band(F.col("_cuts"), F.col("low"), tiles - 1))
             .groupBy("decade", "bud_decile")
-            .agg(F.sum(roi).alias("total"), F.count(roi).alias("measured"), F.count("*").alias("n"))
+            .agg(F.sum("total").alias("total"), F.sum("measured").alias("measured"))
+            .withColumn("n", F.col("measured"))
+            .where("n > 0")
         )
     else:
         raise ValueError("method must be ntile or cuts")
 
     if min_rows > 1 or least > 1 or densify:
-        kept = small(_gate(funded, min_rows, least).where("enough").select("decade"), MOST_GROUPS)
+        kept = small(_gate(_sizes(funded), min_rows, least).where("enough").select("decade"), MOST_GROUPS)
         if densify:
             spine = kept.withColumn("bud_decile", F.explode(F.sequence(F.lit(1), F.lit(tiles))))
             sums = join_small(spine, sums, ["decade", "bud_decile"], "left")
@@ -97,7 +97,7 @@ def roi_skipped(
     """The decades ``roi_by_decile`` leaves out, with their sizes and the limits."""
     least = min_rows if min_budgets is None else min_budgets
     return (
-        _gate(_funded(titles, width, keep_null_period), min_rows, least)
+        _gate(_sizes(_funded(titles, width, keep_null_period)), min_rows, least)
         .where(~F.col("enough"))
         .select(
             "decade",

@@ -46,7 +46,10 @@ def skewed(seed):
     return data + [(1, 3.0)] * 7 + [(2, None)]
 
 
-@pytest.mark.parametrize("options", [{}, {"accuracy": 20}, {"accuracy": 50, "most_per_sort": 5}])
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"accuracy": 20}, {"accuracy": 50, "most_per_sort": 5}, {"accuracy": 5, "slack": 1e-9}],
+)
 def test_values_at_ranks(spark, options):
     check_ranks(spark, skewed(1), **options)
 
