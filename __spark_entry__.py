@@ -827,7 +827,8 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN odd THEN decade END AS period, CASE WHEN odd THEN budget END AS budget,
                    revenue, popularity, vote_average, coalesce(vote_count, 0) AS vote_count,
                    CASE WHEN odd THEN 'A''s' ELSE '' END AS companies,
-                   CASE WHEN odd THEN 2 ELSE 0 END AS n_genres, CAST(CASE WHEN odd THEN 0 ELSE 1 END AS BIGINT) AS n_unreadable
+                   CASE WHEN odd THEN 2 ELSE 0 END AS n_genres,
+                   CAST(CASE WHEN odd THEN 0 ELSE 1 END AS BIGINT) AS n_unreadable
             FROM parity""",
         "report_concentration": _sql_shares(
             "decade",

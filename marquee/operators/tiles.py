@@ -24,9 +24,10 @@ def tile_sums(
     """Sums per tile of ``ntile(tiles) over (partition by … order by value, ties…)``.
 
     Only the values at the ends of the tiles matter. The rows between two of them are summed
-    up without being sorted; only rows that equal an end value which falls into two
-    tiles are spread by ``ties``, and of those only the blocks at an end are sorted. Result: ``by…, tile, n, total, measured`` with the sum
-    and the count of ``measure``. ``value`` must not be null.
+    up without being sorted; only rows that equal an end value which falls into two tiles
+    are spread by ``ties``, and of those only the blocks at an end are sorted. Result:
+    ``by…, tile, n, total, measured`` with the sum and the count of ``measure``. ``value``
+    must not be null.
     """
     rows = rows.select(*by, value, *ties, measure)
     ranks = {t / tiles: end_of_tile(t, tiles) for t in range(1, tiles)}

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CSV = {"header": "true", "escape": '"', "encoding": "UTF-8"}
+_CSV = {
+    "header": "true",
+    "escape": '"',
+    "encoding": "UTF-8",
+    # Writing would strip blanks by default.
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_csv(

@@ -128,6 +128,13 @@ def test_csv_round_trip(spark, titles, tmp_path):
     assert back.where("id = '9'").first().release_date in (None, "")
 
 
+def test_csv_keeps_every_character(spark, tmp_path):
+    texts = [" padded ", 'quo"ted', "a,b", "line\nend", "back\\slash", "tab\t", "été", "'", '"', '\\"']
+    path = str(tmp_path / "texts")
+    write_csv(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), path)
+    assert [r.t for r in read_csv(spark, path).orderBy(F.col("i").cast("int")).collect()] == texts
+
+
 def test_titles_are_stored_by_period(spark, titles, tmp_path):
     path = str(tmp_path / "titles")
     write_titles(titles, path)
