@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import debut_effect, hidden_gems, load_check, profile, rating_stability
-from marquee import roi_by_decile, roi_skipped, run, top_share
+from marquee import report, roi_by_decile, roi_skipped, run, top_share
 from marquee.functions import (
     blank_to_null,
     capped_bucket,
@@ -33,7 +33,7 @@ from marquee.operators.tiles import tile_sums
 from marquee.plans.ingest import clean, split
 from marquee.plans.shape import in_digits
 from marquee.scratch import scratch_path, written
-from marquee.sources.files import read_csv, report_lines, write_csv, write_titles
+from marquee.sources.files import read_csv, write_csv, write_titles
 from marquee.sources.orders import order_credits, order_titles, table
 
 MONEY = {"revenue": 2, "total": 2}
@@ -440,7 +440,11 @@ def report_gems(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_text(spark: SparkSession, folder: str) -> DataFrame:
-    return report_lines(stability(spark, folder), ["decade", "bucket"], {"mean": 3, "std": 3})
+    return report("stab", order_titles(spark, folder))
+
+
+def report_text_concentration(spark: SparkSession, folder: str) -> DataFrame:
+    return report("mc", order_titles(spark, folder, False), order_credits(spark, folder, False))
 
 
 _QUERIES = [
@@ -490,6 +494,7 @@ _QUERIES = [
     report_debuts,
     report_gems,
     report_text,
+    report_text_concentration,
 ]
 
 
@@ -557,6 +562,12 @@ _BY_ID = _DETAIL.format(e="company_id, company")
 _BY_NAME = _DETAIL.format(e="company")
 
 
+_LINES = """
+  rank, printf('%d%sTOP5|%.4f|TOTAL|%.2f', decade, chr(9), round(top / total * 100, 4), round(total, 2)) AS summary,
+  printf('%d|TOP%d%s%d|%s|%.2f|%.4f', decade, rank, chr(9), company_id, company,
+         round(revenue, 2), round(revenue / total * 100, 4)) AS detail"""
+
+
 def _sql_ntile(period: str) -> str:
     return f"""
     WITH {_TITLES}, tiled AS (
@@ -854,6 +865,9 @@ def oracle_sql() -> dict[str, str]:
             FROM ({_sql_gems("decade", "true", "")})""",
         "report_text": f"""
             SELECT CAST(decade AS VARCHAR) || '|' || bucket || chr(9)
-                   || printf('%.3f|%.3f|%d', mean, std, n) AS value
+                   || printf('%.6f|%.6f|%d', mean, std, n) AS value
             FROM ({stable})""",
+        "report_text_concentration": f"""
+            SELECT unnest(CASE WHEN rank = 1 THEN [summary, detail] ELSE [detail] END) AS value
+            FROM ({_sql_shares("decade", "company_id, company", 5, _LINES, "rank IS NOT NULL")})""",
     }

@@ -4,7 +4,7 @@ from marquee.plans.concentration import top_share
 from marquee.plans.debuts import debut_effect
 from marquee.plans.gems import hidden_gems
 from marquee.plans.ingest import ingest, load_check, profile
-from marquee.plans.registry import run, variants
+from marquee.plans.registry import report, run, variants
 from marquee.plans.returns import roi_by_decile, roi_skipped
 from marquee.plans.stability import rating_stability
 
@@ -15,6 +15,7 @@ __all__ = [
     "load_check",
     "profile",
     "rating_stability",
+    "report",
     "roi_by_decile",
     "roi_skipped",
     "run",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from marquee.plans.gems import hidden_gems
 from marquee.plans.returns import roi_by_decile
 from marquee.plans.shape import in_digits
 from marquee.plans.stability import rating_stability
+from marquee.sources.files import report_lines
 
 # How many votes a title needs unless the caller says otherwise.
 DEFAULT_MIN_VOTES = 10
@@ -36,6 +38,13 @@ REPORT_DIGITS = {
     "mean": 6,
     "std": 6,
 }
+# The columns in front of the tab in a report line.
+REPORT_KEYS = {
+    "roi": ["decade", "decile"],
+    "debut": ["cid", "name"],
+    "hg": ["decade"],
+    "stab": ["decade", "bucket"],
+}
 # The smallest decade the gated return report shows.
 REPORT_MIN_ROWS = 20
 
@@ -86,37 +95,49 @@ def _debut_report(credits: DataFrame) -> DataFrame:
     ).orderBy(F.coalesce(F.col("cid").cast("string"), F.lit("")), "name")
 
 
-_VARIANTS: dict[str, Callable[[DataFrame, DataFrame, int | None], DataFrame]] = {
+@dataclass
+class Limits:
+    """What a caller may set: votes for the gems, titles and budgets per decade for the returns."""
+
+    min_votes: int = DEFAULT_MIN_VOTES
+    min_rows: int = REPORT_MIN_ROWS
+    min_budgets: int | None = None
+
+
+_VARIANTS: dict[str, Callable[[DataFrame, DataFrame, Limits], DataFrame]] = {
     # The query service: companies by name, fractions, capped lists.
-    "q1": lambda t, c, v: _named(top_share(t, c, entity="name"), top_share="top5_share"),
-    "q1_general": lambda t, c, v: _named(
+    "q1": lambda t, c, limits: _named(top_share(t, c, entity="name"), top_share="top5_share"),
+    "q1_general": lambda t, c, limits: _named(
         top_share(t, c, entity="name", output="summary").where("top_share > 0").drop("total"),
         top_share="top5_share",
     ),
-    "q1_detalle": lambda t, c, v: top_share(t, c, entity="name", output="detail"),
-    "q2": lambda t, c, v: roi_by_decile(t, keep_null_period=True),
-    "q3": lambda t, c, v: debut_effect(c, entity="name"),
-    "q4": lambda t, c, v: hidden_gems(t, min_votes_of(v)),
-    "q5": lambda t, c, v: _named(
+    "q1_detalle": lambda t, c, limits: top_share(t, c, entity="name", output="detail"),
+    "q2": lambda t, c, limits: roi_by_decile(t, keep_null_period=True),
+    "q3": lambda t, c, limits: debut_effect(c, entity="name"),
+    "q4": lambda t, c, limits: hidden_gems(t, limits.min_votes),
+    "q5": lambda t, c, limits: _named(
         rating_stability(t, zero_weight="count", keep_null_period=True), mean="mean_va", std="sd_va"
     ),
     # The batch reports: companies by id and name, percents, fixed decimals, no caps.
-    "mc_summary": lambda t, c, v: in_digits(_mc_summary(t, c), REPORT_DIGITS),
-    "mc_detail": lambda t, c, v: in_digits(_mc_detail(t, c), REPORT_DIGITS),
-    "roi": lambda t, c, v: in_digits(
+    "mc_summary": lambda t, c, limits: in_digits(_mc_summary(t, c), REPORT_DIGITS),
+    "mc_detail": lambda t, c, limits: in_digits(_mc_detail(t, c), REPORT_DIGITS),
+    "roi": lambda t, c, limits: in_digits(
         _named(
-            roi_by_decile(t, method="cuts", min_rows=REPORT_MIN_ROWS, densify=True), bud_decile="decile"
+            roi_by_decile(
+                t, "cuts", min_rows=limits.min_rows, min_budgets=limits.min_budgets, densify=True
+            ),
+            bud_decile="decile",
         ),
         REPORT_DIGITS,
     ),
-    "debut": lambda t, c, v: in_digits(_debut_report(c), REPORT_DIGITS),
-    "hg": lambda t, c, v: in_digits(
+    "debut": lambda t, c, limits: in_digits(_debut_report(c), REPORT_DIGITS),
+    "hg": lambda t, c, limits: in_digits(
         _named(
-            hidden_gems(t, min_votes_of(v), scope="all", limit=None), original_title="title", vc="votes"
+            hidden_gems(t, limits.min_votes, scope="all", limit=None), original_title="title", vc="votes"
         ),
         REPORT_DIGITS,
     ),
-    "stab": lambda t, c, v: in_digits(rating_stability(t), REPORT_DIGITS),
+    "stab": lambda t, c, limits: in_digits(rating_stability(t), REPORT_DIGITS),
 }
 
 
@@ -125,10 +146,42 @@ def variants() -> list[str]:
 
 
 def run(
-    name: str, titles: DataFrame, credits: DataFrame | None = None, min_votes: object = None
+    name: str,
+    titles: DataFrame,
+    credits: DataFrame | None = None,
+    min_votes: object = None,
+    min_rows: int = REPORT_MIN_ROWS,
+    min_budgets: int | None = None,
 ) -> DataFrame:
-    """The named analysis over a titles table; only ``q4`` and ``hg`` heed ``min_votes``."""
+    """The named analysis over a titles table.
+
+    Only ``q4`` and ``hg`` heed ``min_votes``, only ``roi`` the other two limits. Without
+    ``credits`` the companies listed in ``titles`` are used.
+    """
     if name not in _VARIANTS:
         raise KeyError(f"unknown query {name!r}; available: {', '.join(_VARIANTS)}")
-    credits = explode_credits(titles) if credits is None else credits
-    return _VARIANTS[name](titles, credits, min_votes)
+    if credits is None and "companies" in titles.columns:
+        credits = explode_credits(titles)
+    return _VARIANTS[name](titles, credits, Limits(min_votes_of(min_votes), min_rows, min_budgets))
+
+
+def report(name: str, titles: DataFrame, credits: DataFrame | None = None, **limits: object) -> DataFrame:
+    """The lines of a batch report in one text column: ``mc``, ``roi``, ``debut``, ``hg`` or ``stab``."""
+    if name == "mc":
+        return _concentration_report(titles, credits)
+    if name not in REPORT_KEYS:
+        raise KeyError(f"unknown report {name!r}; available: mc, {', '.join(REPORT_KEYS)}")
+    return report_lines(run(name, titles, credits, **limits), REPORT_KEYS[name], REPORT_DIGITS)
+
+
+def _concentration_report(titles: DataFrame, credits: DataFrame | None) -> DataFrame:
+    """Per decade a line with the common share and the total, then the ranked companies."""
+    shares = run("mc_summary", titles, credits).select(
+        "decade", F.lit("TOP5").alias("top"), "top5_pct", F.lit("TOTAL").alias("all"), "total"
+    )
+    ranked = run("mc_detail", titles, credits).withColumn("place", F.concat(F.lit("TOP"), "rank"))
+    ranked = ranked.select("decade", "place", "rank", "cid", "name", "revenue", "pct")
+    first = report_lines(shares, ["decade"], REPORT_DIGITS, keep=["decade"])
+    rest = report_lines(ranked, ["decade", "place"], REPORT_DIGITS, keep=["decade", "rank"])
+    lines = first.unionByName(rest, allowMissingColumns=True)
+    return lines.orderBy("decade", F.col("rank").asc_nulls_first()).select("value")

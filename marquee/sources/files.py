@@ -70,10 +70,13 @@ def write_result(frame: DataFrame, path: str, form: str = "parquet", mode: str =
         raise ValueError("form must be parquet, csv or json")
 
 
-def report_lines(frame: DataFrame, key: list[str], digits: dict[str, int]) -> DataFrame:
+def report_lines(
+    frame: DataFrame, key: list[str], digits: dict[str, int], keep: list[str] | None = None
+) -> DataFrame:
     """One text column ``value``: the key, a tab, and the other columns joined by pipes.
 
-    Numbers named in ``digits`` have that many decimals; null is empty text.
+    Numbers named in ``digits`` have that many decimals; null is empty text. Columns to
+    ``keep`` stay beside the text and, unless they are in the key, out of it.
     """
 
     def text(name: str):
@@ -83,9 +86,9 @@ def report_lines(frame: DataFrame, key: list[str], digits: dict[str, int]) -> Da
             column = F.when(F.col(name).isNotNull(), column)
         return F.coalesce(column.cast("string"), F.lit(""))
 
-    values = [text(name) for name in frame.columns if name not in key]
+    values = [text(name) for name in frame.columns if name not in [*key, *(keep or [])]]
     line = F.concat_ws("\t", F.concat_ws("|", *[text(name) for name in key]), F.concat_ws("|", *values))
-    return frame.select(line.alias("value"))
+    return frame.select(line.alias("value"), *(keep or []))
 
 
 def write_report(frame: DataFrame, path: str, key: list[str], digits: dict[str, int]) -> None:

@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marquee import ingest, load_check, profile, run, variants
+from marquee import ingest, load_check, profile, report, run, variants
 from marquee.operators.credits import explode_credits
 from marquee.plans.ingest import as_declared, clean, dropped_columns, ingest_to, preview, split
 from marquee.plans.registry import min_votes_of
@@ -210,6 +210,37 @@ def test_registry(spark, titles, rows):
     assert run("q1", titles, explode_credits(titles)).count() == 7
 
 
+def test_batch_reports(titles):
+    def lines(name, **limits):
+        return [r.value for r in report(name, titles, **limits).collect()]
+
+    assert lines("mc") == [
+        "1990\tTOP5|100.0000|TOTAL|700.00",
+        "1990|TOP1\t1|P|350.00|50.0000",
+        "1990|TOP2\t2|Q|200.00|28.5714",
+        "1990|TOP3\t3|O'R|100.00|14.2857",
+        "1990|TOP4\t4|S|50.00|7.1429",
+        "2000\tTOP5|28.0000|TOTAL|1250.00",
+        "2000|TOP1\t3|O'R|300.00|24.0000",
+        "2000|TOP2\t4|S|25.00|2.0000",
+        "2000|TOP3\t5|T|25.00|2.0000",
+        "2010\tTOP5|0.0000|TOTAL|20.00",
+    ]
+    assert lines("debut")[0] == "1|P\t1994-05-01|3.000000|10.000000|-0.500000|25.000000|2|3.500000|-15.000000"
+    assert lines("hg", min_votes=12) == ["1990\t3|Gamma|9.000|1.000|40", "2000\t8|Theta|9.500|0.500|12"]
+    assert lines("stab")[2] == "1990|3+\t8.333333|0.942809|2"
+    assert lines("roi") == []
+    small = lines("roi", min_rows=4)
+    assert len(small) == 10
+    assert small[0] == "1990|1\t0.000000|0" and small[2] == "1990|3\t1.000000|1"
+    with pytest.raises(KeyError, match="stab"):
+        report("q1", titles)
+
+
+def test_queries_without_companies_need_no_list(titles):
+    assert run("stab", titles.drop("companies")).count() == 6
+
+
 def test_min_votes_input():
     table = {None: 10, "abc": 10, "inf": 10, "nan": 10, "": 0, "12.9": 12, "-3": 0, 7: 7}
     assert [min_votes_of(value) for value in table] == list(table.values())
