@@ -21,6 +21,9 @@ from marquee.scratch import small, written
 
 MOST_GROUPS = 20_000
 MOST_VALUES_PER_SORT = 5_000_000
+# Every task sends a summary of about this many values per group to the one task that merges
+# the group, while the cells spread over all tasks: better wider brackets than long summaries.
+BRACKET_ACCURACY = 1_000
 
 Ranks = dict[float, Callable[[Column], Column]]
 
@@ -105,7 +108,7 @@ def ranked_cells(
     value: str,
     ranks: Ranks,
     measure: str | None = None,
-    accuracy: int = 10_000,
+    accuracy: int = BRACKET_ACCURACY,
     slack: float | None = None,
     most_per_sort: int = MOST_VALUES_PER_SORT,
 ) -> tuple[DataFrame, DataFrame]:

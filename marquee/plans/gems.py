@@ -29,7 +29,7 @@ def hidden_gems(
     popularity (``low_q``). With ``scope='eligible'`` they are taken over titles with both
     values, enough votes and a plausible decade, with ``'all'`` over every known value of
     the decade. ``method='exact'`` is nearest rank, ``'approx'`` one pass with a rank error
-    below 1 / accuracy. Exact reads ``titles`` several times, so it should be a table.
+    below 1 / ``accuracy``. Exact reads ``titles`` several times, so it should be a table.
     """
     votes = F.coalesce(F.col("vote_count"), F.lit(0)) if scope == "all" else F.col("vote_count")
     base = with_decade(titles, width).select(
@@ -59,7 +59,7 @@ def hidden_gems(
             F.percentile_approx("pop", low_q, accuracy).alias("_pop"),
         )
     elif method == "exact":
-        limits = _exact_limits(measured, high_q, low_q, accuracy)
+        limits = _exact_limits(measured, high_q, low_q)
     else:
         raise ValueError("method must be exact or approx")
 
@@ -72,7 +72,7 @@ def hidden_gems(
     return gems if limit is None else gems.limit(limit)
 
 
-def _exact_limits(measured: DataFrame, high_q: float, low_q: float, accuracy: int) -> DataFrame:
+def _exact_limits(measured: DataFrame, high_q: float, low_q: float) -> DataFrame:
     """Both thresholds per decade, from one pass over ratings and popularities together."""
     either = F.array(
         F.struct(F.lit(1).alias("_rating"), F.col("va").alias("_x")),
@@ -82,13 +82,7 @@ def _exact_limits(measured: DataFrame, high_q: float, low_q: float, accuracy: in
     high = (F.col("_rating") == 1) & (F.col("target") == 0)
     low = (F.col("_rating") == 0) & (F.col("target") == 1)
     return (
-        values_at_ranks(
-            measured.select("decade", F.inline(either)),
-            ["decade", "_rating"],
-            "_x",
-            ranks,
-            accuracy=accuracy,
-        )
+        values_at_ranks(measured.select("decade", F.inline(either)), ["decade", "_rating"], "_x", ranks)
         .groupBy("decade")
         .agg(
             F.max(F.when(high, F.col("value"))).alias("_va"),
