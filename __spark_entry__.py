@@ -5,6 +5,7 @@ Orders stand for titles and their suppliers for companies, see ``marquee/sources
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -503,8 +504,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return top_share_full(spark, "/root/testdata/sf0.001")
 
 
+def _training_text() -> list:
+    """The module with the training text queries and the corpus pipeline, as far as they are there."""
+    found = []
+    for name in ("marquee.llm.queries", "corpus_pipeline"):
+        try:
+            found.append(importlib.import_module(name))
+        except ModuleNotFoundError as missing:
+            if missing.name not in ("marquee.llm", name):
+                raise
+            return found
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    every = {query.__name__: query for query in _QUERIES}
+    for module in _training_text():
+        every |= module.queries()
+    return every
 
 
 # --- the same in SQL -------------------------------------------------------------------
@@ -672,7 +689,7 @@ texts AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _own_sql() -> dict[str, str]:
     stable = _sql_stability("vote_count", "w > 0")
     return {
         "top_share_full": _sql_shares(
@@ -871,3 +888,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT unnest(CASE WHEN rank = 1 THEN [summary, detail] ELSE [detail] END) AS value
             FROM ({_sql_shares("decade", "company_id, company", 5, _LINES, "rank IS NOT NULL")})""",
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    every = _own_sql()
+    for module in _training_text():
+        every |= module.oracle_sql()
+    return every
