@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe
+from marquee.llm import bpe, decontaminate, language
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,9 +38,64 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learnt from two thirds of the documents.
+
+    A document without id is neither held out nor learnt from.
+    """
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    known = language.profiles(documents.where(third != 1), "text", "lang")
+    found = language.predicted(F.col("text"), known)
+    return documents.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), found.alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score"
+    )
+
+
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document shares with the benchmark items."""
+    found = decontaminate.scanned(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "row.doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP10 = f"""
+WITH items AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n,
+         array_to_string(list_slice(w, i, i + 9), ' ') AS words
+  FROM items, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p(i) WHERE len(w) > 0),
+docs AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+hits AS (
+  SELECT d.doc_id, d.i, n, item_id
+  FROM (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS words
+        FROM docs, sizes, unnest(range(1, len(w) - n + 2)) AS p(i)) AS d
+  JOIN windows USING (n, words)),
+covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items
+  FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op8_byte_bpe]}
+    return {query.__name__: query for query in [op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": _OP10}
