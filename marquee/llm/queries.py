@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, language
+from marquee.llm import bpe, decontaminate, language, resample
+from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -21,6 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's importance weight against the well labelled ones, and whether it is drawn."""
+    rows = resample.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    scores = written(rows.select("row.doc_id", "log_weight", "n_grams", "mean", "key"))
+    least = resample.drawn(scores)
+    kept = F.lit(False) if least is None else F.col("key") >= F.lit(least)
+    return scores.select("doc_id", "log_weight", "n_grams", F.col("key").alias("draw_key"), kept.alias("kept"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again."""
     vocabulary = bpe.load(VOCABULARY)
@@ -94,7 +104,7 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op3_quality_resample, op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
