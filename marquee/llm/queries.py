@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, language, resample
+from marquee.llm import bpe, decontaminate, language, resample, simhash
 from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,16 @@ def op3_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", "log_weight", "n_grams", F.col("key").alias("draw_key"), kept.alias("kept"))
 
 
+def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint and the component of near-duplicates it is in."""
+    found = simhash.grouped(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again."""
     vocabulary = bpe.load(VOCABULARY)
@@ -104,7 +114,7 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op3_quality_resample, op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op3_quality_resample, op5_simhash_dedup, op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
