@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, language, resample, simhash
+from marquee.llm import bpe, decontaminate, language, phrases, resample, simhash
 from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's fingerprint against its edited text's and the next document's."""
+    found = phrases.against_next(table(spark, folder, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's importance weight against the well labelled ones, and whether it is drawn."""
     rows = resample.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -114,7 +120,7 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op3_quality_resample, op5_simhash_dedup, op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op2_fingerprints, op3_quality_resample, op5_simhash_dedup, op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
