@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, language, phrases, resample, simhash
+from marquee.llm import bpe, decontaminate, language, lines, phrases, resample, simhash
 from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -37,6 +37,12 @@ def op3_quality_resample(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", "log_weight", "n_grams", F.col("key").alias("draw_key"), kept.alias("kept"))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the runs of lines that came before."""
+    found = lines.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.col("kept").alias("text"))
+
+
 def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and the component of near-duplicates it is in."""
     found = simhash.grouped(table(spark, folder, "documents"))
@@ -119,9 +125,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
+_OP4 = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, i - 1 AS pos, lines[i] AS line,
+         least(50, len(regexp_extract_all(lines[i], '[^ \t\r\f\x0B]+'))) AS w
+  FROM split, unnest(range(1, len(lines) + 1)) AS p(i)),
+counted AS (
+  SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM lines WHERE w > 0),
+windows AS (
+  SELECT doc_id, pos, string_agg(line, chr(10)) OVER ahead AS words, max(pos) OVER ahead AS last
+  FROM counted
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  QUALIFY sum(w) OVER ahead >= 50),
+later AS (
+  SELECT doc_id, pos, last FROM windows
+  QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n, 0) AS n_removed,
+       CASE WHEN lines IS NOT NULL THEN coalesce(text, '') END AS text
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op2_fingerprints, op3_quality_resample, op5_simhash_dedup, op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": _OP10}
+    return {"op4_line_dedup": _OP4, "op10_decontaminate": _OP10}

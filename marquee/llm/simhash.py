@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.batches import signed, text_udf
@@ -249,13 +249,13 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def grouped(
     documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """For each document ``id, fp, root, component``.
+    """For each document ``id, k1, k2, fp, root, component``.
 
-    ``root`` is the smallest fingerprint that can be reached over links, ``component`` the
+    ``k1`` and ``k2`` are hashes of id and text, ``root`` is the smallest fingerprint that can be reached over links, ``component`` the
     smallest id of the documents reached.
     """
     key, value = F.col(f"`{id_column}`"), F.col(f"`{text}`")
-    prints = written(documents.select(key.alias("id"), fingerprint(value, size).alias("fp")))
+    prints = written(documents.select(key.alias("id"), *_row_keys(key, value), fingerprint(value, size).alias("fp")))
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     reached = components(links(classes.select("fp"), max_bits), "a", "b")
     # Only fingerprints with a link are in there; the others are a component of their own.
@@ -263,4 +263,24 @@ def grouped(
     linked = linked.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     labelled = linked.join(least, "root").select("fp", "root", "component")
-    return prints.join(labelled, "fp").select("id", "fp", "root", "component")
+    return prints.join(labelled, "fp").select("id", "k1", "k2", "fp", "root", "component")
+
+
+def _row_keys(id_: Column, text: Column) -> list[Column]:
+    """128 bits that tell rows apart by id and text."""
+    return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(1), id_, text).alias("k2")]
+
+
+def one_of_each(documents: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The document with the smallest id of each component, with its columns as they are.
+
+    Rows without id stay only where a component has no other. Of several rows with the
+    smallest id one stays, chosen by hashes of its text and its other columns.
+    """
+    found = grouped(documents, id_column, text, **options)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("best"))
+    keys = _row_keys(F.col(f"`{id_column}`"), F.col(f"`{text}`"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    chosen = documents.select(row, *keys).join(best.select("best.k1", "best.k2"), ["k1", "k2"], "left_semi")
+    copies = Window.partitionBy("k1", "k2").orderBy(F.xxhash64("row"))
+    return chosen.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")
