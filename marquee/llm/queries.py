@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, language, lines, phrases, resample, simhash
+from marquee.llm import bpe, decontaminate, language, licences, lines, pages, phrases, resample, simhash
 from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,6 +53,36 @@ def op5_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licences that every document names or quotes."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    every = licences.templates()
+    found = licences.index(every, licences.document_frequencies(documents, "text", every))
+    scan = documents.select("doc_id", licences.scanned(F.col("text"), found).alias("s"))
+    base = F.filter("s.matches", lambda m: m["exact"])
+
+    def labels(matches: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    return scan.select(
+        "doc_id",
+        "s.n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["first_word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["first_word"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("s.matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("s.matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op7_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    every = table(spark, folder, "pages")
+    text = pages.extracted(F.col("html"), pages.fitted(every))
+    return every.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again."""
     vocabulary = bpe.load(VOCABULARY)
@@ -154,7 +184,7 @@ FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op6_license_scan, op7_html_extract, op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
