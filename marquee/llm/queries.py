@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, decontaminate, language, licences, lines, pages, phrases, resample, simhash
+from marquee.llm import bpe, chat, decontaminate, language, licences, lines, pages, phrases, resample, simhash
 from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation's turns, their roles recovered by a model learnt from two thirds of them."""
+    rows = table(spark, folder, "conversations")
+    third = "crc32(cast(cast(conv_id as string) as binary)) % 3"
+    blocks = chat.in_blocks(rows, "conv_id", "turn", "text", "role", f"{third} != 1")
+    found = chat.formatted(blocks, chat.learnt(blocks))
+    return found.select(
+        F.col("conversation").alias("conv_id"),
+        F.col("order").alias("turn"),
+        "part",
+        F.coalesce(F.crc32(F.col("conversation").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "role_given",
+        "role",
+        "rendered",
+    )
+
+
 def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Every text's fingerprint against its edited text's and the next document's."""
     found = phrases.against_next(table(spark, folder, "documents"), "doc_id", "text")
@@ -184,7 +201,7 @@ FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op6_license_scan, op7_html_extract, op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op1_chat_turns, op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op6_license_scan, op7_html_extract, op8_byte_bpe, op9_language_id, op10_decontaminate]}
 
 
 def oracle_sql() -> dict[str, str]:
