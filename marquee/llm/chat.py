@@ -111,34 +111,34 @@ def model(
     """A model from counts: roles of first rows, pairs of roles, and (role, first line?, code).
 
     Every count starts above zero. A marker is likely for its own role and unlikely for another
-    one, which the counts can outweigh only for the lines that open a row.
+    one, which counts can outweigh for the lines that open a row, but not for later ones.
     """
     n = range(len(roles))
 
-    def emission(role: int, first: int, markers: Callable[[str], float]) -> list[float]:
-        own = {c: seen.get((role, first, c), 0) for c in range(len(MARKERS) * SHAPES)}
-        marks = [markers(m) + sum(own[i * SHAPES + s] for s in range(SHAPES)) for i, m in enumerate(MARKERS)]
-        shapes = [0.5 + sum(own[i * SHAPES + s] for i in range(len(MARKERS))) for s in range(SHAPES)]
-        mark, form = _log_shares(marks), _log_shares(shapes)
-        return [mark[i] + form[s] for i in range(len(MARKERS)) for s in range(SHAPES)]
+    def shapes(role: int, first: int) -> list[float]:
+        own = [0.5 + sum(seen.get((role, first, i * SHAPES + s), 0) for i in range(len(MARKERS))) for s in range(SHAPES)]
+        return _log_shares(own)
 
-    def opening(role: int) -> list[float]:
-        # Labelled rows don't show turns within a row: the marker has to say it.
-        marks = _log_shares([1.0 if m == roles[role] else 0.02 if m == "name" else 0.0002 for m in MARKERS])
-        form = [x - y for x, y in zip(emission(role, 1, lambda m: 1.0), _spread(role), strict=True)]
-        return [marks[i] + form[i * SHAPES + s] for i in range(len(MARKERS)) for s in range(SHAPES)]
+    def marks(role: int) -> list[float]:
+        own = [sum(seen.get((role, 1, i * SHAPES + s), 0) for s in range(SHAPES)) for i in range(len(MARKERS))]
+        return _log_shares([k + (20.0 if m in ("none", roles[role]) else 0.5) for k, m in zip(own, MARKERS, strict=True)])
 
-    def _spread(role: int) -> list[float]:
-        own = [sum(seen.get((role, 1, i * SHAPES + s), 0) for s in range(SHAPES)) + 1.0 for i in range(len(MARKERS))]
-        return [x for x in _log_shares(own) for _ in range(SHAPES)]
+    # Labelled rows don't say where turns begin within a row: there the marker alone does.
+    def opens(role: int) -> list[float]:
+        return _log_shares([1.0 if m == roles[role] else 0.02 if m == "name" else 0.0002 for m in MARKERS])
+
+    goes_on = _log_shares([1.0 if m == "none" else 0.05 if m == "name" else 0.0005 for m in MARKERS])
+
+    def both(mark: list[float], form: list[float]) -> list[float]:
+        return [x + y for x in mark for y in form]
 
     return Model(
         roles,
         _log_shares([1.0 + starts.get(r, 0) for r in n]),
         [_log_shares([1.0 + turns.get((q, r), 0) for r in n]) for q in n],
-        [emission(r, 1, lambda m, r=r: 20.0 if m in ("none", roles[r]) else 0.5) for r in n],
-        [opening(r) for r in n],
-        [emission(r, 0, lambda m: 50.0 if m == "none" else 0.5) for r in n],
+        [both(marks(r), shapes(r, 1)) for r in n],
+        [both(opens(r), shapes(r, 1)) for r in n],
+        [both(goes_on, shapes(r, 0)) for r in n],
     )
 
 

@@ -43,6 +43,9 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = "script|style|template|noscript|svg|iframe|object|canvas|title|textarea"
 
+# What marks the main part of a page.
+_MARKS = {"in:article", "in:main", "says:main"}
+
 # What a class, id or role says about everything inside, by the words in it.
 SIGNS = {
     "advert": "ad ads advert adverts advertisement adsense banner promo promoted promotion sponsor sponsored sponsors",
@@ -162,6 +165,8 @@ def blocks(page: str) -> list[Block]:
                     close_to(depth)
         own = _own(tag, match["rest"])
         around = stack[-1].around
+        if tag in ("header", "footer") and not around & _MARKS:
+            own.add(f"outer:{tag}")
         stack.append(_Open(tag, around | own if own - around else around))
         opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
@@ -176,8 +181,6 @@ def _of_text(text: str, linked: int) -> list[str]:
     found = [f"words:{min(words, 400).bit_length()}", f"links:{min(4, 4 * linked // n)}"]
     if text[-1] in ".!?…。\"”":
         found.append("sentence")
-    if text.count(", ") + text.count(". ") >= 2:
-        found.append("clauses")
     if n < 200 and _TELLING.search(text):
         found.append("telling")
     return found
@@ -220,7 +223,7 @@ def main_text(page: str | None, field: Field) -> str:
     return "\n".join(block.text for block, kept in zip(found, labels(found, field), strict=True) if kept)
 
 
-def train(pages: list[list[tuple[tuple[str, ...], bool]]], rounds: int = ROUNDS, ridge: float = 0.02) -> Field:
+def train(pages: list[list[tuple[tuple[str, ...], bool]]], rounds: int = ROUNDS, ridge: float = 0.1) -> Field:
     """Fit the field to labelled pages by maximum likelihood, all pages step by step together."""
     names = sorted({f for page in pages for features, _ in page for f in features})
     number = {f: i for i, f in enumerate(names)}
@@ -270,7 +273,7 @@ def train(pages: list[list[tuple[tuple[str, ...], bool]]], rounds: int = ROUNDS,
 
 # Written pages for training: every block of text opens with + if it is main text, else with -.
 WRITTEN = [
-    "<body><header><div class=logo>-The Daily Example</div><nav><a>-Home</a> <a>News</a> <a>Sport</a></nav></header>"
+    "<body><header><h1>-The Daily Example</h1><p>-All the news from the valley, every day.</p><nav><a>-Home</a> <a>News</a> <a>Sport</a></nav></header>"
     "<div class=cookie-notice><p>-We use cookies to give you the best experience. By going on you agree to our privacy policy.</p><button>-Accept</button></div>"
     "<main><article><h1>+Rain returns to the valley</h1><p class=byline>+By a reporter in the north of the country</p>"
     "<p>+After three dry months, rain fell on the valley on Monday night, and farmers were seen dancing.</p>"
@@ -296,7 +299,7 @@ WRITTEN = [
     "<div class=share><a>-Share this</a></div><aside><p>-Read more: our special on pepper, with pictures and recipes, is out now.</p></aside>"
     "<p>+In some places it is still carried by camels.</p><p>+Cookies need it too.</p><p>+Related</p><p>+© 1999</p><p>+See</p><div class=comments><p>-First! What a nice piece, I liked it a lot, and will tell my friends.</p></div></article>"
     "<footer>-Salt and Sons, all the news on salt since a long time.</footer></body>",
-    "<body><div class=header>-My notebook</div><div class=post><h2>+On walking</h2><p>+I walked to the sea today.</p><p>+It was further than I thought, and I came home late.</p>"
+    "<body><header><h1>-My notebook</h1></header><div class=post><h2>+On walking</h2><p>+I walked to the sea today.</p><p>+It was further than I thought, and I came home late.</p>"
     "<p>+Good.</p></div><div class=sidebar><h3>-Archive</h3><p>-January, February, March, and all the other months.</p></div>"
     "<div class=alert role=dialog><p>-This site needs your consent, please read the following with care.</p></div>"
     "<div class=footer><p>-Written by me, in my own time, and not for sale.</p></div></body>",
@@ -306,6 +309,11 @@ WRITTEN = [
     "<dt>+Stern</dt><dd>+The back of a boat, where the rudder is.</dd></dl><pre>+a knot in four steps</pre></div>"
     "<div role=complementary><p>-Join our sailing school, the oldest on the coast, and learn it in a week.</p></div>"
     "<div role=contentinfo><p>-The sailing pages, made on the coast.</p></div><form role=search><label>-Search</label><button>-Go</button></form></body>",
+    "<p>+A single paragraph is all there is on this page. It has two sentences, and no frame.",
+    "<body>+Plain words without any element, which are the page's main text all the same.</body>",
+    "<body><div>+The first part of a page made of plain boxes, which say nothing of what they hold.</div>"
+    "<div>+And the second part, which is just as long, and just as much a part of the text.</div></body>",
+    "<html><body><ul><li><a>-Home</a></li><li><a>-Log in</a></li></ul></body></html>",
 ]
 
 
@@ -319,7 +327,6 @@ def written_pages() -> list[list[tuple[tuple[str, ...], bool]]]:
     return found
 
 
-_MARKS = {"in:article", "in:main", "says:main"}
 _NEVER = {"in:nav", "in:aside", "in:footer", "in:form", "says:advert", "says:menu", "says:comment", "says:notice", "says:side", "unseen"}
 
 
@@ -346,7 +353,7 @@ def fitted(pages: DataFrame, page: str = "html", most: int = MOST_PAGES) -> Fiel
     sample = small.orderBy(F.xxhash64("page"), "page").limit(most).collect()
     own = marked_pages([row.page for row in sample])
     written = written_pages()
-    return train(written * max(1, len(own) // len(written)) + own)
+    return train(written * max(4, len(own) // len(written)) + own)
 
 
 def extracted(page: Column, field: Field) -> Column:

@@ -30,7 +30,7 @@ from marquee.scratch import written
 
 BUCKETS = 10_000
 TEMPERATURE = 0.01
-MARGIN = 0.15
+MARGIN = 0.2
 # The target model is fitted on so many labelled documents at most; the raw model on all.
 MOST_TARGETS = 20_000
 

@@ -105,6 +105,8 @@ def _split(groups: DataFrame, masks: list[int], n_parts: int) -> tuple[DataFrame
     for mask, own in longer.items():
         choice = F.when(F.col("mask") == F.lit(_number(mask)), F.array(*[F.lit(_number(m)) for m in own])).otherwise(choice)
     rows = groups.select("fp", F.explode(choice).alias("mask"))
+    if len(masks) > 1:  # different ways down may fix the same bits
+        rows = rows.distinct()
     return rows.withColumn("top", F.col("fp").bitwiseAND(F.col("mask"))), sorted({m for own in longer.values() for m in own})
 
 
@@ -121,8 +123,10 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, group: int = GROUP)
         sizes = rows.groupBy("mask", "top").agg(F.count("*").alias("n")).where("n > 1")
         # Groups of one have no pair. A fully fixed group is one fingerprint.
         sizes = written(sizes)
-        ready.append(rows.join(sizes.where(F.col("n") <= group).drop("n"), ["mask", "top"], "left_semi"))
-        large = sizes.where(F.col("n") > group).drop("n")
+        # With a few bits left, a group has few members whatever the limit.
+        too_large = (F.col("n") > group) & (F.bit_count("mask") < BITS - 8)
+        ready.append(rows.join(sizes.where(~too_large).drop("n"), ["mask", "top"], "left_semi"))
+        large = sizes.where(too_large).drop("n")
         if large.isEmpty():
             break
         rows, masks = _split(rows.join(large, ["mask", "top"], "left_semi"), masks, max_bits + 1)
