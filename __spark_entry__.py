@@ -8,11 +8,11 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import debut_effect, hidden_gems, load_check, profile, rating_stability
-from marquee import report, roi_by_decile, roi_skipped, run, top_share
+from marquee import report, roi_by_decile, roi_skipped, run, top_share, variants
 from marquee.functions import (
     blank_to_null,
     capped_bucket,
@@ -31,15 +31,17 @@ from marquee.functions import (
 from marquee.operators.ranks import nearest_rank, values_at_ranks
 from marquee.operators.running import running_total
 from marquee.operators.tiles import tile_sums
-from marquee.plans.ingest import clean, split
-from marquee.plans.shape import in_digits
+from marquee.plans.gems import gem_limits
+from marquee.plans.ingest import as_declared, clean, split
+from marquee.plans.shape import in_digits, with_decade
+from marquee.schema import RAW_COLUMNS
 from marquee.scratch import scratch_path, written
-from marquee.sources.files import read_csv, write_csv, write_titles
+from marquee.sources.catalog import create_database, register_table
+from marquee.sources.files import read_csv, write_csv, write_result, write_titles
 from marquee.sources.orders import order_credits, order_titles, table
 
 MONEY = {"revenue": 2, "total": 2}
 SHARES = {"top_share": 6, "pct_of_total": 6}
-GATE = 2000  # at scale factor 0.01 seven years of about 2,250 orders, the last one shorter
 
 
 # --- the five analyses -----------------------------------------------------------------
@@ -107,19 +109,25 @@ def roi_cuts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def densify_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Few titles per group, so that some deciles are empty: years of the cheapest orders."""
+    """Budgets in a few round numbers, so that some deciles of every year are empty."""
     titles = _stored_titles(spark, folder, "budget", "revenue")
-    cheap = titles.withColumn("budget", F.when(F.col("revenue") < 3000, F.round("budget", -4)))
-    grid = roi_by_decile(cheap, method="cuts", densify=True, width=1)
+    coarse = titles.withColumn("budget", F.round("budget", -5) + 1)
+    grid = roi_by_decile(coarse, method="cuts", densify=True, width=1)
     return in_digits(grid, {"avg_roi": 6})
 
 
+def _average_year(spark: SparkSession, folder: str) -> int:
+    """Orders with a budget per year, so that some years are below it and some above at any scale."""
+    years = order_titles(spark, folder).where("budget > 0").groupBy(F.year("release_date")).count()
+    return years.agg(F.ceil(F.avg("count"))).first()[0]
+
+
 def roi_gated(spark: SparkSession, folder: str) -> DataFrame:
-    return _returns(spark, folder, method="cuts", min_rows=GATE, width=1)
+    return _returns(spark, folder, method="cuts", min_rows=_average_year(spark, folder), width=1)
 
 
 def roi_skipped_years(spark: SparkSession, folder: str) -> DataFrame:
-    return roi_skipped(order_titles(spark, folder), min_rows=GATE, width=1)
+    return roi_skipped(order_titles(spark, folder), min_rows=_average_year(spark, folder), width=1)
 
 
 DEBUT_DIGITS = {
@@ -134,11 +142,16 @@ def _debuts(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def debuts_top(spark: SparkSession, folder: str) -> DataFrame:
-    return _debuts(spark, folder, entity="name")
+    return _debuts(spark, folder, entity="name", limit=200)
+
+
+def debuts_first_twenty(spark: SparkSession, folder: str) -> DataFrame:
+    """A list cut well before its end, where the order decides."""
+    return _debuts(spark, folder, entity="name", limit=20)
 
 
 def debuts_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _debuts(spark, folder, require_rest=False, empty_rest="zero", limit=None)
+    return _debuts(spark, folder, require_rest=False, empty_rest="zero")
 
 
 def _gems(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -147,19 +160,51 @@ def _gems(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def hidden_gems_eligible(spark: SparkSession, folder: str) -> DataFrame:
-    return _gems(spark, folder)
+    return _gems(spark, folder, limit=500)
+
+
+def hidden_gems_first_fifty(spark: SparkSession, folder: str) -> DataFrame:
+    return _gems(spark, folder, limit=50)
 
 
 def hidden_gems_all(spark: SparkSession, folder: str) -> DataFrame:
-    return _gems(spark, folder, scope="all", limit=None)
+    return _gems(spark, folder, scope="all")
 
 
 def hidden_gems_yearly(spark: SparkSession, folder: str) -> DataFrame:
-    return _gems(spark, folder, limit=None, width=1)
+    return _gems(spark, folder, width=1)
 
 
 def hidden_gems_approx(spark: SparkSession, folder: str) -> DataFrame:
-    return _gems(spark, folder, method="approx", limit=None)
+    return _gems(spark, folder, method="approx")
+
+
+def hidden_gems_rank_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the approximate thresholds lie within their rank error, per decade."""
+    accuracy = 1000
+    measured = with_decade(_stored_titles(spark, folder, "vote_average", "popularity", "vote_count")).select(
+        "decade", F.col("vote_average").alias("va"), F.col("popularity").alias("pop")
+    )
+    limits = gem_limits(measured, "approx", 0.9, 0.1, accuracy)
+    placed = measured.join(limits, "decade").groupBy("decade").agg(
+        *[
+            aggregate
+            for value, limit in (("va", "_va"), ("pop", "_pop"))
+            for aggregate in (
+                F.count(value).alias(f"{value}_n"),
+                F.count_if(F.col(value) < F.col(limit)).alias(f"{value}_below"),
+                F.count_if(F.col(value) <= F.col(limit)).alias(f"{value}_up_to"),
+            )
+        ]
+    )
+
+    def within(value: str, share: float) -> Column:
+        n, slack = F.col(f"{value}_n"), F.col(f"{value}_n") / accuracy + 1
+        return (F.col(f"{value}_below") <= share * n + slack) & (F.col(f"{value}_up_to") >= share * n - slack)
+
+    return placed.select(
+        "decade", "va_n", "pop_n", within("va", 0.9).alias("va_within"), within("pop", 0.1).alias("pop_within")
+    )
 
 
 def stability(spark: SparkSession, folder: str) -> DataFrame:
@@ -415,6 +460,186 @@ def ingest_titles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def csv_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one folder with their columns in different orders, one of them lacking a column."""
+    path = scratch_path(spark)
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    write_csv(rows.where("c_custkey % 3 = 0"), path)
+    write_csv(rows.where("c_custkey % 3 = 1").select("c_name", "c_acctbal", "c_custkey"), path, "append")
+    write_csv(rows.where("c_custkey % 3 = 2").select("c_acctbal", "c_custkey"), path, "append")
+    back = read_csv(spark, path, ["c_custkey", "c_name", "c_acctbal"])
+    return back.select(
+        lenient_long(F.col("c_custkey"), None).alias("c_custkey"),
+        "c_name",
+        lenient_double(F.col("c_acctbal")).alias("c_acctbal"),
+    )
+
+
+def mixed_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Date texts with a time of day, or with a year alone, keep their period."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.col("o_orderkey") % 5
+    text = (
+        F.when(kind == 0, day)
+        .when(kind == 1, F.concat(day, F.lit(" 00:00:00")))
+        .when(kind == 2, F.concat(day, F.lit("T10:00:00Z")))
+        .when(kind == 3, F.left(day, F.lit(4)))
+        .otherwise("soon")
+    )
+    raw = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        text.alias("release_date"),
+        *[F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS if c not in ("id", "release_date")],
+    )
+    return clean(raw).select("id", F.date_format("release_date", "yyyy-MM-dd").alias("day"), "period")
+
+
+def top_share_tiny(spark: SparkSession, folder: str) -> DataFrame:
+    """Revenues far below a cent are ranked like any others."""
+    titles, credits = order_titles(spark, folder, parts=False), order_credits(spark, folder, parts=False)
+    titles, credits = (f.withColumn("revenue", F.round(F.col("revenue") / 1e8, 10)) for f in (titles, credits))
+    return in_digits(top_share(titles, credits, output="detail").drop("pct_of_total"), {"revenue": 9})
+
+
+def top_share_without_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """A revenue that isn't a number counts as none."""
+    odd = F.when(F.col("id").cast("bigint") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("revenue"))
+    titles, credits = order_titles(spark, folder, parts=False), order_credits(spark, folder, parts=False)
+    shares = top_share(titles.withColumn("revenue", odd), credits.withColumn("revenue", odd))
+    return in_digits(shares, {**MONEY, **SHARES})
+
+
+def text_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies of one name with different ids, some of which aren't whole numbers."""
+    text = F.format_string("[{'name': 'Nation %s', 'id': 'N%s'}, {'name': 'Same', 'id': %s}]", "s_nationkey", "s_nationkey", "s_suppkey")
+    same = F.format_string("[{'name': 'Same', 'id': 'N%s'}]", "s_nationkey")
+    titles = table(spark, folder, "supplier").select(
+        F.lit(1990).alias("period"),
+        (F.abs("s_acctbal") * 2).alias("revenue"),
+        parse_entities(F.when(F.col("s_suppkey") % 2 == 0, text).otherwise(same)).alias("companies"),
+    )
+    return in_digits(top_share(titles, k=10, output="detail").drop("pct_of_total"), {"revenue": 2})
+
+
+# --- from raw list texts to the named analyses ------------------------------------------
+
+
+def _shifted_date(day: Column) -> Column:
+    """Some orders lie far ahead and some long ago, so that there are odd decades."""
+    kind = F.col("id").cast("bigint") % 50
+    return F.when(kind == 0, F.add_months(day, 2400)).when(kind == 1, F.add_months(day, -480)).otherwise(day)
+
+
+_catalogues: dict[tuple[str, str], str] = {}
+
+
+def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles stored through the ingest from texts; the oldest ones list no company.
+
+    Companies and genres are texts in the Python or the JSON spelling, dates have a time of day
+    now and then. The ingest is done once in a session, in ``_catalogues`` is where.
+    """
+    key = (spark.sparkContext.applicationId, str(folder))
+    if key in _catalogues:
+        return spark.read.parquet(_catalogues[key])
+    odd = F.col("id").cast("bigint") % 2 == 1
+    titles = order_titles(spark, folder)
+    credits = order_credits(spark, folder, parts=False).select(F.col("id").alias("_id"), "company_id", "company")
+    kinds = (
+        table(spark, folder, "lineitem")
+        .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("l_orderkey").cast("string").alias("_id2"))
+        .agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    )
+    companies = credits.groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("company_id", "company"))).alias("own"))
+
+    def spelt(python: Column, json: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.when(odd, python).otherwise(json), ", "), F.lit("]"))
+
+    own = spelt(
+        F.transform("own", lambda c: F.format_string("{'name': '%s', 'id': %s}", c["company"], c["company_id"])),
+        F.transform("own", lambda c: F.format_string('{"name": "%s", "id": %s}', c["company"], c["company_id"])),
+    )
+    genres = spelt(
+        F.transform("types", lambda t, i: F.format_string("{'id': %s, 'name': '%s'}", i, t)),
+        F.transform("types", lambda t, i: F.format_string('{"id": %s, "name": "%s"}', i, t)),
+    )
+    day = F.date_format(_shifted_date(F.col("release_date")), "yyyy-MM-dd")
+    joined = titles.join(companies, titles["id"] == companies["_id"], "left").join(
+        kinds, titles["id"] == kinds["_id2"], "left"
+    )
+    raw = joined.select(
+        "id",
+        "original_title",
+        F.when(odd, day).otherwise(F.concat(day, F.lit(" 12:00:00"))).alias("release_date"),
+        *[F.col(c).cast("string").alias(c) for c in ("budget", "revenue", "popularity", "vote_average", "vote_count")],
+        F.when(F.col("id").cast("bigint") % 50 == 1, "[]").otherwise(own).alias("production_companies"),
+        genres.alias("genres"),
+    )
+    path = scratch_path(spark)
+    write_titles(clean(raw).drop("unreadable"), path)
+    _catalogues[key] = path
+    return spark.read.parquet(path)
+
+
+def _run_digits(frame: DataFrame) -> DataFrame:
+    days = {c: F.date_format(c, "yyyy-MM-dd") for c, kind in frame.dtypes if kind == "date"}
+    return in_digits(frame.withColumns(days), {c: 6 for c, kind in frame.dtypes if kind == "double"})
+
+
+def _run_named(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return _run_digits(run(name, _catalogue(spark, folder), min_votes="2"))
+
+    query.__name__ = f"run_{name}"
+    query.__doc__ = f"``{name}`` over titles ingested from list texts."
+    return query
+
+
+# --- files and catalogue ----------------------------------------------------------------
+
+
+def result_sinks(spark: SparkSession, folder: str) -> DataFrame:
+    """A result written as Parquet, CSV and JSON and read back."""
+    rows = table(spark, folder, "supplier").select("s_suppkey", "s_name", F.lit(None).cast("date").alias("none"))
+    back = []
+    for form in ("parquet", "csv", "json"):
+        path = scratch_path(spark)
+        write_result(rows, path, form)
+        read = read_csv(spark, path) if form == "csv" else spark.read.format(form).load(path)
+        none = F.coalesce(F.col("none").cast("string"), F.lit("")) if "none" in read.columns else F.lit("")
+        back.append(read.select(F.lit(form).alias("form"), F.col("s_suppkey").cast("bigint"), "s_name", none.alias("none")))
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+def registered_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned titles as an external table of declared types."""
+    path = scratch_path(spark) + "/titles of 'orders'"
+    as_declared(_catalogue(spark, folder)).write.parquet(path)
+    name = "titles_" + path.split("/")[-2]
+    create_database(spark, "marquee_check")
+    loaded = register_table(spark, f"marquee_check.{name}", path)
+    return loaded.select(
+        "id", "release_date", "revenue", F.get_json_object("production_companies", "$[0].name").alias("first_company")
+    )
+
+
+def type_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return profile(order_titles(spark, folder)).select("column", "type")
+
+
+def report_text_returns(spark: SparkSession, folder: str) -> DataFrame:
+    return report("roi", written(order_titles(spark, folder)))
+
+
+def report_text_debuts(spark: SparkSession, folder: str) -> DataFrame:
+    return report("debut", order_titles(spark, folder), order_credits(spark, folder))
+
+
+def report_text_gems(spark: SparkSession, folder: str) -> DataFrame:
+    return report("hg", written(order_titles(spark, folder, False)), min_votes=2)
+
+
 def _report(spark: SparkSession, folder: str, name: str) -> DataFrame:
     parts = name in ("debut", "roi")
     titles = order_titles(spark, folder, parts)
@@ -496,6 +721,21 @@ _QUERIES = [
     report_gems,
     report_text,
     report_text_concentration,
+    report_text_returns,
+    report_text_debuts,
+    report_text_gems,
+    debuts_first_twenty,
+    hidden_gems_first_fifty,
+    hidden_gems_rank_error,
+    csv_layouts,
+    mixed_dates,
+    top_share_tiny,
+    top_share_without_nan,
+    text_ids,
+    result_sinks,
+    registered_table,
+    type_listing,
+    *map(_run_named, variants()),
 ]
 
 
@@ -689,6 +929,69 @@ texts AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
+_AVERAGE_YEAR = """
+    SELECT CAST(ceil(avg(n)) AS INTEGER)
+    FROM (SELECT count(*) AS n FROM titles WHERE budget > 0 GROUP BY year)"""
+
+# The catalogue of ``_catalogue``: titles at other dates, of which the oldest have no credits.
+_SHIFTED = """
+  date_add(CAST(o_orderdate AS DATE), CASE o_orderkey % 50 WHEN 0 THEN INTERVAL 200 YEAR
+           WHEN 1 THEN INTERVAL (-40) YEAR ELSE INTERVAL 0 YEAR END)"""
+
+
+def _moved(sql: str) -> str:
+    """The same question over the catalogue made from texts."""
+    sql = sql.replace("CAST(o_orderdate AS DATE) AS release_date", f"CAST({_SHIFTED} AS DATE) AS release_date")
+    sql = sql.replace("year(o_orderdate)", f"year({_SHIFTED})")
+    return sql.replace("FROM lineitem)\n  JOIN titles", "FROM lineitem WHERE l_orderkey % 50 <> 1)\n  JOIN titles")
+
+
+def _run_sql() -> dict[str, str]:
+    by_id, by_name = "company_id, company", "company"
+    ranked, first = "rank IS NOT NULL", "rank = 1 OR rank IS NULL"
+    gems = "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2 AND decade BETWEEN 1870 AND 2100"
+    share = "round(coalesce(top, 0e0) / total, 6)"
+    money, part = "round(revenue, 6) AS revenue", "round(revenue / total, 6) AS pct_of_total"
+    place = "CAST(rank AS INTEGER) AS rank"
+    debuts = _sql_debuts(by_id, "coalesce({}, 0e0)", "true", "")
+    stable = _sql_stability
+    found = {
+        "q1": _sql_shares(
+            "decade", by_name, 5, f"decade, {share} AS top5_share, {place}, company, {money}, {part}", ranked
+        ),
+        "q1_general": _sql_shares("decade", by_name, 5, f"decade, {share} AS top5_share", f"rank = 1 AND {share} > 0"),
+        "q1_detalle": _sql_shares("decade", by_name, 5, f"decade, {place}, company, {money}, {part}", ranked),
+        "q2": _sql_ntile("decade"),
+        "q3": _sql_debuts(by_name, "{}", "n_post >= 1", "LIMIT 200"),
+        "q4": _sql_gems("decade", gems, "LIMIT 500").replace("WHERE vc >= 2", f"WHERE {gems}"),
+        "q5": f"SELECT decade, bucket, mean AS mean_va, std AS sd_va, n FROM ({stable('vote_count', 'true')})",
+        "mc_summary": _sql_shares(
+            "decade",
+            by_id,
+            5,
+            "decade, round(coalesce(top, 0e0) / total * 100, 4) AS top5_pct, round(total, 2) AS total",
+            first,
+        ),
+        "mc_detail": _sql_shares(
+            "decade",
+            by_id,
+            5,
+            f"decade, {place}, company_id AS cid, company AS name, round(revenue, 2) AS revenue, "
+            "round(revenue / total * 100, 4) AS pct",
+            ranked,
+        ),
+        "roi": f"SELECT decade, bud_decile AS decile, avg_roi, n FROM ({_sql_cuts('decade', least=20, densify=True)})",
+        "debut": f"""
+            SELECT company_id AS cid, company AS name, debut_date AS date, debut_roi, debut_pop,
+                   post_roi, post_pop, n_post, delta_roi, delta_pop FROM ({debuts})""",
+        "hg": f"""
+            SELECT decade, id, original_title AS title, round(va, 3) AS va, round(pop, 3) AS pop, vc AS votes
+            FROM ({_sql_gems("decade", "true", "")})""",
+        "stab": stable("vote_count", "w > 0"),
+    }
+    return {f"run_{name}": _moved(sql) for name, sql in found.items()}
+
+
 def _own_sql() -> dict[str, str]:
     stable = _sql_stability("vote_count", "w > 0")
     return {
@@ -719,16 +1022,14 @@ def _own_sql() -> dict[str, str]:
         "roi_ntile": _sql_ntile("decade"),
         "roi_ntile_yearly": _sql_ntile("year"),
         "roi_cuts": _sql_cuts("decade", least=20, densify=True),
-        "densify_grid": _sql_cuts(
-            "year", budget="CASE WHEN revenue < 3000 THEN round(budget, -4) END", densify=True
-        ),
-        "roi_gated": _sql_cuts("year", least=GATE),
+        "densify_grid": _sql_cuts("year", budget="round(budget, -5) + 1", densify=True),
+        "roi_gated": _sql_cuts("year", least=f"({_AVERAGE_YEAR})"),
         "roi_skipped_years": f"""
             WITH {_TITLES}
             SELECT year AS decade, count(revenue) AS n_movies, count(*) AS n_budgets,
-                   {GATE} AS min_movies, {GATE} AS min_budgets
-            FROM titles WHERE budget > 0 GROUP BY year
-            HAVING count(revenue) < {GATE} OR count(*) < {GATE}""",
+                   gate AS min_movies, gate AS min_budgets
+            FROM titles, (SELECT ({_AVERAGE_YEAR}) AS gate) WHERE budget > 0 GROUP BY year, gate
+            HAVING count(revenue) < gate OR count(*) < gate""",
         "debuts_top": _sql_debuts("company", "{}", "n_post >= 1", "LIMIT 200"),
         "debuts_all": _sql_debuts("company_id, company", "coalesce({}, 0e0)", "true", ""),
         "hidden_gems_eligible": _sql_gems(
@@ -887,6 +1188,71 @@ def _own_sql() -> dict[str, str]:
         "report_text_concentration": f"""
             SELECT unnest(CASE WHEN rank = 1 THEN [summary, detail] ELSE [detail] END) AS value
             FROM ({_sql_shares("decade", "company_id, company", 5, _LINES, "rank IS NOT NULL")})""",
+        "report_text_returns": f"""
+            SELECT CAST(decade AS VARCHAR) || '|' || bud_decile || chr(9) || printf('%.6f|%d', avg_roi, n) AS value
+            FROM ({_sql_cuts("decade", least=20, densify=True)})""",
+        "report_text_debuts": f"""
+            SELECT company_id || '|' || company || chr(9) || debut_date || '|'
+                   || printf('%.6f|%.6f|%.6f|%.6f|%d|%.6f|%.6f', debut_roi, debut_pop, post_roi, post_pop, n_post,
+                             delta_roi + 0e0, delta_pop + 0e0) AS value
+            FROM ({_sql_debuts("company_id, company", "coalesce({}, 0e0)", "true", "")})""",
+        "report_text_gems": f"""
+            SELECT CAST(decade AS VARCHAR) || chr(9) || id || '|' || original_title || '|'
+                   || printf('%.3f|%.3f|%d', va, pop, vc) AS value
+            FROM ({_sql_gems("decade", "true", "")})""",
+        "debuts_first_twenty": _sql_debuts("company", "{}", "n_post >= 1", "LIMIT 20"),
+        "hidden_gems_first_fifty": _sql_gems(
+            "decade", "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2", "LIMIT 50"
+        ),
+        "hidden_gems_rank_error": f"""
+            WITH {_TITLES}
+            SELECT decade, count(vote_average) AS va_n, count(popularity) AS pop_n, true AS va_within, true AS pop_within
+            FROM titles GROUP BY decade""",
+        "csv_layouts": """
+            SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS c_name, c_acctbal FROM customer""",
+        "mixed_dates": """
+            SELECT CAST(o_orderkey AS VARCHAR) AS id,
+                   CASE WHEN o_orderkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
+                   CASE WHEN o_orderkey % 5 < 4 THEN CAST(year(o_orderdate) // 10 * 10 AS INTEGER) END AS period
+            FROM orders""",
+        "top_share_tiny": f"""
+            WITH {_TITLES}, {_CREDITS},
+            summed AS (
+              SELECT decade, company_id, company,
+                     sum(CAST(round(revenue / 1e8, 10) / n_companies AS DECIMAL(38, 12))) AS revenue
+              FROM credits WHERE round(revenue / 1e8, 10) > 0 GROUP BY ALL),
+            ranked AS (
+              SELECT *, row_number() OVER (PARTITION BY decade ORDER BY revenue DESC, company, company_id) AS rank
+              FROM summed)
+            SELECT decade, CAST(rank AS INTEGER) AS rank, company_id, company, round(CAST(revenue AS DOUBLE), 9) AS revenue
+            FROM ranked WHERE rank <= 5""",
+        "top_share_without_nan": _sql_shares(
+            "decade", "company_id, company", 5, f"decade, {_SHARE}, {_BY_ID}", "rank IS NOT NULL"
+        ).replace("WHERE revenue > 0", "WHERE revenue > 0 AND CAST(id AS BIGINT) % 7 <> 0"),
+        "text_ids": """
+            WITH parts AS (
+              SELECT 'N' || s_nationkey AS ref, NULL AS company_id, 'Nation ' || s_nationkey AS company,
+                     abs(s_acctbal) AS revenue FROM supplier WHERE s_suppkey % 2 = 0
+              UNION ALL
+              SELECT NULL, s_suppkey, 'Same', abs(s_acctbal) FROM supplier WHERE s_suppkey % 2 = 0
+              UNION ALL
+              SELECT 'N' || s_nationkey, NULL, 'Same', abs(s_acctbal) * 2 FROM supplier WHERE s_suppkey % 2 = 1),
+            summed AS (SELECT ref, company_id, company, sum(revenue) AS revenue FROM parts WHERE revenue > 0 GROUP BY ALL)
+            SELECT 1990 AS decade, CAST(rank AS INTEGER) AS rank, company_id, company, round(revenue, 2) AS revenue
+            FROM (SELECT *, row_number() OVER (ORDER BY round(revenue, 6) DESC, company, company_id, ref) AS rank FROM summed)
+            WHERE rank <= 10""",
+        "result_sinks": """
+            SELECT form, s_suppkey, s_name, '' AS none FROM supplier, (VALUES ('parquet'), ('csv'), ('json')) AS f(form)""",
+        "registered_table": _moved(f"""
+            WITH {_TITLES}, {_CREDITS}
+            SELECT id, strftime(release_date, '%Y-%m-%d') AS release_date, revenue, first_company
+            FROM titles LEFT JOIN (
+              SELECT id, min_by(company, company_id) AS first_company FROM credits GROUP BY id) USING (id)"""),
+        "type_listing": """
+            SELECT unnest(['id', 'original_title', 'release_date', 'revenue', 'popularity', 'vote_average',
+                           'vote_count', 'budget', 'n_genres']) AS "column",
+                   unnest(['string', 'string', 'date', 'double', 'double', 'double', 'bigint', 'double', 'bigint']) AS type""",
+        **_run_sql(),
     }
 
 

@@ -1,5 +1,6 @@
 from marquee.functions.entities import (
     NAME_PATTERNS,
+    as_records,
     entities,
     entities_status,
     names_by_pattern,
@@ -9,6 +10,7 @@ from marquee.functions.entities import (
 )
 from marquee.functions.lenient import (
     blank_to_null,
+    date_prefix,
     lenient_date,
     lenient_double,
     lenient_long,
@@ -20,23 +22,24 @@ from marquee.functions.measures import (
     band,
     capped_bucket,
     fraction,
-    gap,
     passed,
     period_of_date,
     period_of_year,
+    positive,
     prorate,
     return_on_investment,
 )
 
 __all__ = [
     "NAME_PATTERNS",
+    "as_records",
     "band",
     "blank_to_null",
     "capped_bucket",
+    "date_prefix",
     "entities",
     "entities_status",
     "fraction",
-    "gap",
     "lenient_date",
     "lenient_double",
     "lenient_long",
@@ -46,6 +49,7 @@ __all__ = [
     "passed",
     "period_of_date",
     "period_of_year",
+    "positive",
     "prorate",
     "read_records",
     "return_on_investment",

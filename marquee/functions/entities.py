@@ -49,27 +49,38 @@ def read_records(text: Column) -> Column:
 
 
 def entities(records: Column, named_only: bool = True) -> Column:
-    """``array<struct<id:bigint,name:string>>`` of the records, empty for null.
+    """``array<struct<id:bigint,name:string,ref:string>>`` of the records, empty for null.
 
-    ``named_only`` drops records without a name; without it every record counts.
+    ``named_only`` drops records without a name; without it every record counts. ``ref`` is
+    the text of an id that isn't a whole number, so that such entities can be told apart.
     """
     present = F.filter(records, lambda r: r.isNotNull())
     if named_only:
         present = F.filter(present, lambda r: F.coalesce(r["name"], F.lit("")) != "")
     typed = F.transform(
         present,
-        lambda r: F.struct(r["id"].try_cast("bigint").alias("id"), r["name"].alias("name")),
+        lambda r: F.struct(
+            r["id"].try_cast("bigint").alias("id"),
+            r["name"].alias("name"),
+            F.when(r["id"].try_cast("bigint").isNull(), r["id"]).alias("ref"),
+        ),
+    )
+    return F.coalesce(typed, F.array().cast("array<struct<id:bigint,name:string,ref:string>>"))
+
+
+def as_records(typed: Column) -> Column:
+    """The records as they were read, with one id."""
+    return F.transform(
+        typed, lambda e: F.struct(F.coalesce(e["id"].cast("string"), e["ref"]).alias("id"), e["name"].alias("name"))
     )
-    return F.coalesce(typed, F.array().cast("array<struct<id:bigint,name:string>>"))
 
 
 def status(text: Column, records: Column) -> Column:
     """``ok``, ``empty`` (nothing was stated) or ``unreadable`` (goes to quarantine)."""
     plain = F.trim(F.coalesce(text, F.lit("")))
-    odd_id = F.exists(records, lambda r: r["id"].isNotNull() & r["id"].try_cast("bigint").isNull())
     return (
         F.when(F.lower(plain).isin("", "nan", "false", "none", "null"), F.lit("empty"))
-        .when(records.isNull() | odd_id, F.lit("unreadable"))
+        .when(records.isNull(), F.lit("unreadable"))
         .otherwise(F.lit("ok"))
     )
 

@@ -46,10 +46,15 @@ def lenient_long(text: Column, default: int | None = 0) -> Column:
     return number if default is None else F.coalesce(number, F.lit(default).cast("bigint"))
 
 
+def date_prefix(text: Column) -> Column:
+    """The first ten characters, which is the day if a time of day follows."""
+    return F.left(strip_space(text.cast("string")), F.lit(10))
+
+
 def lenient_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The first of the strict formats that fits, else null."""
-    plain = strip_space(text.cast("string"))
-    return F.coalesce(*[F.try_to_date(plain, pattern) for pattern in formats])
+    """The first of the strict formats that fits the text or its first ten characters, else null."""
+    plain, day = strip_space(text.cast("string")), date_prefix(text)
+    return F.coalesce(*[F.try_to_date(x, pattern) for pattern in formats for x in (plain, day)])
 
 
 def year_of_text(text: Column) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A year has four digits, so a table with one row per period has at most 10,000 rows.
-FIRST_YEAR, LAST_YEAR = 0, 9999
+def period_of_year(year: Column, width: int = 10) -> Column:
+    """First year of the period the year falls in."""
+    return (F.floor(year / F.lit(float(width))) * F.lit(width)).cast("int")
 
 
-def period_of_year(year: Column, width: int = 10) -> Column:
-    """First year of the period the year falls in; null outside four-digit years."""
-    start = (F.floor(year / F.lit(float(width))) * F.lit(width)).cast("int")
-    return F.when(year.between(FIRST_YEAR, LAST_YEAR), start)
+def positive(amount: Column) -> Column:
+    """Above zero and a number; Spark takes NaN for the largest of all."""
+    return (amount > 0) & ~F.isnan(amount)
 
 
 def period_of_date(date: Column, width: int = 10) -> Column:
@@ -30,7 +30,7 @@ def fraction(part: Column, whole: Column) -> Column:
 
 def return_on_investment(budget: Column, revenue: Column) -> Column:
     """(revenue - budget) / budget, null unless the budget is positive and both are known."""
-    return F.when(budget > 0, F.try_divide(revenue - budget, budget))
+    return F.when(positive(budget) & ~F.isnan(revenue), F.try_divide(revenue - budget, budget))
 
 
 def capped_bucket(count: Column, cap: int = 3) -> Column:
@@ -59,8 +59,3 @@ def passed(cuts: Column, value: Column, count: int, including: bool = True) -> C
 def band(cuts: Column, value: Column, count: int) -> Column:
     """Number of the band, from 1; a value equal to a cut point goes to the upper band."""
     return passed(cuts, value, count) + 1
-
-
-def gap(edges: Column, value: Column, count: int) -> Column:
-    """Place among distinct sorted edges: even between two of them, odd on one."""
-    return passed(edges, value, count, including=False) + passed(edges, value, count)

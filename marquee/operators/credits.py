@@ -11,7 +11,8 @@ from marquee.functions import names_by_pattern
 def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFrame:
     """One row per listed company, repeats included; titles without any have no row.
 
-    Adds ``company_id``, ``company`` and ``n_companies``, the length of the title's list.
+    Adds ``company_id``, ``company``, ``company_ref`` (the text of an id that isn't a whole
+    number) and ``n_companies``, the length of the title's list.
     """
     others = [name for name in titles.columns if name not in (companies, "genres")]
     return (
@@ -24,6 +25,7 @@ def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFram
             "n_companies",
             F.col("_company.id").alias("company_id"),
             F.col("_company.name").alias("company"),
+            F.col("_company.ref").alias("company_ref"),
         )
         .where("company <> ''")
     )
@@ -40,4 +42,5 @@ def pattern_credits(titles: DataFrame, text: str) -> DataFrame:
         named.select(*others, F.size("_names").alias("n_companies"), "_names")
         .select(*others, "n_companies", F.explode("_names").alias("company"))
         .withColumn("company_id", F.lit(None).cast("bigint"))
+        .withColumn("company_ref", F.lit(None).cast("string"))
     )

@@ -19,8 +19,6 @@ from marquee.operators.joins import join_small
 from marquee.operators.running import running_total
 from marquee.scratch import small, written
 
-MOST_GROUPS = 20_000
-MOST_VALUES_PER_SORT = 5_000_000
 # Every task sends a summary of about this many values per group to the one task that merges
 # the group, while the cells spread over all tasks: better wider brackets than long summaries.
 BRACKET_ACCURACY = 1_000
@@ -51,7 +49,7 @@ def _cells(
     lows, highs = [max(0.0, p - slack) for p in shares], [min(1.0, p + slack) for p in shares]
     points = sorted({*lows, *highs})
     around = small(
-        rows.groupBy(*by).agg(F.percentile_approx(value, points, accuracy).alias("_points")), MOST_GROUPS
+        rows.groupBy(*by).agg(F.percentile_approx(value, points, accuracy).alias("_points"))
     )
 
     def values_at(wanted: list[float]) -> Column:
@@ -97,8 +95,7 @@ def _wanted(cells: DataFrame, by: list[str], ranks: Ranks) -> DataFrame:
         .withColumn("_t", F.explode(targets))
         .select(*by, "_slot", "_inside", "_values", "_in_slot", "n", "_below", "_t.*")
         .where("_below < rank AND rank <= _below + _in_slot")
-        .drop("_in_slot"),
-        MOST_GROUPS * len(ranks),
+        .drop("_in_slot")
     )
 
 
@@ -110,7 +107,6 @@ def ranked_cells(
     measure: str | None = None,
     accuracy: int = BRACKET_ACCURACY,
     slack: float | None = None,
-    most_per_sort: int = MOST_VALUES_PER_SORT,
 ) -> tuple[DataFrame, DataFrame]:
     """The values at the ranks, see ``values_at_ranks``, and the cells they come from.
 
@@ -130,13 +126,8 @@ def ranked_cells(
 
     slot = [*by, "_slot"]
     sought = join_small(cells, wanted.select(*slot), slot, "left_semi").select(*slot, "low", "ties")
-    if wanted.where(F.col("_values") > most_per_sort).isEmpty():
-        so_far = Window.partitionBy(*slot).orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
-        sought = sought.withColumn("start", F.sum("ties").over(so_far) - F.col("ties"))
-    else:
-        sought = running_total(sought, slot, ["low"], "ties")
     found = (
-        join_small(sought, wanted, slot)
+        join_small(running_total(sought, slot, ["low"], "ties"), wanted, slot)
         .withColumn("before", F.col("_below") + F.col("start"))
         .where("before < rank AND rank <= before + ties")
         .select(*by, "target", "n", "rank", F.col("low").alias("value"), "before", "ties")

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from marquee.operators.joins import join_small
 from marquee.scratch import small, written
 
-# One row per partition and group it touches.
-MOST_BLOCKS = 200_000
-
 
 def spread(rows: DataFrame, by: list[str], order: list[str], weight: str) -> tuple[DataFrame, DataFrame]:
     """The rows in ordered blocks, and a small table of the blocks.
@@ -19,14 +16,14 @@ def spread(rows: DataFrame, by: list[str], order: list[str], weight: str) -> tup
     a block is what a partition holds of a group, numbered in ``_block``. The blocks have
     ``by…, _block, _start, _total``: the group's ``weight`` before the block and in it. The
     spread is written once, so that rows and blocks agree. Rows with equal ``by`` and
-    ``order`` should be merged beforehand. Meant for few groups of any size: groups and
-    partitions together must not exceed ``MOST_BLOCKS``.
+    ``order`` should be merged beforehand. The blocks are as many as groups and partitions
+    together.
     """
     stored = written(rows.repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id()))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = stored.groupBy(*by, "_block").agg(F.sum(weight).alias("_total"))
     start = F.coalesce(F.sum("_total").over(earlier), F.lit(0))
-    return stored, small(totals.withColumn("_start", start), MOST_BLOCKS)
+    return stored, small(totals.withColumn("_start", start))
 
 
 def total_in_block(by: list[str], order: list[str], weight: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import passed
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import MOST_GROUPS, end_of_tile, ranked_cells
+from marquee.operators.ranks import end_of_tile, ranked_cells
 from marquee.operators.running import spread, total_in_block
 from marquee.scratch import small
 
@@ -32,7 +32,7 @@ def tile_sums(
     rows = rows.select(*by, value, *ties, measure)
     ranks = {t / tiles: end_of_tile(t, tiles) for t in range(1, tiles)}
     found, cells = ranked_cells(rows, by, value, ranks, measure, **options)
-    ends = small(found, MOST_GROUPS * tiles)
+    ends = small(found)
     split = ends.where("rank < before + ties").select(*by, F.col("value").alias(value))
     any_split = not split.isEmpty()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions import fraction, one_line, prorate
+from marquee.functions import fraction, one_line, positive, prorate
 from marquee.operators.credits import explode_credits
 from marquee.operators.topk import top_k_with_total
 from marquee.plans.shape import with_decade
@@ -13,6 +13,15 @@ from marquee.plans.shape import with_decade
 ENTITIES = {("id", "name"): ["company_id", "company"], ("name",): ["company"]}
 
 
+def told_apart(credits: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """The credits and the columns that tell companies apart: by id, also one that is only a text."""
+    if "company_id" not in names:
+        return credits, names
+    if "company_ref" not in credits.columns:
+        credits = credits.withColumn("company_ref", F.lit(None).cast("string"))
+    return credits, ["company_ref", *names]
+
+
 def top_share(
     titles: DataFrame,
     credits: DataFrame | None = None,
@@ -32,16 +41,17 @@ def top_share(
         raise ValueError("output must be full, summary or detail")
     names = ENTITIES[(entity,) if isinstance(entity, str) else tuple(entity)]
     credits = explode_credits(titles) if credits is None else credits
+    credits, apart = told_apart(credits, names)
 
-    wholes = with_decade(titles, width).where("revenue > 0").select("decade", "revenue")
+    wholes = with_decade(titles, width).where(positive(F.col("revenue"))).select("decade", "revenue")
     parts = (
         with_decade(credits, width)
-        .where((F.col("revenue") > 0) & (F.col("company") != ""))
+        .where(positive(F.col("revenue")) & (F.col("company") != ""))
         .withColumn("revenue", prorate(F.col("revenue"), F.col("n_companies")))
         .withColumn("company", one_line(F.col("company")))
-        .select("decade", *names, "revenue")
+        .select("decade", *apart, "revenue")
     )
-    top = top_k_with_total(wholes, parts, "decade", names, "revenue", k)
+    top = top_k_with_total(wholes, parts, "decade", apart, "revenue", k)
     share = fraction(F.col("top"), F.col("total")).alias("top_share")
     if output == "summary":
         first = F.col("rank").isNull() | (F.col("rank") == 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import one_line
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import MOST_GROUPS, nearest_rank, values_at_ranks
+from marquee.operators.ranks import nearest_rank, values_at_ranks
 from marquee.plans.shape import PLAUSIBLE_DECADES, with_decade
 from marquee.scratch import small
 
@@ -20,7 +20,7 @@ def hidden_gems(
     high_q: float = 0.90,
     low_q: float = 0.10,
     accuracy: int = 10_000,
-    limit: int | None = 500,
+    limit: int | None = None,
     width: int = 10,
 ) -> DataFrame:
     """``decade, id, original_title, va, pop, vc`` of the titles beyond both thresholds.
@@ -53,18 +53,9 @@ def hidden_gems(
     else:
         raise ValueError("scope must be eligible or all")
 
-    if method == "approx":
-        limits = measured.groupBy("decade").agg(
-            F.percentile_approx("va", high_q, accuracy).alias("_va"),
-            F.percentile_approx("pop", low_q, accuracy).alias("_pop"),
-        )
-    elif method == "exact":
-        limits = _exact_limits(measured, high_q, low_q)
-    else:
-        raise ValueError("method must be exact or approx")
-
+    limits = small(gem_limits(measured, method, high_q, low_q, accuracy))
     gems = (
-        join_small(eligible, small(limits, MOST_GROUPS), ["decade"])
+        join_small(eligible, limits, ["decade"])
         .where("va >= _va AND pop <= _pop")
         .select("decade", "id", "original_title", "va", "pop", "vc")
         .orderBy("decade", F.col("va").desc(), "pop", "id")
@@ -72,6 +63,18 @@ def hidden_gems(
     return gems if limit is None else gems.limit(limit)
 
 
+def gem_limits(measured: DataFrame, method: str, high_q: float, low_q: float, accuracy: int = 10_000) -> DataFrame:
+    """``decade, _va, _pop``: the thresholds of rating and popularity, exact or approximate."""
+    if method == "approx":
+        return measured.groupBy("decade").agg(
+            F.percentile_approx("va", high_q, accuracy).alias("_va"),
+            F.percentile_approx("pop", low_q, accuracy).alias("_pop"),
+        )
+    if method == "exact":
+        return _exact_limits(measured, high_q, low_q)
+    raise ValueError("method must be exact or approx")
+
+
 def _exact_limits(measured: DataFrame, high_q: float, low_q: float) -> DataFrame:
     """Both thresholds per decade, from one pass over ratings and popularities together."""
     either = F.array(

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import (
+    as_records,
     blank_to_null,
     entities,
     lenient_date,
     lenient_double,
     lenient_long,
     period_of_date,
+    period_of_year,
     read_records,
     status,
+    strip_space,
+    year_of_text,
 )
 from marquee.functions.lenient import DATE_FORMATS
 from marquee.schema import DECLARED_TYPES, RAW_COLUMNS
@@ -26,9 +30,11 @@ def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS) -> DataF
     """Typed titles from the ten text columns, plus ``unreadable``: the list texts that failed.
 
     Bad values become null, a missing vote count zero, an unreadable list an empty one.
-    Every input row is kept.
+    Every input row is kept. A date text that isn't a date still has a period if it opens
+    with a year.
     """
     date = lenient_date(F.col("release_date"), date_formats)
+    year = year_of_text(strip_space(F.col("release_date")))
     # The lists are read in a step of their own, as several columns come from them.
     read = raw.withColumns({f"_{name}": read_records(F.col(text)) for name, text in LISTS.items()})
     failed = [
@@ -47,7 +53,7 @@ def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS) -> DataF
         lenient_long(F.col("vote_count")).alias("vote_count"),
         entities(F.col("_companies")).alias("companies"),
         entities(F.col("_genres"), named_only=False).alias("genres"),
-        period_of_date(date).alias("period"),
+        F.coalesce(period_of_date(date), period_of_year(year)).alias("period"),
         F.array_compact(F.array(*failed)).alias("unreadable"),
     )
 
@@ -65,7 +71,7 @@ def ingest(
     spark: SparkSession,
     path: str,
     date_formats: tuple[str, ...] = DATE_FORMATS,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Titles and quarantine of a raw CSV file, both lazy."""
     return split(clean(read_csv(spark, path, RAW_COLUMNS, multi_line), date_formats))
@@ -76,7 +82,7 @@ def ingest_to(
     path: str,
     target: str,
     date_formats: tuple[str, ...] = DATE_FORMATS,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The same, read and parsed once into a Parquet table partitioned by period."""
     write_titles(clean(read_csv(spark, path, RAW_COLUMNS, multi_line), date_formats), target)
@@ -92,7 +98,7 @@ def as_declared(titles: DataFrame) -> DataFrame:
     columns = {
         **{name: F.col(name) for name in RAW_COLUMNS if name in titles.columns},
         "release_date": day,
-        **{text: F.to_json(name) for name, text in LISTS.items()},
+        **{text: F.to_json(as_records(F.col(name))) for name, text in LISTS.items()},
     }
     return titles.select(*[columns[name].cast(kind).alias(name) for name, kind in DECLARED_TYPES.items()])
 

@@ -20,6 +20,9 @@ from marquee.sources.files import report_lines
 
 # How many votes a title needs unless the caller says otherwise.
 DEFAULT_MIN_VOTES = 10
+# How many rows the capped lists have.
+LISTED_DEBUTS = 200
+LISTED_GEMS = 500
 # Decimals of the report columns.
 REPORT_DIGITS = {
     "top5_pct": 4,
@@ -80,7 +83,7 @@ def _mc_detail(titles: DataFrame, credits: DataFrame) -> DataFrame:
 
 
 def _debut_report(credits: DataFrame) -> DataFrame:
-    compared = debut_effect(credits, require_rest=False, empty_rest="zero", limit=None)
+    compared = debut_effect(credits, require_rest=False, empty_rest="zero")
     return compared.select(
         F.col("company_id").alias("cid"),
         F.col("company").alias("name"),
@@ -113,8 +116,8 @@ _VARIANTS: dict[str, Callable[[DataFrame, DataFrame, Limits], DataFrame]] = {
     ),
     "q1_detalle": lambda t, c, limits: top_share(t, c, entity="name", output="detail"),
     "q2": lambda t, c, limits: roi_by_decile(t, keep_null_period=True),
-    "q3": lambda t, c, limits: debut_effect(c, entity="name"),
-    "q4": lambda t, c, limits: hidden_gems(t, limits.min_votes),
+    "q3": lambda t, c, limits: debut_effect(c, entity="name", limit=LISTED_DEBUTS),
+    "q4": lambda t, c, limits: hidden_gems(t, limits.min_votes, limit=LISTED_GEMS),
     "q5": lambda t, c, limits: _named(
         rating_stability(t, zero_weight="count", keep_null_period=True), mean="mean_va", std="sd_va"
     ),
@@ -133,7 +136,7 @@ _VARIANTS: dict[str, Callable[[DataFrame, DataFrame, Limits], DataFrame]] = {
     "debut": lambda t, c, limits: in_digits(_debut_report(c), REPORT_DIGITS),
     "hg": lambda t, c, limits: in_digits(
         _named(
-            hidden_gems(t, limits.min_votes, scope="all", limit=None), original_title="title", vc="votes"
+            hidden_gems(t, limits.min_votes, scope="all"), original_title="title", vc="votes"
         ),
         REPORT_DIGITS,
     ),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions import band, return_on_investment
+from marquee.functions import band, positive, return_on_investment
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import MOST_GROUPS, nearest_rank, ranked_cells
+from marquee.operators.ranks import nearest_rank, ranked_cells
 from marquee.operators.tiles import tile_sums
 from marquee.plans.shape import with_decade
 from marquee.scratch import small
@@ -16,7 +16,7 @@ from marquee.scratch import small
 def _funded(titles: DataFrame, width: int, keep_null_period: bool) -> DataFrame:
     return (
         with_decade(titles, width, keep_null_period)
-        .where("budget > 0")
+        .where(positive(F.col("budget")))
         .select("decade", "id", "budget", "revenue")
     )
 
@@ -73,7 +73,7 @@ def roi_by_decile(
         raise ValueError("method must be ntile or cuts")
 
     if min_rows > 1 or least > 1 or densify:
-        kept = small(_gate(_sizes(funded), min_rows, least).where("enough").select("decade"), MOST_GROUPS)
+        kept = small(_gate(_sizes(funded), min_rows, least).where("enough").select("decade"))
         if densify:
             spine = kept.withColumn("bud_decile", F.explode(F.sequence(F.lit(1), F.lit(tiles))))
             sums = join_small(spine, sums, ["decade", "bud_decile"], "left")

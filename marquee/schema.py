@@ -32,7 +32,7 @@ DECLARED_TYPES = {
     "genres": "string",
 }
 
-ENTITY = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+ENTITY = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("ref", T.StringType())])
 
 TITLES = T.StructType(
     [

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What is broadcast has so many rows at most.
+MOST_ROWS = 20_000
+
 _local_folder: str | None = None
 
 
@@ -41,17 +44,23 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def small(frame: DataFrame, most: int) -> DataFrame:
-    """The rows of a table known to be small, fixed on the driver and marked for broadcast.
+def small(frame: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """A table computed now, for a join: fixed on the driver and marked for broadcast if it is small.
 
-    More than ``most`` rows is an error, so nothing that grows with the data gets here.
-    Columns without nulls are declared as such.
+    With more than ``most`` rows it becomes a written table without a mark, so Spark joins it
+    as it does any other. Columns without nulls are declared as such in the small case.
     """
     rows = frame.limit(most + 1).toArrow()
     if rows.num_rows > most:
-        raise ValueError(f"expected at most {most} rows, one per group")
+        return written(frame)
     fields = [
         T.StructField(field.name, field.dataType, rows[field.name].null_count > 0)
         for field in frame.schema
     ]
     return F.broadcast(frame.sparkSession.createDataFrame(rows, T.StructType(fields)))
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames over them can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,6 +15,7 @@ def register_table(
     spark: SparkSession, table: str, location: str, types: dict[str, str] | None = None
 ) -> DataFrame:
     """An external Parquet table with declared columns; nothing happens if it exists."""
+    escaped = location.replace("\\", "\\\\").replace("'", "\\'")
     columns = ", ".join(f"`{name}` {kind}" for name, kind in (types or DECLARED_TYPES).items())
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING PARQUET LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING PARQUET LOCATION '{escaped}'")
     return spark.table(table)

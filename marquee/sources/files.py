@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,19 +19,42 @@ _CSV = {
 
 
 def read_csv(
-    spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """A CSV file with a header, every column as text.
 
-    Columns are found by header name; ``columns`` missing from the file are null. A quoted
-    field may hold line ends only with ``multi_line``, which reads a file in one task: write
-    many files of a moderate size, or turn it off where fields have no line ends.
+    Columns are found by header name in every file of its own: files may have them in another
+    order, or lack some, which are null. A file where quoted fields hold line ends is read
+    by one task (``multi_line``), others in splits; unless told, a pass over the lines finds
+    out, which also collects the headers.
+    """
+    layouts = _layouts(spark, path, multi_line) or {("", bool(multi_line)): path}
+    parts = [
+        spark.read.options(**_CSV, multiLine=str(whole).lower(), mode="PERMISSIVE", inferSchema="false").csv(
+            files if len(layouts) > 1 else path
+        )
+        for (_, whole), files in layouts.items()
+    ]
+    if columns is not None:
+        parts = [part.select(*[_text(part, name) for name in columns]) for part in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _layouts(spark: SparkSession, path: str, multi_line: bool | None) -> dict[tuple[str, bool], list[str]]:
+    """The files by their first line and by whether a record goes over several lines.
+
+    That is so where a line has an odd number of quotes. What is collected is a row for each file.
     """
-    options = {**_CSV, "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE"}
-    raw = spark.read.options(**options, inferSchema="false").csv(path)
-    if columns is None:
-        return raw
-    return raw.select(*[_text(raw, name) for name in columns])
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # The first row of a file's first split is its first line.
+    head = F.first(F.when(F.col("file_block_start") == 0, F.col("value")), ignorenulls=True)
+    files = lines.groupBy("file_path").agg(head.alias("head"), F.max(quotes % 2 == 1).alias("over"))
+    found: dict[tuple[str, bool], list[str]] = {}
+    for row in files.orderBy("file_path").collect():
+        whole = row.over if multi_line is None else multi_line
+        found.setdefault((row.head, whole), []).append(row.file_path)
+    return found
 
 
 def _text(raw: DataFrame, name: str):

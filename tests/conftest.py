@@ -37,8 +37,8 @@ def golden_rows():
             _number(pop),
             _number(va),
             votes,
-            companies,
-            [(i, g) for i, g in enumerate(genres)],
+            [(i, name, None) for i, name in companies],
+            [(i, g, None) for i, g in enumerate(genres)],
             None if day is None else day.year // 10 * 10,
         )
 

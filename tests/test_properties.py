@@ -28,6 +28,7 @@ def catalogue(spark, drawn):
     rows = []
     for i, (date, budget, revenue, rating, votes, companies) in enumerate(drawn):
         decade = None if date is None else date.year // 10 * 10
+        companies = [(*company, None) for company in companies]
         genres = companies[:3]
         rows.append(
             (str(i), f"T{i}", date, None, budget, revenue, 1.0, rating, votes, companies, genres, decade)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marquee.operators.ranks import end_of_tile, nearest_rank, values_at_ranks
 from marquee.operators.running import running_total
 from marquee.operators.tiles import tile_sums
+from marquee.scratch import written
 
 SHARES = [p / 100 for p in range(10, 100, 10)]
 
@@ -48,7 +49,7 @@ def skewed(seed):
 
 @pytest.mark.parametrize(
     "options",
-    [{}, {"accuracy": 20}, {"accuracy": 50, "most_per_sort": 5}, {"accuracy": 5, "slack": 1e-9}],
+    [{}, {"accuracy": 20}, {"accuracy": 50}, {"accuracy": 5, "slack": 1e-9}],
 )
 def test_values_at_ranks(spark, options):
     check_ranks(spark, skewed(1), **options)
@@ -63,7 +64,7 @@ def test_values_at_ranks(spark, options):
     )
 )
 def test_values_at_ranks_on_any_data(spark, data):
-    check_ranks(spark, data, accuracy=10, most_per_sort=3)
+    check_ranks(spark, data, accuracy=10)
 
 
 def test_end_of_tile_matches_ntile(spark):
@@ -99,7 +100,7 @@ def test_tile_sums_with_ties_and_copies(spark):
         .agg(F.count("*"), F.round(F.sum("m"), 6), F.count("m"))
     )
     expected = {tuple(row) for row in expected.collect()}
-    for options in ({}, {"accuracy": 50, "most_per_sort": 20}):
+    for options in ({}, {"accuracy": 50}):
         sums = tile_sums(frame, ["g"], "v", ["id"], "m", **options)
         got = sums.select("g", "tile", "n", F.round("total", 6), "measured").collect()
         assert {tuple(row) for row in got} == expected
@@ -122,3 +123,12 @@ def test_running_total(spark):
     expected = {(r.g, r.k, r.end - r.w, r.end) for r in expected.collect()}
     got = running_total(frame, ["g"], ["k"], "w").select("g", "k", "start", "end").collect()
     assert {tuple(r) for r in got} == expected
+
+
+def test_many_groups(spark):
+    """More groups than are ever broadcast."""
+    frame = spark.range(63_000).select((F.col("id") % 21_000).alias("g"), F.col("id").cast("double").alias("v"))
+    found = values_at_ranks(written(frame), ["g"], "v", {0.5: nearest_rank(0.5)})
+    assert found.where("value = g + 21000 AND n = 3 AND rank = 2").count() == 21_000
+    totals = running_total(frame.withColumn("w", F.lit(1)), ["g"], ["v"], "w")
+    assert totals.where("end = floor(v / 21000) + 1 AND start = end - 1").count() == 63_000
