@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from marquee import schema, session
+from marquee import schema, scratch, session
 
 GOLDEN = [
     ("1", "Alpha", "1994-05-01", 100, 400, 10, 8.0, 100, [(1, "P"), (2, "Q")], "a"),
@@ -56,6 +56,7 @@ def spark(tmp_path_factory):
     )
     built.sparkContext.setLogLevel("ERROR")
     yield built
+    scratch.clear(built)
     built.stop()
 
 
