@@ -346,11 +346,14 @@ def marked_pages(sample: list[str]) -> list[list[tuple[tuple[str, ...], bool]]]:
 def fitted(pages: DataFrame, page: str = "html", most: int = MOST_PAGES) -> Field:
     """A field trained on the written pages and on up to ``most`` of the table's, chosen by a hash.
 
-    The written pages count as much as the sampled ones.
+    The hashes of all pages say which; only then are these pages fetched. The written pages
+    count as much as the sampled ones.
     """
     text = F.col(f"`{page}`")
-    small = pages.select(text.alias("page")).where(F.length("page") <= 50_000)
-    sample = small.orderBy(F.xxhash64("page"), "page").limit(most).collect()
+    small = pages.select(text.alias("page"), F.xxhash64(text).alias("mark")).where(F.length("page") <= 50_000)
+    marks = [row.mark for row in small.select("mark").distinct().orderBy("mark").limit(most).collect()]
+    few = small.where(F.col("mark") <= F.lit(marks[-1])) if marks else small.limit(0)
+    sample = few.groupBy("mark").agg(F.min("page").alias("page")).orderBy("mark").collect()
     own = marked_pages([row.page for row in sample])
     written = written_pages()
     return train(written * max(4, len(own) // len(written)) + own)
