@@ -19,9 +19,12 @@ from marquee.functions import passed
 from marquee.operators.joins import join_small
 from marquee.scratch import small, written
 
-# Every task sends a summary of about this many values per group to the one task that merges
-# the group, while the cells spread over all tasks: better wider brackets than long summaries.
+# One part in so many is the rank error that brackets are made for.
 BRACKET_ACCURACY = 1_000
+# The summaries of a group are merged by so many tasks before they meet in one.
+MERGERS = 64
+# The limits of a summary's size.
+LEAST_SUMMARY, MOST_SUMMARY = 8, 65_535
 # A bracket is cut into one slot more than this.
 CUTS_PER_BRACKET = 7
 
@@ -40,6 +43,27 @@ def end_of_tile(tile: int, tiles: int) -> Callable[[Column], Column]:
     )
 
 
+def quantiles(rows: DataFrame, by: list[str], values: dict[str, list[float]], accuracy: int) -> DataFrame:
+    """``by…`` and for each column of ``values`` the array of its approximate quantiles.
+
+    A quantile's rank is off by less than one part in ``accuracy`` of the rows, as a rule.
+    Every task summarises its rows; the summaries of a group are merged in two steps, so the
+    task that makes the last one gets ``MERGERS`` of them, however many tasks there were.
+    """
+    size = F.lit(max(LEAST_SUMMARY, min(MOST_SUMMARY, 8 * accuracy)))
+    parts = rows.groupBy(*by, F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_merger")).agg(
+        *[F.kll_sketch_agg_double(F.col(name).cast("double"), size).alias(name) for name in values]
+    )
+    whole = parts.groupBy(*by).agg(*[F.kll_merge_agg_double(name, size).alias(name) for name in values])
+    return whole.select(
+        *by,
+        *[
+            F.kll_sketch_get_quantile_double(name, F.array(*[F.lit(float(s)) for s in shares])).alias(name)
+            for name, shares in values.items()
+        ],
+    )
+
+
 def _cells(
     rows: DataFrame, by: list[str], value: str, shares: list[float], measure: str | None, accuracy: int, slack: float
 ) -> DataFrame:
@@ -57,9 +81,7 @@ def _cells(
         }
     )
     points = sorted({*lows, *highs, *inner})
-    around = small(
-        rows.groupBy(*by).agg(F.percentile_approx(value, points, accuracy).alias("_points"))
-    )
+    around = small(quantiles(rows.withColumn("_points", F.col(value)), by, {"_points": points}, accuracy))
 
     def values_at(wanted: list[float]) -> Column:
         return F.array(*[F.get("_points", F.lit(points.index(p))) for p in wanted])
@@ -127,7 +149,8 @@ def ranked_cells(
     ``measure`` they carry its sum and count as ``total`` and ``measured``.
     """
     columns = [*by, value, *([measure] if measure else [])]
-    rows = rows.where(F.col(value).isNotNull()).select(*columns)
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    rows = rows.where(known).select(*columns)
     slack = slack or 2.0 / accuracy
     while True:
         cells = _cells(rows, by, value, sorted(ranks), measure, accuracy, slack)
@@ -155,7 +178,7 @@ def values_at_ranks(
     """For each group and each wanted rank: the value there and how its ties lie.
 
     ``ranks`` maps the approximate share of the rows below the rank to the rank itself as
-    an expression of the group's row count. Null values are left out. ``rows`` is read
+    an expression of the group's row count. Values that are null or no number are left out. ``rows`` is read
     twice, so it should be a table. The result is small:
 
     ``by…, target (0, 1, … in the order of ranks), n, rank, value, before, ties``
