@@ -5,6 +5,7 @@ import os
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import PASSAGE
 
@@ -202,6 +203,17 @@ def test_tokens(spark, documents):
         assert row.decoded_sha256 == brute.sha(text)
 
 
+def test_pre_tokens_of_every_code_point():
+    """Every character between two letters, cut as the tokenizer library does."""
+    encoding = brute.encoding()
+    vocabulary = bpe.load(queries.VOCABULARY)
+    encode = bpe._encoder(vocabulary, queries.public_tokenizers.PATTERN)
+    texts = ["".join(f"a{chr(c)} b'{chr(c)}s\n" for c in range(i, i + 0x800) if not 0xD800 <= c < 0xE000) for i in range(0, 0x110000, 0x800)]
+    for i in range(0, len(texts), 16):
+        own = encode(pa.array(texts[i : i + 16])).to_pylist()
+        assert own == [np.array(encoding.encode_ordinary(t), "<u4").tobytes() for t in texts[i : i + 16]]
+
+
 def test_tokens_of_odd_rows(spark, odd):
     rows = run(spark, "op8_byte_bpe", odd)
     assert {(r.n_tokens, r.ids_sha256) for r in rows if r.doc_id in (2, 3)} == {(0, brute.sha(""))}
