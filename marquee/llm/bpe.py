@@ -24,7 +24,7 @@ from pyspark.sql import Column
 
 from marquee.llm.batches import SpanHash, mixed, raw, text_udf
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 # Fixed value: the pattern that the public byte-level vocabularies were made with.
 RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
