@@ -6,7 +6,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
-from conftest import CLASHING, PASSAGE
+from odd_tables import CLASHING, PASSAGE
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import PASSAGE
+from odd_tables import PASSAGE
 
 from marquee.llm import bpe, language, lines, phrases, queries, simhash
 
