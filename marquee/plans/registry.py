@@ -159,7 +159,8 @@ def run(
     """The named analysis over a titles table.
 
     Only ``q4`` and ``hg`` heed ``min_votes``, only ``roi`` the other two limits. Without
-    ``credits`` the companies listed in ``titles`` are used.
+    ``credits`` the companies listed in ``titles`` are used. ``q2``, ``q4``, ``roi`` and ``hg``
+    start jobs of their own before the frame is returned, to find the ranks they need.
     """
     if name not in _VARIANTS:
         raise KeyError(f"unknown query {name!r}; available: {', '.join(_VARIANTS)}")

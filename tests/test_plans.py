@@ -4,7 +4,7 @@ import pytest
 
 from marquee import rating_stability, run, top_share, variants
 from marquee.operators.credits import explode_credits
-from marquee.operators.ranks import nearest_rank, values_at_ranks
+from marquee.operators.ranks import nearest_rank, quantiles, values_at_ranks
 from marquee.scratch import written
 
 PYTHON_STEPS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups")
@@ -59,3 +59,22 @@ def test_rank_windows_never_span_a_group(stored):
     plan = plan_of(found)
     window = plan[plan.index("Window ") :].splitlines()[0]
     assert "_slot" in window.split("],")[1]
+
+
+def test_quantile_summaries_meet_in_two_steps(stored):
+    plan = plan_of(quantiles(stored, ["period"], {"popularity": [0.5]}, 1000))
+    spread = [line for line in plan.splitlines() if "hashpartitioning(period" in line]
+    assert len(spread) == 2 and "kll_merge_agg_double" in plan
+    # The lower shuffle is by the period and one of the mergers.
+    assert spread[1].split("hashpartitioning(")[1].split(")")[0].count(",") == 2
+
+
+@pytest.mark.parametrize("name, most", [("q2", 21), ("roi", 12), ("q4", 14), ("hg", 14), ("q1", 0), ("q5", 0)])
+def test_jobs_before_the_result(spark, stored, name, most):
+    """How many jobs run until the caller has a frame."""
+    context = spark.sparkContext
+    context.setJobGroup(f"jobs of {name}", "")
+    run(name, stored)
+    jobs = context.statusTracker().getJobIdsForGroup(f"jobs of {name}")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= most, len(jobs)
