@@ -21,6 +21,7 @@ another one are not (0).
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from marquee.functions import passed
 from marquee.llm.batches import SpanHash, mixed, text_udf
 
 LEVEL = 2
 KEPT = 48
 CHUNK = 1 << 19
+BLOCKS_PER_TASK = 4
 
 
 def _toss_table(size: int) -> np.ndarray:
@@ -195,28 +196,34 @@ def in_blocks(rows: DataFrame, order: str, text: str) -> DataFrame:
     ``id, text, tail`` in sorted partitions that hold whole blocks: first a block's rows, then,
     marked as ``tail``, those that open the next block (after the last: the first). Null ids
     come first, rows with one id go by text. The borders are the least ids of the partitions
-    of a sort by range, so only one id for each partition is collected.
+    of a sort by range, so only one id for each partition is collected. There are a few
+    blocks for each task, so that tasks get about as many rows each.
     """
     rows = rows.select(F.col(f"`{order}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = rows.select("id").repartitionByRange(n, "id").groupBy(F.spark_partition_id().alias("p"))
+    ids = rows.select("id").repartitionByRange(n * BLOCKS_PER_TASK, "id").groupBy(F.spark_partition_id().alias("p"))
     firsts = ids.agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()
     borders = sorted(row.least for row in firsts if row.least is not None)
-    if any(row.nulls for row in firsts) or not borders:
-        opens = F.col("id").isNull()
-    else:
-        opens = F.col("id") == F.lit(borders[0])
-    bounds = F.array(*[F.lit(b) for b in borders]) if borders else F.array(F.lit(None).cast(rows.schema["id"].dataType))
-    block = F.greatest(passed(F.col("bounds"), F.col("id"), max(1, len(borders))) - 1, F.lit(0))
-    placed = rows.withColumn("bounds", bounds).withColumn("block", F.coalesce(block, F.lit(0)))
-    last = F.lit(max(0, len(borders) - 1))
-    copy = F.struct(F.col("block").cast("int").alias("block"), F.lit(False).alias("tail"))
-    heads = (F.col("block") > 0) & (F.col("id") == F.get("bounds", F.col("block")))
-    before = F.when(heads, F.struct((F.col("block") - 1).cast("int").alias("block"), F.lit(True).alias("tail")))
-    around = F.when(opens, F.struct(last.cast("int").alias("block"), F.lit(True).alias("tail")))
-    copies = F.explode(F.array_compact(F.array(copy, before, around)))
+    last = max(0, len(borders) - 1)
+    first = None if any(row.nulls for row in firsts) or not borders else borders[0]
+
+    def places(keys: pa.Array) -> pa.Array:
+        """For each id its own block, and those that it follows as the next row."""
+        out = []
+        for key in keys.to_pylist():
+            block = 0 if key is None else max(0, bisect_right(borders, key) - 1)
+            own = [(block, False)]
+            if block and key == borders[block]:
+                own.append((block - 1, True))
+            if key == first:
+                own.append((last, True))
+            out.append([{"block": b, "tail": t} for b, t in own])
+        return pa.array(out, pa.list_(pa.struct([("block", pa.int32()), ("tail", pa.bool_())])))
+
+    places.__annotations__ = {"keys": pa.Array, "return": pa.Array}
+    placed = rows.select("id", "text", arrow_udf(places, "array<struct<block:int,tail:boolean>>")("id").alias("p"))
     return (
-        placed.select("id", "text", copies.alias("c"))
+        placed.select("id", "text", F.explode("p").alias("c"))
         .select("id", "text", "c.block", "c.tail")
         .repartition(n, "block")
         .sortWithinPartitions("block", "tail", "id", "text")
