@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that came before; those of which nothing is left go."""
-    found = lines.deduplicated(docs)
+    """The documents without runs of lines that came before, to their ends; those of which nothing is left go."""
+    found = lines.deduplicated(docs, whole_runs=True)
     changed = F.col("n_removed") > 0
     row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:

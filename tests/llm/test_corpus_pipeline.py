@@ -81,6 +81,63 @@ def test_line_stage(spark, odd):
     assert [r.doc_id for r in STAGES["line_dedup"](spark, copies, odd).collect()] == [0]
 
 
+def test_line_stage_deletes_runs_to_their_ends(spark, odd):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    copy = "\n".join([*long, "a short line", "", "the end"])
+    texts = [
+        (0, copy),
+        (1, copy),  # nothing is left of an exact copy
+        (2, "\n".join(["Opening.", *long, "a short line", "another end"])),
+        (3, "\n".join([long[0], "first tail"])),
+        (4, "\n".join([long[0], "second tail", "of two lines"])),
+        (5, "\n".join([long[0], "second tail", "of two lines", "and one more"])),  # as in 4, not in 0
+        (6, "a short line\n\nthe end"),
+    ]
+    rows = STAGES["line_dedup"](spark, spark.createDataFrame(texts, "doc_id bigint, text string"), odd).collect()
+    assert {r.doc_id: r.text for r in rows} == {
+        0: copy,
+        2: "Opening.\nanother end",
+        3: "first tail",
+        4: "second tail\nof two lines",
+        5: "and one more",
+        6: "a short line\n\nthe end",
+    }
+
+
+def runs_to_their_ends(texts, least):
+    """Every line in a run of ``least`` words or more that started at an earlier place, by all runs."""
+    seen, out = set(), []
+    for text in texts:
+        lines = text.split("\n")
+        used = [(i, n) for i, line in enumerate(lines) if (n := len(line.split()))]
+        gone = set()
+        for a in range(len(used)):
+            for b in range(a, len(used)):
+                if sum(n for _, n in used[a : b + 1]) >= least:
+                    name = tuple(lines[i] for i, _ in used[a : b + 1])
+                    if name in seen:
+                        gone.update(range(used[a][0], used[b][0] + 1))
+                    seen.add(name)
+        out.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_whole_runs_against_brute_force(spark):
+    import random
+
+    from marquee.llm import lines
+
+    rng = random.Random(7)
+    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 8, 20, 60]))) for _ in range(12)] + ["", "  "]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 25))) for _ in range(80)]
+    texts += [text + rng.choice(["", "\nb", "\nb\na c"]) for text in texts[:40]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for least in (5, 50):
+        rows = lines.deduplicated(frame, min_words=least, whole_runs=True).collect()
+        found = {r.row.doc_id: r.kept for r in rows}
+        assert [found[i] for i in range(len(texts))] == runs_to_their_ends(texts, least)
+
+
 def test_near_duplicate_stage(spark, odd):
     rows = kept(spark, odd, "near_dedup")
     ids = [r.doc_id for r in rows]
