@@ -150,6 +150,19 @@ def test_lines_against_brute_force(spark):
         assert [found[i] for i, _ in texts] == brute.deduplicated(texts, least)
 
 
+def test_lines_are_matched_by_selected_places(spark):
+    shared = [f"{i} is the number of this line" for i in range(40)]
+    # The line selected from the run of documents 1 and 2 stands among other lines in document 0.
+    frame = spark.createDataFrame([(1, "\n".join(shared))], "id bigint, text string")
+    windows = lines._windows(lines._lines(frame, 50), 50, False)
+    places = lines._places(windows).collect()
+    assert len({p.marked for p in places}) == len(places) < windows.count() == sum(len(p.windows) for p in places)
+    others = [line for p in places for line in (shared[p.marked], *[f"{p.marked} {k} is alone" for k in range(20)])]
+    texts = [(0, "\n".join(others)), (1, "\n".join(shared)), (2, "\n".join(["Opening.", *shared, "Closing."]))]
+    rows = lines.deduplicated(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r.row.doc_id: r.kept for r in rows} == {0: texts[0][1], 1: texts[1][1], 2: "Opening.\nClosing."}
+
+
 def test_simhash(spark, documents):
     prints = [brute.simhash(text) for _, text, _ in documents]
     group = brute.groups(prints)
