@@ -8,10 +8,11 @@ are a symbol of their own first, so neighbours always differ. A decision looks a
 symbols around, so equal passages are cut alike wherever they stand, and only the phrases at
 their ends depend on what is around them. A phrase's name is a hash of its symbols' names.
 
-The fingerprint of a text has the smallest hashes of the names at one level and above, in
-hexadecimal, a phrase that recurs having a hash for each time; the likeness of two fingerprints
-estimates what share of all their phrases they have in common. It is exact for texts with up to
-``KEPT`` phrases.
+A text's sketch has the hashes of all names at one level and above, a phrase that recurs having
+a hash for each time, so it grows with the text; how alike two sketches are is the share of all
+their phrases that they have in common. The fingerprint is a short form of it, the smallest
+``KEPT`` hashes in hexadecimal; the likeness of two fingerprints estimates that share, and is
+exact for texts with up to ``KEPT`` phrases.
 
 Null and empty texts have an empty fingerprint. A text too short for the level has the name of
 the whole text. Equal texts have equal fingerprints; two empty ones are alike (1), an empty and
@@ -123,8 +124,8 @@ def names(texts: list[str], level: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(found)
 
 
-def sketches(texts: list[str], level: int = LEVEL, kept: int = KEPT) -> list[np.ndarray]:
-    """The smallest ``kept`` hashes of each text's phrases, ascending."""
+def sketches(texts: list[str], level: int = LEVEL) -> list[np.ndarray]:
+    """The hashes of each text's phrases, ascending, of 44 bits each."""
     owner, name = names(texts, level)
     # Phrases that recur in a text are told apart by how often they came before.
     bits = np.uint64(20)
@@ -133,25 +134,35 @@ def sketches(texts: list[str], level: int = LEVEL, kept: int = KEPT) -> list[np.
     times = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
     owner = keys >> (np.uint64(64) - bits)
     name = (keys << bits) + times.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-    keys = np.unique(owner << np.uint64(32) | mixed(name) >> np.uint64(32))
-    owner = keys >> np.uint64(32)
+    keys = np.unique(owner << (np.uint64(64) - bits) | mixed(name) >> bits)
+    owner = keys >> (np.uint64(64) - bits)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1, dtype=np.uint64))
-    small = keys.astype(np.uint32)
-    return [small[a : min(b, a + kept)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    keys &= np.uint64((1 << 44) - 1)
+    return [keys[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def written_out(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def written_out(sketch: np.ndarray, kept: int = KEPT) -> str:
+    """The fingerprint: the smallest ``kept`` hashes, cut to their upper 32 bits."""
+    short = sketch >> np.uint64(12)
+    again = short[1:] == short[:-1]
+    if again.any():
+        short = short[np.append(True, ~again)]
+    return short[:kept].astype(">u4").tobytes().hex()
 
 
 def read_in(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
-def alike(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """The share of common hashes among the smallest ``kept`` of both."""
+def alike(a: np.ndarray, b: np.ndarray, kept: int | None = None) -> float:
+    """The share of common hashes among those of both, or among the smallest ``kept`` of them."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if kept is None:
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")  # two sorted runs are merged
+        n = int(np.count_nonzero(both[1:] == both[:-1]))
+        return n / (len(both) - n)
     both = np.union1d(a, b)[:kept]
     common = np.intersect1d(a, b, assume_unique=True)
     return float(np.searchsorted(common, both[-1], side="right") / len(both))
@@ -167,20 +178,20 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield start, len(texts)
 
 
-def all_sketches(texts: list[str], level: int = LEVEL, kept: int = KEPT) -> list[np.ndarray]:
-    return [s for a, b in _chunks(texts) for s in sketches(texts[a:b], level, kept)]
+def all_sketches(texts: list[str], level: int = LEVEL) -> list[np.ndarray]:
+    return [s for a, b in _chunks(texts) for s in sketches(texts[a:b], level)]
 
 
 def fingerprint(text: Column, level: int = LEVEL, kept: int = KEPT) -> Column:
     def work(texts: pa.Array) -> pa.Array:
-        found = all_sketches([t or "" for t in texts.to_pylist()], level, kept)
-        return pa.array([written_out(s) for s in found], pa.string())
+        found = all_sketches([t or "" for t in texts.to_pylist()], level)
+        return pa.array([written_out(s, kept) for s in found], pa.string())
 
     return text_udf(lambda: work, "string")(text)
 
 
 def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """What share of the phrases two fingerprints have in common, 0 to 1."""
+    """What share of their phrases two texts have in common, 0 to 1, estimated from their fingerprints."""
 
     def work(first: pa.Array, second: pa.Array) -> pa.Array:
         pairs = zip(first.to_pylist(), second.to_pylist(), strict=True)
@@ -242,9 +253,9 @@ EDITED = (
 
 
 def against_next(rows: DataFrame, order: str, text: str, level: int = LEVEL, kept: int = KEPT) -> DataFrame:
-    """Every text's fingerprint against that of its edited text and of the next one in order.
+    """Every text's fingerprint, and how alike its sketch is to its edited text's and the next one's in order.
 
-    Rows are read in order, one batch at a time, so a task keeps a batch and the row before.
+    All phrases count, whatever the length of the texts; only the fingerprints are cut. Rows are read in order, one batch at a time, so a task keeps a batch and the row before.
     """
     placed = in_blocks(rows, order, text)
 
@@ -256,7 +267,7 @@ def against_next(rows: DataFrame, order: str, text: str, level: int = LEVEL, kep
                 part = batch.slice(a, b - a)
                 columns = {c: part.column(part.schema.get_field_index(c)) for c in ("id", "block", "tail")}
                 chunk = texts[a:b]
-                prints = sketches(chunk, level, kept)
+                prints = sketches(chunk, level)
                 blocks, tails = columns["block"].to_pylist(), columns["tail"].to_pylist()
                 every = ([held] if held else []) + [
                     [columns["id"].slice(i, 1), blocks[i], tails[i], chunk[i], prints[i]] for i in range(len(chunk))
@@ -268,15 +279,15 @@ def against_next(rows: DataFrame, order: str, text: str, level: int = LEVEL, kep
 
     def answers(pairs: list) -> pa.RecordBatch:
         new = [edited(x[3], y[3]) for x, y in pairs]
-        prints = all_sketches(new, level, kept)
+        prints = all_sketches(new, level)
         columns = [
             pa.concat_arrays([x[0] for x, _ in pairs]),
             pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
-            pa.array([written_out(x[4]) for x, _ in pairs], pa.string()),
-            pa.array([written_out(p) for p in prints], pa.string()),
-            pa.array([alike(x[4], p, kept) for (x, _), p in zip(pairs, prints, strict=True)], pa.float64()),
-            pa.array([alike(x[4], y[4], kept) for x, y in pairs], pa.float64()),
+            pa.array([written_out(x[4], kept) for x, _ in pairs], pa.string()),
+            pa.array([written_out(p, kept) for p in prints], pa.string()),
+            pa.array([alike(x[4], p) for (x, _), p in zip(pairs, prints, strict=True)], pa.float64()),
+            pa.array([alike(x[4], y[4]) for x, y in pairs], pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["id", *(f.split()[0] for f in EDITED.split(", "))])
 

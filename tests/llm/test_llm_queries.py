@@ -91,6 +91,25 @@ def test_fingerprints(spark, documents):
     assert np.mean([r.near_edited for r in long]) > 0.45 > 0.1 > np.mean([r.near_next for r in long])
 
 
+def test_fingerprints_of_long_texts_that_share_one_passage(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    own = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(4_000)) for _ in range(3)]
+    passage = own[2][:700]
+    texts = [own[0][:14_000] + passage + own[0][14_000:], own[1][:9_000] + passage + own[1][9_000:]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = run(spark, "op2_fingerprints", str(tmp_path))
+    names = [set(zip(*np.unique(phrases.names([t], phrases.LEVEL)[1], return_counts=True), strict=True)) for t in texts]
+    counts = [{n: int(c) for n, c in x} for x in names]
+    common = sum(min(c, counts[1].get(n, 0)) for n, c in counts[0].items())
+    want = common / (sum(counts[0].values()) + sum(counts[1].values()) - common)
+    assert want > 0.005
+    assert [r.near_next for r in rows] == pytest.approx([want] * 2, abs=1e-12)
+    assert all(len(r.fingerprint) == 8 * phrases.KEPT for r in rows)
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     rows = run(spark, "op2_fingerprints", odd)
     blank = [r for r in rows if r.doc_id in (2, 3)]
