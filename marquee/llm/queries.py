@@ -9,10 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, chat, decontaminate, language, licences, lines, pages, phrases, resample, simhash
+from marquee.llm import (
+    bpe,
+    centroids,
+    chat,
+    decontaminate,
+    language,
+    licences,
+    lines,
+    pages,
+    phrases,
+    pitman_yor,
+    resample,
+    simhash,
+    whitening,
+)
 from marquee.scratch import written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -144,6 +158,51 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+CENTROIDS, COMPONENTS, ROUNDS, SCALE = 40, 64, 5, 256
+
+
+def op11_heap_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster after five rounds from forty vectors chosen by their hash."""
+    vectors = centroids.kept(table(spark, folder, "embeddings"), "vec_id", "embedding", COMPONENTS, SCALE)
+    chosen = F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256)
+    assigned, final = centroids.clustered(vectors, centroids.first_centroids(vectors, CENTROIDS, chosen), ROUNDS)
+    assigned = written(assigned)
+    texts = F.array(*[F.lit(",".join(map(str, centroid))) for centroid in final.tolist()]).cast("array<string>")
+    inertias = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    inertias = inertias.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy(F.lit(1))))
+    # A row for each centroid.
+    return assigned.join(F.broadcast(inertias), "cluster").select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2(F.get(texts, F.col("cluster")), 256).alias("centroid_sha256"),
+    )
+
+
+def op12_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's probability under a hierarchical Pitman-Yor model learnt from six sevenths of them.
+
+    A document without id is neither held out nor learnt from.
+    """
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    documents = table(spark, folder, "documents").select(
+        "doc_id", "text", F.coalesce(seventh == 2, F.lit(False)).alias("held_out"), F.coalesce(seventh != 2, F.lit(False)).alias("learn")
+    )
+    model = pitman_yor.learnt(documents.where("learn").select("text"))
+    found = pitman_yor.scored(documents, "text", model, ["doc_id", "held_out"])
+    return found.select(
+        "kept.doc_id", "kept.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
+
+
+def op13_spectrum_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector along the 32 leading principal components, in units of their deviation."""
+    vectors = whitening.kept(table(spark, folder, "embeddings"), "vec_id", "embedding", 64, 1_000_000)
+    return whitening.whitened(vectors, 32).withColumnRenamed("id", "vec_id")
+
+
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 _OP10 = f"""
@@ -200,9 +259,48 @@ SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n, 0) AS n_removed,
 FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)"""
 
 
+def _sql_clusters() -> str:
+    """Lloyd's rounds, one after the other: the nearest centroid of each vector, then the means."""
+    steps = [
+        f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda c: CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {COMPONENTS}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS j, x AS m FROM kept
+  QUALIFY j < {CENTROIDS})"""
+    ]
+    nearest = """
+a{0} AS MATERIALIZED (
+  SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d
+  FROM (SELECT r, j, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{0})
+  GROUP BY r)"""
+    means = """
+c{1} AS MATERIALIZED (
+  SELECT j, coalesce(mean, m) AS m
+  FROM c{0} LEFT JOIN (
+    SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS mean
+    FROM (SELECT a{0}.j, i, sum(x[i]) AS s, count(*) AS n
+          FROM a{0} JOIN kept USING (r), unnest(range(1, len(x) + 1)) AS p(i) GROUP BY a{0}.j, i)
+    GROUP BY j) USING (j))"""
+    for i in range(ROUNDS):
+        steps += [nearest.format(i), means.format(i, i + 1)]
+    steps.append(nearest.format(ROUNDS))
+    return (
+        ",".join(steps)
+        + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN kept USING (r) JOIN c{ROUNDS} USING (j)"""
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in [op1_chat_turns, op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op6_license_scan, op7_html_extract, op8_byte_bpe, op9_language_id, op10_decontaminate]}
+    return {query.__name__: query for query in [op1_chat_turns, op2_fingerprints, op3_quality_resample, op4_line_dedup, op5_simhash_dedup, op6_license_scan, op7_html_extract, op8_byte_bpe, op9_language_id, op10_decontaminate, op11_heap_clusters, op12_pitman_yor, op13_spectrum_whitening]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4, "op10_decontaminate": _OP10}
+    return {"op4_line_dedup": _OP4, "op10_decontaminate": _OP10, "op11_heap_clusters": _sql_clusters()}

@@ -10,6 +10,7 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "pages": "page_id bigint, url string, html string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 # Names that operators use themselves.
 CLASHING = [
@@ -57,6 +58,12 @@ ODD = {
         (1, "u", "<html><body><nav><a>Menu</a></nav><article><h1>Title</h1><p>One &amp; two,\n three.</p></article></body></html>"),
         (4, "u", "<article>" + "<p>A sentence of the article, and one more. Then it ends.</p>" * 3000 + "</article>"),
     ],
+    "embeddings": [
+        (1, [0.5] * 64, 0),
+        (1, [0.5] * 64, 0),
+        (None, [-0.5] * 63 + [2.0], None),
+        (9, [0.0] * 63 + [1e-9], 1),
+    ],
     "conversations": [
         (1, 0, "user", "User: hello there\nAssistant: hi, how can I help?\nUser: not at all"),
         (1, 1, "assistant", None),

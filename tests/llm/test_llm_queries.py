@@ -14,7 +14,12 @@ from marquee.llm import bpe, language, lines, phrases, queries, simhash
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = queries.queries()
 SQL = queries.oracle_sql()
-TABLE = {"op1_chat_turns": "conversations", "op7_html_extract": "pages"}
+TABLE = {
+    "op1_chat_turns": "conversations",
+    "op7_html_extract": "pages",
+    "op11_heap_clusters": "embeddings",
+    "op13_spectrum_whitening": "embeddings",
+}
 
 
 def run(spark, name, folder=FOLDER):
@@ -29,7 +34,7 @@ def source(spark, name, folder):
 def test_sql(spark, name):
     frame = QUERIES[name](spark, FOLDER)
     database = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     found = database.execute(SQL[name])
     columns = [d[0] for d in found.description]
@@ -50,6 +55,8 @@ def test_odd_tables_lose_no_row(spark, odd, name):
     n = source(spark, name, odd).count()
     if name == "op1_chat_turns":
         assert sum(row.part == 0 for row in rows) == n
+    elif name == "op13_spectrum_whitening":
+        assert len(rows) == 32 * n
     else:
         assert len(rows) == n
 
