@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.sources.records import read_across
+
 _CSV = {
     "header": "true",
     "escape": '"',
@@ -24,19 +26,22 @@ def read_csv(
     """A CSV file with a header, every column as text.
 
     Columns are found by header name in every file of its own: files may have them in another
-    order, or lack some, which are null. A file where quoted fields hold line ends is read
-    by one task (``multi_line``), others in splits; unless told, a pass over the lines finds
-    out, which also collects the headers.
+    order, or lack some, which are null. All files are read in splits. Where quoted fields hold
+    line ends (``multi_line``) a pass over the lines comes before, see ``records``; unless told,
+    another one finds out which files have such fields, and collects the headers.
     """
-    layouts = _layouts(spark, path, multi_line) or {("", bool(multi_line)): path}
+    layouts = _layouts(spark, path, multi_line) or {("", bool(multi_line)): [path]}
+    over = [file for (_, whole), files in layouts.items() if whole for file in files]
+    options = {**_CSV, "mode": "PERMISSIVE"}
+    plain = {head: files for (head, whole), files in layouts.items() if not whole}
     parts = [
-        spark.read.options(**_CSV, multiLine=str(whole).lower(), mode="PERMISSIVE", inferSchema="false").csv(
-            files if len(layouts) > 1 else path
-        )
-        for (_, whole), files in layouts.items()
+        spark.read.options(**options, multiLine="false", inferSchema="false").csv(files if len(layouts) > 1 else path)
+        for files in plain.values()
     ]
     if columns is not None:
         parts = [part.select(*[_text(part, name) for name in columns]) for part in parts]
+    if over:
+        parts.append(read_across(spark, over, options, columns))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
