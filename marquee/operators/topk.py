@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 12
+from marquee.operators.exact import exact_sums
 
 
 def top_k_with_total(
@@ -16,16 +16,14 @@ def top_k_with_total(
     ``wholes`` gives the total per period, ``parts`` the amounts of the entities. Both go
     through one aggregation; the total then sorts ahead of the entities of its period, so
     a single window limited to k + 1 rows per period yields everything. Amounts are added
-    up as decimals: equal sums must not differ by the order they were added in, and any
-    other difference counts, however small. They have ``DIGITS`` decimals and reach 10^26;
-    what lies beyond is left out of the sums. Ties go by name, then by the other columns.
+    up exactly, see ``exact``: equal sums must not differ by the order they were added in,
+    and any other difference counts, however small. They must not be negative. Ties go by
+    name, then by the other columns.
     """
     rows = wholes.select(by, amount, F.lit(True).alias("_whole")).unionByName(
         parts.select(by, amount, *entity, F.lit(False).alias("_whole")), allowMissingColumns=True
     )
-    exact = F.col(amount).try_cast(f"decimal(38,{DIGITS})")
-    summed = rows.groupBy(by, "_whole", *entity).agg(F.sum(exact).alias("_exact"))
-    summed = summed.withColumn(amount, F.col("_exact").cast("double"))
+    summed = exact_sums(rows, [by, "_whole", *entity], amount)
     best_first = Window.partitionBy(by).orderBy(
         F.col("_whole").desc(),
         F.col("_exact").desc_nulls_last(),
