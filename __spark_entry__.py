@@ -31,8 +31,9 @@ from marquee.functions import (
 from marquee.operators.ranks import nearest_rank, values_at_ranks
 from marquee.operators.running import running_total
 from marquee.operators.tiles import tile_sums
+from marquee.operators.topk import top_k_with_total
 from marquee.plans.gems import gem_limits
-from marquee.plans.ingest import as_declared, clean, split
+from marquee.plans.ingest import as_declared, clean, ingest_to, split
 from marquee.plans.shape import in_digits, with_decade
 from marquee.schema import RAW_COLUMNS
 from marquee.scratch import scratch_path, written
@@ -475,6 +476,65 @@ def csv_layouts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def csv_to_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw CSV whose overviews hold quotes and line ends, through the ingest to an analysis."""
+    titles, credits = order_titles(spark, folder, parts=False), order_credits(spark, folder, parts=False)
+    named = F.format_string("{'name': '%s', 'id': %s}", "company", "company_id")
+    lists = credits.groupBy("id").agg(F.array_join(F.collect_list(named), ", ").alias("_list"))
+    raw = titles.join(lists, "id", "left").select(
+        F.concat(F.lit('He said: "'), F.col("id"), F.lit('",\nand left.\n')).alias("overview"),
+        "id",
+        "original_title",
+        F.date_format("release_date", "yyyy-MM-dd").alias("release_date"),
+        F.lit("").alias("budget"),
+        F.col("revenue").cast("string").alias("revenue"),
+        *[F.col(c).cast("string").alias(c) for c in ("popularity", "vote_average", "vote_count")],
+        F.concat(F.lit("["), F.coalesce("_list", F.lit("")), F.lit("]")).alias("production_companies"),
+        F.lit("[]").alias("genres"),
+    )
+    path = scratch_path(spark)
+    write_csv(raw, f"{path}/raw")
+    stored, _ = ingest_to(spark, f"{path}/raw", f"{path}/titles")
+    return in_digits(top_share(stored), {**MONEY, **SHARES})
+
+
+def amounts_of_any_size(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts between 10^-16 and 10^306 in one ranking, each of them in the total."""
+    size = F.col("company_id") % 4
+    scale = F.when(size == 0, 1e-20).when(size == 1, 1.0).when(size == 2, 2e20).otherwise(1e290)
+    parts = with_decade(order_credits(spark, folder, parts=False)).select(
+        "decade", "company_id", (F.col("revenue") / F.col("n_companies") * scale).alias("amount")
+    )
+    found = top_k_with_total(parts.select("decade", "amount"), parts, "decade", ["company_id"], "amount", 1_000_000)
+    return found.select(
+        "decade", "rank", "company_id", *[F.format_string("%.9e", name).alias(name) for name in ("amount", "total")]
+    )
+
+
+def list_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Names in all spellings that a literal of the source language may have."""
+    forms = [
+        "[{'name': u'%s', 'id': 1}]",
+        "[{'name': '''%s''', 'id': 1}]",
+        "[{'name': '%s' \"\" u'', 'id': 1}]",
+        "[{'name': '%s', 'id': 1}, (1, 2)]",
+        "[{'name': '%s', 'id': 1}, None]",
+        "[{'name': '%s', 'id': 1,}]",
+        "[{'name': '\\U00000041\\N{LATIN SMALL LETTER B}%s', 'id': 1}]",
+        "[{'name': '%s', 'id': 1_000}]",
+        "[{'name': b'%s', 'id': 1}]",
+        "({'name': '%s', 'id': 1},)",
+    ]
+    kind, text = F.col("c_custkey") % len(forms), F.lit(None)
+    for i, form in enumerate(forms):
+        text = F.when(kind == i, F.format_string(form, "c_name")).otherwise(text)
+    texts = table(spark, folder, "customer").select("c_custkey", text.alias("text"))
+    named = F.get(parse_entities(F.col("text")), F.lit(0))
+    return texts.select(
+        "c_custkey", named["id"].alias("id"), named["name"].alias("name"), entities_status(F.col("text")).alias("status")
+    )
+
+
 def mixed_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Date texts with a time of day, or with a year alone, keep their period."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -728,6 +788,9 @@ _QUERIES = [
     hidden_gems_first_fifty,
     hidden_gems_rank_error,
     csv_layouts,
+    csv_to_shares,
+    amounts_of_any_size,
+    list_literals,
     mixed_dates,
     top_share_tiny,
     top_share_without_nan,
@@ -1210,6 +1273,23 @@ def _own_sql() -> dict[str, str]:
             FROM titles GROUP BY decade""",
         "csv_layouts": """
             SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS c_name, c_acctbal FROM customer""",
+        "csv_to_shares": _sql_shares("decade", "company_id, company", 5, f"decade, {_SHARE}, {_BY_ID}", "rank IS NOT NULL"),
+        "amounts_of_any_size": f"""
+            WITH {_TITLES}, {_CREDITS},
+            parts AS (
+              SELECT decade, company_id, revenue / n_companies * CASE company_id % 4
+                     WHEN 0 THEN 1e-20 WHEN 1 THEN 1e0 WHEN 2 THEN 2e20 ELSE 1e290 END AS amount
+              FROM credits),
+            summed AS (SELECT decade, company_id, fsum(amount) AS amount FROM parts GROUP BY ALL),
+            totals AS (SELECT decade, fsum(amount) AS total FROM parts GROUP BY ALL)
+            SELECT decade, CAST(row_number() OVER (PARTITION BY decade ORDER BY amount DESC) AS INTEGER) AS rank, company_id,
+                   printf('%.9e', amount) AS amount, printf('%.9e', total) AS total
+            FROM summed JOIN totals USING (decade)""",
+        "list_literals": """
+            SELECT c_custkey, CASE WHEN k < 7 THEN 1 WHEN k = 7 THEN 1000 END AS id,
+                   CASE WHEN k = 6 THEN 'Ab' || c_name WHEN k < 8 THEN c_name END AS name,
+                   CASE WHEN k < 8 THEN 'ok' ELSE 'unreadable' END AS status
+            FROM (SELECT *, c_custkey % 10 AS k FROM customer)""",
         "mixed_dates": """
             SELECT CAST(o_orderkey AS VARCHAR) AS id,
                    CASE WHEN o_orderkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,

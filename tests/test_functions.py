@@ -131,7 +131,7 @@ LISTS = [
     ("{'name': 'A', 'id': 1}", [], 0, "unreadable"),
     ("[{'name': 'A', 'id': 1", [], 0, "unreadable"),
     ("[{'name': 'A', 'id': 1}] x", [], 0, "unreadable"),
-    (r"[{'name': '\U0001F600', 'id': 1}]", [], 0, "unreadable"),
+    (r"[{'name': '\U0001F600', 'id': 1}]", [(1, "😀")], 1, "ok"),
     ("[{'name': 'A', 'id': 'abc'}]", [(None, "A")], 1, "ok"),
     ("False", [], 0, "empty"),
     ("", [], 0, "empty"),
