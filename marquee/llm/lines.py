@@ -4,16 +4,18 @@ A window is a line and as many of the next ones as it takes to reach ``min_words
 longer line is a window of its own. Lines without a word are passed over. From each window the
 line with the smallest hash is selected, so two runs of the same lines with that many words
 share a selected line for certain, wherever they stand. What is written is a row for each
-selected line, with the extent of the windows that select it. Selected lines whose hash is
-selected at one place only are dropped, with all their windows. The places that are left are
-verified by those windows: windows of the same lines are the same run, and the overlapping
-windows of a longer run add up to all of it. Places are not joined to the first one of their
-hash: the lines around that may differ, while two later places have a run in common. Every
-occurrence of a run but the first, in the order of ids and lines, is deleted.
+selected line, with the extent of the windows that select it: its place.
 
-The lines after a run's last window may be too few for a window of their own. With ``whole_runs``
-a match goes on over them until the lines differ from those of every earlier occurrence, so all
-of a repeated run with ``min_words`` words is deleted; without, these lines stay.
+Places whose hash is selected nowhere else are dropped with all their windows. The others are joined
+by hash and by the lines around them: each window of a place meets the first place that has
+the same window. A match is extended both ways. As far as windows reach, by the windows before and after that
+match as well, which overlap; beyond the last one line by line, which is a longer window that ends a
+line later, joined the same way. Each extension meets the first place that has it, which need not be the place
+of the match that it extends: the lines around a run may differ there, while two later places have more in
+common. So a run is found to its ends, without a pair for every two places of it.
+
+Every occurrence of a run but the first, in the order of ids and lines, is deleted: a line goes if
+it lies in a run of ``min_words`` words or more that also stands at an earlier place. Shorter runs stay.
 
 Windows are compared by two 64-bit hashes of their lines. Documents are told apart by id and
 text: rows that repeat both are one document, whose lines are judged once, and get the same
@@ -55,17 +57,18 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
         F.xxhash64(F.lit(1), "col").alias("h2"),
         F.least(F.regexp_count("col", F.lit(WORD)), F.lit(min_words)).alias("w"),
     )
-    once = hashed.where("w > 0").repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
+    # Rows that repeat meet once for each task, before the lines of a document come together.
+    once = hashed.where("w > 0").dropDuplicates([*_DOC, "pos"])
     earlier = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return once.withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0)))
 
 
-def _windows(lines: DataFrame, min_words: int, whole_runs: bool) -> DataFrame:
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     """For each line that opens a window: its last line, its selected line and its identity.
 
-    With ``whole_runs`` a window also counts with the lines after it, up to the end of the next
-    window but its last line, or to the last line where no window follows. Longer runs are made
-    of the next window too, so there are at most two or so for each line.
+    A window also counts with the lines after it, up to the end of the next window but its last
+    line, or to the last line where no window follows. Longer runs are made of the next window
+    too, so there are at most two or so for each line.
     """
     in_order = Window.partitionBy(*_DOC).orderBy("before")
     ahead = in_order.rangeBetween(0, min_words - 1)
@@ -78,17 +81,13 @@ def _windows(lines: DataFrame, min_words: int, whole_runs: bool) -> DataFrame:
         F.collect_list(F.struct("pos", "h1", "h2")).over(ahead).alias("own"),
         F.sum("w").over(ahead).alias("words"),
     )
-    run, sizes = F.col("own"), F.array(F.size("own"))
-    if whole_runs:
-        following = F.lead("own").over(in_order)
-        # A window of one line doesn't overlap the next one: both together are a run as well.
-        short = (F.lead("words").over(in_order) >= min_words) & (F.size("own") > 1)
-        every = every.withColumn("following", following).withColumn("short", short.cast("int"))
-        run = F.when(F.col("following").isNull(), F.col("own")).otherwise(
-            F.concat(F.slice("own", 1, 1), F.col("following"))
-        )
-        most = F.greatest(F.size("own"), F.coalesce(F.size("following") + 1 - F.col("short"), F.lit(0)))
-        sizes = F.sequence(F.size("own"), most)
+    following = F.lead("own").over(in_order)
+    # A window of one line doesn't overlap the next one: both together are a run as well.
+    short = (F.lead("words").over(in_order) >= min_words) & (F.size("own") > 1)
+    every = every.withColumn("following", following).withColumn("short", short.cast("int"))
+    run = F.when(F.col("following").isNull(), F.col("own")).otherwise(F.concat(F.slice("own", 1, 1), F.col("following")))
+    most = F.greatest(F.size("own"), F.coalesce(F.size("following") + 1 - F.col("short"), F.lit(0)))
+    sizes = F.sequence(F.size("own"), most)
     return (
         every.where(F.col("words") >= min_words)
         .select("id", *_DOC, "pos", "selected", run.alias("run"), F.explode(sizes).alias("size"))
@@ -112,12 +111,12 @@ def _places(windows: DataFrame) -> DataFrame:
     return windows.groupBy("id", *_DOC, "marked", "mark").agg(F.collect_list(each).alias("windows"))
 
 
-def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``k1, k2, runs, n`` for each document (``id, text``) with lines that came before.
 
     ``runs`` are sorted pairs of a first and a last line, from 0; ``n`` is how many lines they have.
     """
-    places = written(_places(_windows(_lines(documents, min_words), min_words, whole_runs)))
+    places = written(_places(_windows(_lines(documents, min_words), min_words)))
     # Selected lines that are selected at one place only are alone.
     marks = places.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     shared = places.join(marks, "mark", "left_semi")
@@ -162,11 +161,10 @@ def deduplicated(
     id_column: str = "doc_id",
     text: str = "text",
     min_words: int = MIN_WORDS,
-    whole_runs: bool = False,
 ) -> DataFrame:
     """The documents as ``row``, with ``kept`` (the text that stays), ``n_lines`` and ``n_removed``."""
     id_, value = F.col(f"`{id_column}`"), F.col(f"`{text}`")
-    runs = repeated_runs(documents.select(id_.alias("id"), value.alias("text")), min_words, whole_runs)
+    runs = repeated_runs(documents.select(id_.alias("id"), value.alias("text")), min_words)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     rows = documents.select(row, *_keys(id_, value)).join(runs, _DOC, "left")
     value = F.col(f"row.`{text}`")

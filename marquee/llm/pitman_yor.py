@@ -145,6 +145,8 @@ class Lexicon:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if counts is None:
+        return np.unique(keys, return_counts=True)
     unique, place = np.unique(keys, return_inverse=True)
     return unique, np.bincount(place, weights=counts, minlength=len(unique)).astype(np.int64)
 
@@ -211,20 +213,32 @@ def discount(ones: float, twos: float) -> float:
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """The logarithm of the gamma function for positive numbers, to about twelve digits."""
-    x = np.asarray(x, np.float64)
-    low = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(10):
-        small = y < 10
-        if not small.any():
-            break
-        low = low + np.where(small, np.log(np.where(small, y, 1.0)), 0.0)
-        y = np.where(small, y + 1, y)
+    y = np.array(x, np.float64)
+    low = np.zeros_like(y)
+    small = np.flatnonzero(y < 10)
+    if len(small):
+        product, z = np.ones(len(small)), y[small]
+        for _ in range(10):
+            product, z = product * z, z + 1
+        low[small], y[small] = np.log(product), z
     r = 1 / y
     series = r * (1 / 12 - r * r * (1 / 360 - r * r * (1 / 1260 - r * r / 1680)))
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - low
 
 
+def log_rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The logarithm of x (x + 1) ... (x + n - 1)."""
+    out = np.zeros(len(x))
+    few = n <= 8
+    product = np.ones(len(x))
+    for i in range(int(n[few].max(initial=0))):
+        product *= np.where(few & (n > i), x + i, 1.0)
+    out[few] = np.log(product[few])
+    many = ~few
+    out[many] = log_gamma(x[many] + n[many]) - log_gamma(x[many])
+    return out
+
+
 class Draws:
     """Numbers that depend on a key and how many were drawn for it, and on nothing else."""
 
@@ -258,17 +272,24 @@ class Draws:
         return out + boost
 
 
-def _waits(draws: Draws, which: np.ndarray, joining: np.ndarray, opening: np.ndarray) -> np.ndarray:
-    """How many customers join a table before one opens another.
+def _waits(draws: Draws, which: np.ndarray, joining: np.ndarray, opening: np.ndarray, remaining: np.ndarray) -> np.ndarray:
+    """How many of the remaining customers join a table before one opens another; all of them or more if none does.
 
     The weight of joining is ``joining`` at first and grows by one with each customer, that of opening
     stays ``opening``: geometric with a share of joiners from a beta law.
     """
-    a, b = draws.gamma(which, joining), draws.gamma(which, opening)
+    out = np.empty(len(which), np.int64)
+    # The last customer joins or opens, which needs no more than the two weights.
+    last = remaining == 1
+    own = which[last]
+    out[last] = draws.uniform(own) * (joining[last] + opening[last]) < joining[last]
+    own = which[~last]
+    a, b = draws.gamma(own, joining[~last]), draws.gamma(own, opening[~last])
     # log(v) for v = e^a / (e^a + e^b)
     log_share = -np.logaddexp(0.0, b - a)
-    steps = np.log(draws.uniform(which)) / np.minimum(log_share, -1e-300)
-    return np.floor(np.minimum(steps, 2.0**62)).astype(np.int64)
+    steps = np.log(draws.uniform(own)) / np.minimum(log_share, -1e-300)
+    out[~last] = np.floor(np.minimum(steps, 2.0**62))
+    return out
 
 
 @dataclass
@@ -296,7 +317,7 @@ def _weight(c: np.ndarray, seats: Seats, base: np.ndarray, parent: np.ndarray, d
         more = seats.sizes[left] >= k
         stop = np.where(more, seats.opened[np.minimum(first[left] + k - 1, max(len(seats.opened) - 1, 0))] + 1 if len(seats.opened) else 0, c[left])
         low = (base[left] + d * k) * parent[left] - d * k
-        out[left] += np.where(stop > start[left], log_gamma(low + stop) - log_gamma(low + start[left]), 0.0)
+        out[left] += log_rising(low + start[left], stop - start[left])
         start[left] = stop
         left = left[more]
         k += 1
@@ -316,7 +337,7 @@ def seated(keys: np.ndarray, old: Seats | None, c: np.ndarray, base: np.ndarray,
     opened: list[tuple[np.ndarray, np.ndarray]] = []
     k = 1
     while len(left):
-        wait = _waits(draws, left, at[left] - d * k, (base[left] + d * k) * parent[left])
+        wait = _waits(draws, left, at[left] - d * k, (base[left] + d * k) * parent[left], c[left] - at[left])
         inside = wait < c[left] - at[left]
         left, wait = left[inside], wait[inside]
         opened.append((left, at[left] + wait))
@@ -398,8 +419,8 @@ def learnt(
     most_pairs: int = MOST_PAIRS,
 ) -> Model:
     """The model of the texts (one column of them)."""
-    if not 0 < classes <= 4096:
-        raise ValueError("there may be 1 to 4096 classes")
+    if not 0 < classes <= 4096 or burn_in < 0 or samples < 1:
+        raise ValueError("there may be 1 to 4096 classes, and one sample at least")
     counted = word_counts(texts, classes)
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     lexicon = _lexicon(counted, words, classes, most_words)
@@ -433,14 +454,16 @@ def learnt(
     class_sizes = kinds[n_contexts:]
 
     d_of = np.concatenate([np.full(n_contexts, discounts[0]), np.full(classes, discounts[1])])
-    state = Stored(dishes.where("c > 1").select("key", "context", "symbol", "c", F.lit(None).cast("array<bigint>").alias("opened"), F.lit(0).cast("bigint").alias("tables")))
+    several = dishes.where("c > 1").select("key", "context", "symbol", "c")
+    state = None
     tables = np.minimum(kinds, customers)  # a table for each dish to begin with
-    probabilities, unigram = _first_guess(lexicon, alone_symbols, state.frame, strength), None
+    probabilities, unigram = _first_guess(lexicon, alone_symbols, several, strength), None
     gains, levels = [], []
     for round_ in range(burn_in + samples):
         step = _Sweep(strength, discounts, n_contexts, tables, probabilities, class_sizes, round_, round_ >= burn_in)
-        gone, state = state, Stored(state.frame.mapInArrow(step.run, _STATE))
-        gone.delete()
+        gone, state = state, Stored((state.frame if state else several).mapInArrow(step.run, _STATE))
+        if gone:
+            gone.delete()
         by_context, by_symbol = _tables(state.frame, n_all, lexicon.size)
         tables = one + by_context
         unigram, probabilities = _unigram(alone_symbols + by_symbol, unigram, strength, 1_000_003 + round_)
@@ -539,10 +562,12 @@ class _Sweep:
                 yield self._batch(batch)
 
     def _batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, context, symbol, c, opened, counted = batch.columns
+        """``opened`` and ``tables`` are missing in the first round."""
+        key, context, symbol, c = batch.columns[:4]
         context_, symbol_, c_ = context.to_numpy(), symbol.to_numpy(), c.to_numpy()
         old = None
-        if opened.null_count == 0:
+        if batch.num_columns > 4:
+            opened = batch.column(4)
             offsets = opened.offsets.to_numpy()
             old = Seats(c_, opened.flatten().to_numpy().astype(np.int64), np.diff(offsets).astype(np.int64))
         in_class = symbol_ < 0
@@ -560,7 +585,7 @@ class _Sweep:
         owner = np.concatenate([f[0] for f in flats])
         flat = np.concatenate([f[1] for f in flats])[np.argsort(owner, kind="stable")]
         seats = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat, pa.int64()))
-        summed = counted.to_numpy() + (sizes + 1 if self.sample else 0)
+        summed = (batch.column(5).to_numpy() if batch.num_columns > 4 else 0) + (sizes + 1) * self.sample
         return pa.RecordBatch.from_arrays([key, context, symbol, c, seats, pa.array(summed, pa.int64())], ["key", "context", "symbol", "c", "opened", "tables"])
 
 

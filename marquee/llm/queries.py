@@ -238,18 +238,27 @@ lines AS (
          least(50, len(regexp_extract_all(lines[i], '[^ \t\r\f\x0B]+'))) AS w
   FROM split, unnest(range(1, len(lines) + 1)) AS p(i)),
 counted AS (
-  SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k,
+         coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM lines WHERE w > 0),
+used AS (
+  SELECT doc_id, list(line ORDER BY pos) AS words, list(pos ORDER BY pos) AS places FROM counted GROUP BY doc_id),
 windows AS (
-  SELECT doc_id, pos, string_agg(line, chr(10)) OVER ahead AS words, max(pos) OVER ahead AS last
+  SELECT doc_id, k, max(k) OVER ahead AS last
   FROM counted
   WINDOW ahead AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
   QUALIFY sum(w) OVER ahead >= 50),
+-- A run that goes on is made of the next window too.
+longer AS (
+  SELECT doc_id, k, last, lead(last) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM windows),
+runs AS (
+  SELECT doc_id, k, y, words, places
+  FROM longer JOIN used USING (doc_id), unnest(range(last, coalesce(following, len(words)) + 1)) AS p(y)),
 later AS (
-  SELECT doc_id, pos, last FROM windows
-  QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM later),
+  SELECT doc_id, places[k] AS first, places[y] AS last FROM runs
+  QUALIFY row_number() OVER (PARTITION BY array_to_string(words[k:y], chr(10)) ORDER BY doc_id, k) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later),
 kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
   FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),

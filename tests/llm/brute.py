@@ -64,30 +64,23 @@ def groups(prints, max_bits=2):
 
 
 def deduplicated(documents, least=50):
-    """(id, text) in order -> the kept texts."""
-    seen, out = set(), []
-    for _, text in documents:
-        if text is None:
-            out.append(None)
-            continue
-        lines = text.split("\n")
+    """(id, text) in order -> the kept texts: each line against every earlier place, as far as both go on alike."""
+    places, used, out = {}, [], []
+    for d, (_, text) in enumerate(documents):
+        lines = (text or "").split("\n")
         counts = [len(re.findall(r"[^ \t\r\f\x0B]+", line)) for line in lines]
-        used = [i for i, n in enumerate(counts) if n]
+        used.append([(i, lines[i], n) for i, n in enumerate(counts) if n])
         gone = set()
-        for k, first in enumerate(used):
-            total, window = 0, []
-            for i in used[k:]:
-                window.append(i)
-                total += counts[i]
-                if total >= least:
-                    break
-            if total < least:
-                break
-            name = tuple(lines[i] for i in window)
-            if name in seen:
-                gone.update(range(first, window[-1] + 1))
-            seen.add(name)
-        out.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
+        for k, (first, line, _) in enumerate(used[d]):
+            earlier = places.setdefault(line, [])
+            for e, m in earlier:
+                n = 0
+                while k + n < len(used[d]) and m + n < len(used[e]) and used[d][k + n][1] == used[e][m + n][1]:
+                    n += 1
+                if sum(x[2] for x in used[d][k : k + n]) >= least:
+                    gone.update(range(first, used[d][k + n - 1][0] + 1))
+            earlier.append((d, k))
+        out.append(None if text is None else "\n".join(line for i, line in enumerate(lines) if i not in gone))
     return out
 
 

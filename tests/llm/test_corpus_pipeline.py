@@ -133,7 +133,7 @@ def test_whole_runs_against_brute_force(spark):
     texts += [text + rng.choice(["", "\nb", "\nb\na c"]) for text in texts[:40]]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     for least in (5, 50):
-        rows = lines.deduplicated(frame, min_words=least, whole_runs=True).collect()
+        rows = lines.deduplicated(frame, min_words=least).collect()
         found = {r.row.doc_id: r.kept for r in rows}
         assert [found[i] for i in range(len(texts))] == runs_to_their_ends(texts, least)
 

@@ -180,7 +180,7 @@ def test_lines_are_matched_by_selected_places(spark):
     shared = [f"{i} is the number of this line" for i in range(40)]
     # The line selected from the run of documents 1 and 2 stands among other lines in document 0.
     frame = spark.createDataFrame([(1, "\n".join(shared))], "id bigint, text string")
-    windows = lines._windows(lines._lines(frame, 50), 50, False)
+    windows = lines._windows(lines._lines(frame, 50), 50)
     places = lines._places(windows).collect()
     assert len({p.marked for p in places}) == len(places) < windows.count() == sum(len(p.windows) for p in places)
     others = [line for p in places for line in (shared[p.marked], *[f"{p.marked} {k} is alone" for k in range(20)])]
