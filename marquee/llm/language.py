@@ -54,6 +54,11 @@ def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     points, owner = np.insert(points, opens, 0), np.insert(owner, opens, owner[opens] if len(opens) else [])
     distinct, small = np.unique(points, return_inverse=True)
     bits = max(1, int(len(distinct)).bit_length())
+    if bits * 3 + 2 + int(len(texts)).bit_length() > 64 and len(texts) > 1:
+        # Too many letters for so many texts in one number; one text has room for all letters there are.
+        half = len(texts) // 2
+        (a, gram_a, n_a), (b, gram_b, n_b) = counted(texts[:half]), counted(texts[half:])
+        return np.concatenate([a, b + half]), np.concatenate([gram_a, gram_b]), np.concatenate([n_a, n_b])
     width = np.uint64(bits)
     small = small.astype(np.uint64)
     kinds = []
@@ -69,8 +74,6 @@ def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             key = (key << width) | (small[at + j] if j < n else np.uint64(0))
         kinds.append(key)
     keys = np.concatenate(kinds) if kinds else np.zeros(0, np.uint64)
-    if bits * 3 + 2 + int(len(texts)).bit_length() > 64:
-        raise ValueError("too many texts or letters in a slice")
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(keys)))

@@ -286,5 +286,9 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text: str = "te
     keys = _row_keys(F.col(f"`{id_column}`"), F.col(f"`{text}`"))
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     chosen = documents.select(row, *keys).join(best.select("best.k1", "best.k2"), ["k1", "k2"], "left_semi")
-    copies = Window.partitionBy("k1", "k2").orderBy(F.xxhash64("row"))
+    # Maps have no order and no hash; their JSON text has.
+    maps = [f.name for f in documents.schema if "map<" in f.dataType.simpleString()]
+    hashed = F.struct(*[F.col(f"row.`{c}`") for c in documents.columns if c not in maps])
+    texts = [F.to_json(F.struct(F.col(f"row.`{name}`"))) for name in maps]
+    copies = Window.partitionBy("k1", "k2").orderBy(F.xxhash64(hashed), *texts)
     return chosen.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")

@@ -149,6 +149,11 @@ def test_near_duplicate_stage(spark, odd):
     assert STAGES["near_dedup"](spark, copies, odd).count() == 1
 
 
+def test_near_duplicates_with_a_map_column(spark, odd):
+    frame = spark.createDataFrame([(4, "one text", {"a": i}) for i in (3, 3, 2)], "doc_id bigint, text string, other map<string,int>")
+    assert STAGES["near_dedup"](spark, frame, odd).count() == 1
+
+
 def test_contamination_stage(spark, odd):
     ids = [r.doc_id for r in kept(spark, odd, "decontaminate")]
     assert None not in ids and 1 not in ids and 7 not in ids and ids.count(8) == 1

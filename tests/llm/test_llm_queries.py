@@ -319,3 +319,14 @@ def test_trie_join_splits_large_groups(spark):
 
     want = brute.groups([int(p) for p in prints])
     assert trees(100_000) == trees(3) == {int(p): int(prints[w]) for p, w in zip(prints, want, strict=True)}
+
+
+def test_languages_of_all_letters_at_once():
+    """More letters than fit beside the numbers of many texts: the same counts, a few texts at a time."""
+    every = "".join(c for c in map(chr, range(0x30000)) if c.isalpha() and c == c.lower())
+    texts = [every] + ["abc"] * 255 + [None, ""]
+    owner, gram, n = language.counted(texts)
+    alone = [language.counted([text]) for text in (every, "abc")]
+    for text, (_, own, count) in zip((0, 200), alone, strict=True):
+        assert sorted(zip(gram[owner == text].tolist(), n[owner == text].tolist(), strict=True)) == sorted(zip(own.tolist(), count.tolist(), strict=True))
+    assert set(owner.tolist()) == set(range(256))
