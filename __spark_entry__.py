@@ -971,6 +971,31 @@ def _sql_gems(period: str, measured: str, limit: str) -> str:
     ORDER BY decade, va DESC, pop, id {limit}"""
 
 
+def _sql_cell_gems(accuracy: int) -> str:
+    """Thresholds by counts of logarithmic cells."""
+
+    def limit(value: str, share: str) -> str:
+        cell = f"CASE WHEN {value} > 0 THEN floor(log2({value}) * {accuracy}) ELSE -1e9 END"
+        return f"""
+    {value}_cells AS (
+      SELECT decade, {cell} AS cell, count(*) AS n, min({value}) AS low FROM measured GROUP BY ALL),
+    {value}_limit AS (
+      SELECT decade, min(low) AS {value}_limit
+      FROM (SELECT decade, low, sum(n) OVER (PARTITION BY decade ORDER BY cell) AS up_to,
+                   greatest(1, ceil({share} * sum(n) OVER (PARTITION BY decade))) AS wanted FROM {value}_cells)
+      WHERE up_to >= wanted GROUP BY decade)"""
+
+    return f"""
+    WITH {_TITLES},
+    measured AS (
+      SELECT decade, id, original_title, vote_average AS va, popularity AS pop, vote_count AS vc
+      FROM titles WHERE vote_average IS NOT NULL AND popularity IS NOT NULL AND vote_count >= 2),
+    {limit("va", "0.9e0")}, {limit("pop", "0.1e0")}
+    SELECT decade, id, original_title, va, pop, vc
+    FROM measured JOIN va_limit USING (decade) JOIN pop_limit USING (decade)
+    WHERE va >= va_limit AND pop <= pop_limit"""
+
+
 def _sql_stability(weight: str, where: str) -> str:
     return f"""
     WITH {_TITLES},
@@ -1098,6 +1123,7 @@ def _own_sql() -> dict[str, str]:
         "hidden_gems_eligible": _sql_gems(
             "decade", "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2", "LIMIT 500"
         ),
+        "hidden_gems_approx": _sql_cell_gems(10_000),
         "hidden_gems_all": _sql_gems("decade", "true", ""),
         "hidden_gems_yearly": _sql_gems("year", "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2", ""),
         "stability": stable,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import one_line
 from marquee.operators.joins import join_small
-from marquee.operators.ranks import nearest_rank, quantiles, values_at_ranks
+from marquee.operators.ranks import cell_quantiles, nearest_rank, values_at_ranks
 from marquee.plans.shape import PLAUSIBLE_DECADES, with_decade
 from marquee.scratch import small
 
@@ -28,8 +28,8 @@ def hidden_gems(
     The thresholds are percentiles per decade: of the rating (``high_q``) and of the
     popularity (``low_q``). With ``scope='eligible'`` they are taken over titles with both
     values, enough votes and a plausible decade, with ``'all'`` over every known value of
-    the decade. ``method='exact'`` is nearest rank, ``'approx'`` one pass with a rank error
-    of 1 / ``accuracy``. Exact reads ``titles`` several times, so it should be a table.
+    the decade. ``method='exact'`` is nearest rank, ``'approx'`` one pass that counts
+    by cells of one part in ``accuracy``, the same for any order of the rows. Exact reads ``titles`` several times, so it should be a table.
     """
     votes = F.coalesce(F.col("vote_count"), F.lit(0)) if scope == "all" else F.col("vote_count")
     base = with_decade(titles, width).select(
@@ -66,8 +66,8 @@ def hidden_gems(
 def gem_limits(measured: DataFrame, method: str, high_q: float, low_q: float, accuracy: int = 10_000) -> DataFrame:
     """``decade, _va, _pop``: the thresholds of rating and popularity, exact or approximate."""
     if method == "approx":
-        found = quantiles(measured, ["decade"], {"va": [high_q], "pop": [low_q]}, accuracy)
-        return found.select("decade", F.get("va", F.lit(0)).alias("_va"), F.get("pop", F.lit(0)).alias("_pop"))
+        found = cell_quantiles(measured, ["decade"], {"va": high_q, "pop": low_q}, accuracy)
+        return found.select("decade", F.col("va").alias("_va"), F.col("pop").alias("_pop"))
     if method == "exact":
         return _exact_limits(measured, high_q, low_q)
     raise ValueError("method must be exact or approx")

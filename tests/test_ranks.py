@@ -132,3 +132,27 @@ def test_many_groups(spark):
     assert found.where("value = g + 21000 AND n = 3 AND rank = 2").count() == 21_000
     totals = running_total(frame.withColumn("w", F.lit(1)), ["g"], ["v"], "w")
     assert totals.where("end = floor(v / 21000) + 1 AND start = end - 1").count() == 63_000
+
+
+def test_cell_quantiles_do_not_depend_on_the_order(spark):
+    import math
+    import random
+
+    from marquee.operators.ranks import cell_quantiles
+
+    draw = random.Random(3)
+    values = [draw.lognormvariate(0, 3) * draw.choice([1, 1, -1]) for _ in range(3000)] + [0.0] * 50 + [float("inf"), -float("inf"), 1e-310]
+    rows = [(i % 3, v, v) for i, v in enumerate(values)] + [(9, None, 1.0), (9, float("nan"), 2.0)]
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        found = []
+        for parts in (1, 7):
+            draw.shuffle(rows)
+            frame = spark.createDataFrame(rows, "g int, x double, y double").repartition(parts)
+            found.append({r.g: (r.x, r.y) for r in cell_quantiles(frame, ["g"], {"x": share, "y": 0.5}, 1000).collect()})
+        assert found[0] == found[1]
+        assert found[0][9] == (None, 1.0)
+        for g in range(3):
+            own = sorted(v for k, v, _ in rows if k == g)
+            exact = own[max(1, math.ceil(share * len(own))) - 1]
+            low = found[0][g][0]
+            assert low in own and (low == exact or abs(low - exact) <= abs(exact) / 1000)
