@@ -8,11 +8,10 @@ are a symbol of their own first, so neighbours always differ. A decision looks a
 symbols around, so equal passages are cut alike wherever they stand, and only the phrases at
 their ends depend on what is around them. A phrase's name is a hash of its symbols' names.
 
-A text's sketch has the hashes of all names at one level and above, a phrase that recurs having
-a hash for each time, so it grows with the text; how alike two sketches are is the share of all
-their phrases that they have in common. The fingerprint is a short form of it, the smallest
-``KEPT`` hashes in hexadecimal; the likeness of two fingerprints estimates that share, and is
-exact for texts with up to ``KEPT`` phrases.
+A text's fingerprint has the hashes of all names at one level and above in hexadecimal, in order, a
+phrase that recurs having a hash for each time. So it grows with the text, by about a name for each
+ten characters. The likeness of two fingerprints is the share of all their phrases that they have in
+common, and depends on the two strings alone.
 
 Null and empty texts have an empty fingerprint. A text too short for the level has the name of
 the whole text. Equal texts have equal fingerprints; two empty ones are alike (1), an empty and
@@ -33,8 +32,7 @@ from pyspark.sql.functions import arrow_udf
 
 from marquee.llm.batches import SpanHash, mixed, text_udf
 
-LEVEL = 2
-KEPT = 48
+LEVEL = 3
 CHUNK = 1 << 19
 BLOCKS_PER_TASK = 4
 
@@ -141,31 +139,29 @@ def sketches(texts: list[str], level: int = LEVEL) -> list[np.ndarray]:
     return [keys[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def written_out(sketch: np.ndarray, kept: int = KEPT) -> str:
-    """The fingerprint: the smallest ``kept`` hashes, cut to their upper 32 bits."""
+def shortened(sketch: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of each hash, ascending, each once."""
     short = sketch >> np.uint64(12)
-    again = short[1:] == short[:-1]
-    if again.any():
-        short = short[np.append(True, ~again)]
-    return short[:kept].astype(">u4").tobytes().hex()
+    return short[np.append(np.ones(min(1, len(short)), bool), short[1:] != short[:-1])].astype(np.uint32)
+
+
+def written_out(short: np.ndarray) -> str:
+    """The fingerprint as text."""
+    return short.astype(">u4").tobytes().hex()
 
 
 def read_in(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
-def alike(a: np.ndarray, b: np.ndarray, kept: int | None = None) -> float:
-    """The share of common hashes among those of both, or among the smallest ``kept`` of them."""
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of common hashes among those of both; each array is ascending and without repeats."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if kept is None:
-        both = np.concatenate([a, b])
-        both.sort(kind="stable")  # two sorted runs are merged
-        n = int(np.count_nonzero(both[1:] == both[:-1]))
-        return n / (len(both) - n)
-    both = np.union1d(a, b)[:kept]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.searchsorted(common, both[-1], side="right") / len(both))
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs are merged
+    n = int(np.count_nonzero(both[1:] == both[:-1]))
+    return n / (len(both) - n)
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -178,24 +174,23 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield start, len(texts)
 
 
-def all_sketches(texts: list[str], level: int = LEVEL) -> list[np.ndarray]:
-    return [s for a, b in _chunks(texts) for s in sketches(texts[a:b], level)]
+def fingerprints(texts: list[str], level: int = LEVEL) -> list[np.ndarray]:
+    return [shortened(s) for a, b in _chunks(texts) for s in sketches(texts[a:b], level)]
 
 
-def fingerprint(text: Column, level: int = LEVEL, kept: int = KEPT) -> Column:
+def fingerprint(text: Column, level: int = LEVEL) -> Column:
     def work(texts: pa.Array) -> pa.Array:
-        found = all_sketches([t or "" for t in texts.to_pylist()], level)
-        return pa.array([written_out(s, kept) for s in found], pa.string())
+        return pa.array([written_out(p) for p in fingerprints([t or "" for t in texts.to_pylist()], level)], pa.string())
 
     return text_udf(lambda: work, "string")(text)
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """What share of their phrases two texts have in common, 0 to 1, estimated from their fingerprints."""
+def likeness(a: Column, b: Column) -> Column:
+    """What share of their phrases two texts have in common, 0 to 1, from their fingerprints."""
 
     def work(first: pa.Array, second: pa.Array) -> pa.Array:
         pairs = zip(first.to_pylist(), second.to_pylist(), strict=True)
-        return pa.array([alike(read_in(x or ""), read_in(y or ""), kept) for x, y in pairs], pa.float64())
+        return pa.array([alike(read_in(x or ""), read_in(y or "")) for x, y in pairs], pa.float64())
 
     work.__annotations__ = {"first": pa.Array, "second": pa.Array, "return": pa.Array}
     return arrow_udf(work, "double")(a, b)
@@ -252,22 +247,22 @@ EDITED = (
 )
 
 
-def against_next(rows: DataFrame, order: str, text: str, level: int = LEVEL, kept: int = KEPT) -> DataFrame:
-    """Every text's fingerprint, and how alike its sketch is to its edited text's and the next one's in order.
+def against_next(rows: DataFrame, order: str, text: str, level: int = LEVEL) -> DataFrame:
+    """Every text's fingerprint, and how alike it is to its edited text's and the next one's in order.
 
-    All phrases count, whatever the length of the texts; only the fingerprints are cut. Rows are read in order, one batch at a time, so a task keeps a batch and the row before.
+    Rows are read in order, one batch at a time, so a task keeps a batch and the row before.
     """
     placed = in_blocks(rows, order, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None  # the row whose next one is still to come, with its sketch
+        held: list | None = None  # the row whose next one is still to come, with its fingerprint
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             for a, b in _chunks(texts):
                 part = batch.slice(a, b - a)
                 columns = {c: part.column(part.schema.get_field_index(c)) for c in ("id", "block", "tail")}
                 chunk = texts[a:b]
-                prints = sketches(chunk, level)
+                prints = fingerprints(chunk, level)
                 blocks, tails = columns["block"].to_pylist(), columns["tail"].to_pylist()
                 every = ([held] if held else []) + [
                     [columns["id"].slice(i, 1), blocks[i], tails[i], chunk[i], prints[i]] for i in range(len(chunk))
@@ -279,13 +274,13 @@ def against_next(rows: DataFrame, order: str, text: str, level: int = LEVEL, kep
 
     def answers(pairs: list) -> pa.RecordBatch:
         new = [edited(x[3], y[3]) for x, y in pairs]
-        prints = all_sketches(new, level)
+        prints = fingerprints(new, level)
         columns = [
             pa.concat_arrays([x[0] for x, _ in pairs]),
             pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
-            pa.array([written_out(x[4], kept) for x, _ in pairs], pa.string()),
-            pa.array([written_out(p, kept) for p in prints], pa.string()),
+            pa.array([written_out(x[4]) for x, _ in pairs], pa.string()),
+            pa.array([written_out(p) for p in prints], pa.string()),
             pa.array([alike(x[4], p) for (x, _), p in zip(pairs, prints, strict=True)], pa.float64()),
             pa.array([alike(x[4], y[4]) for x, y in pairs], pa.float64()),
         ]

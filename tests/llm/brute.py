@@ -36,6 +36,62 @@ def edited(texts):
     return out
 
 
+MASK = (1 << 64) - 1
+
+
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def toss(own, left):
+    """Twice the place of the lowest bit in which two different numbers differ, plus the own bit there."""
+    place = ((own ^ left) & -(own ^ left)).bit_length() - 1
+    return 2 * place + (own >> place & 1)
+
+
+def phrases_of(symbols):
+    """One level of locally consistent parsing, a symbol at a time."""
+    runs = []
+    for symbol in symbols:
+        if runs and runs[-1][0] == symbol:
+            runs[-1][1] += 1
+        else:
+            runs.append([symbol, 1])
+    merged = [mix((s ^ n * 0xA24BAED4963EE407) & MASK) if n > 1 else s for s, n in runs]
+    labels = [toss(x, merged[i - 1] if i else ~x) for i, x in enumerate(merged)]
+    for _ in range(3):
+        labels = [toss(x, labels[i - 1] if i else x ^ 1) for i, x in enumerate(labels)]
+    opens = [i for i in range(len(labels)) if i == 0 or (i < len(labels) - 1 and labels[i - 1] < labels[i] > labels[i + 1])]
+    spans = [merged[a:b] for a, b in zip(opens, [*opens[1:], len(merged)], strict=True)]
+    return [mix(sum((x + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, x in enumerate(span)) & MASK) for span in spans]
+
+
+def fingerprint(text, level):
+    symbols, depth, names = [ord(c) for c in text], 0, []
+    while symbols:
+        symbols = phrases_of(symbols)
+        depth += 1
+        if depth >= level or len(symbols) == 1:
+            names += symbols
+        if len(symbols) == 1:
+            break
+    times, out = Counter(), set()
+    for name in names:
+        high = name >> 20 << 20
+        out.add(mix((high + times[high] * 0xA24BAED4963EE407) & MASK) >> 32)
+        times[high] += 1
+    return "".join(f"{x:08x}" for x in sorted(out))
+
+
+def likeness(a, b):
+    a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def simhash(text, size=3):
     own = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     runs = [" ".join(own[i : i + size]) for i in range(len(own) - size + 1)] if len(own) >= size else [" ".join(own)] if own else []
