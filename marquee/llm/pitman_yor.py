@@ -350,7 +350,11 @@ def seated(keys: np.ndarray, old: Seats | None, c: np.ndarray, base: np.ndarray,
     new = Seats(c, time[order], np.bincount(dish, minlength=n))
     if old is None:
         return new
-    gain = _weight(c, new, base, parent, d) - _weight(c, old, base, parent, d)
+    # Two customers make one choice, drawn by its own law.
+    several = np.flatnonzero(c > 2)
+    gain = np.zeros(n)
+    weights = [_weight(c[several], _picked(x, several), base[several], parent[several], d) for x in (new, old)]
+    gain[several] = weights[0] - weights[1]
     taken = np.log(draws.uniform(np.arange(n))) < gain
     sizes = np.where(taken, new.sizes, old.sizes)
     kept = np.concatenate([old.opened[np.repeat(~taken, old.sizes)], new.opened[np.repeat(taken, new.sizes)]])
@@ -390,7 +394,7 @@ class Model:
         return -float(np.log10(self.tokens + self.distinct + 1))
 
 
-_STATE = "key bigint, context int, symbol int, c bigint, opened array<bigint>, tables bigint"
+_STATE = "key bigint, context int, symbol int, c bigint, opened array<bigint>, tables bigint, t bigint"
 
 
 def _unigram(customers: np.ndarray, old: Seats | None, strength: float, seed: int) -> tuple[Seats | None, np.ndarray]:
@@ -500,9 +504,8 @@ def _first_guess(lexicon: Lexicon, alone: np.ndarray, state: DataFrame, strength
 
 def _tables(state: DataFrame, n_contexts: int, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """The tables of each restaurant's and of each symbol's drawn dishes."""
-    t = F.size("opened") + 1
-    by_context = state.groupBy(F.col("context").alias("k")).agg(F.sum(t).alias("t"))
-    by_symbol = state.where("symbol >= 0").groupBy((F.col("symbol") + F.lit(n_contexts)).alias("k")).agg(F.sum(t).alias("t"))
+    by_context = state.groupBy(F.col("context").alias("k")).agg(F.sum("t").alias("t"))
+    by_symbol = state.where("symbol >= 0").groupBy((F.col("symbol") + F.lit(n_contexts)).alias("k")).agg(F.sum("t").alias("t"))
     rows = by_context.unionByName(by_symbol).toArrow()
     out = np.zeros(n_contexts + n_symbols, np.int64)
     out[rows["k"].to_numpy()] = rows["t"].to_numpy()
@@ -586,7 +589,8 @@ class _Sweep:
         flat = np.concatenate([f[1] for f in flats])[np.argsort(owner, kind="stable")]
         seats = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat, pa.int64()))
         summed = (batch.column(5).to_numpy() if batch.num_columns > 4 else 0) + (sizes + 1) * self.sample
-        return pa.RecordBatch.from_arrays([key, context, symbol, c, seats, pa.array(summed, pa.int64())], ["key", "context", "symbol", "c", "opened", "tables"])
+        columns = [key, context, symbol, c, seats, pa.array(summed, pa.int64()), pa.array(sizes + 1, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "context", "symbol", "c", "opened", "tables", "t"])
 
 
 def _picked(seats: Seats, which: np.ndarray) -> Seats:
