@@ -57,6 +57,8 @@ MOST_WORDS = 1 << 18
 MOST_PAIRS = 1 << 19
 # Tokens of a task that are counted together before they are sent on.
 GATHER = 1 << 21
+# Dishes that are drawn at once.
+ROWS = 1 << 18
 # Steps between equal cells of a logarithmic histogram of counts.
 _STEPS = 16
 
@@ -560,9 +562,18 @@ class _Sweep:
     sample: bool
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many rows at a time: the steps for each table are few calls over long arrays."""
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             if batch.num_rows:
-                yield self._batch(batch)
+                held.append(batch)
+                size += batch.num_rows
+            if size >= ROWS:
+                yield self._batch(pa.concat_batches(held))
+                held, size = [], 0
+        if held:
+            yield self._batch(pa.concat_batches(held))
 
     def _batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """``opened`` and ``tables`` are missing in the first round."""
