@@ -64,7 +64,7 @@ def quantiles(rows: DataFrame, by: list[str], values: dict[str, list[float]], ac
     )
 
 
-def _logarithmic(value: Column, accuracy: int) -> Column:
+def logarithmic_cell(value: Column, accuracy: int) -> Column:
     """The number of a value's cell: cells follow the order of the values, ``accuracy`` of them double it."""
     size = F.abs(value)
     number = F.when(size == float("inf"), F.lit(1e9)).otherwise(F.log2(size)) * F.lit(accuracy)
@@ -84,7 +84,7 @@ def cell_quantiles(rows: DataFrame, by: list[str], values: dict[str, float], acc
     cells = (
         rows.select(*by, F.inline(each))
         .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-        .groupBy(*by, "_name", "_share", _logarithmic(F.col("_x"), accuracy).alias("_cell"))
+        .groupBy(*by, "_name", "_share", logarithmic_cell(F.col("_x"), accuracy).alias("_cell"))
         .agg(F.count("*").alias("_n"), F.min("_x").alias("_low"))
     )
     group = Window.partitionBy(*by, "_name")
