@@ -5,9 +5,11 @@ everything beyond ASCII, one blank between words. Every run of ``window`` words
 a pattern (a shorter item as a whole), and one automaton over all of them reads each text
 once. Hits are given as spans of the original text.
 
-The automaton is made in every task from the words of the items, which are collected; their
-number is checked. Beyond ``words_per_automaton`` the items are split over several automata
-that read the text one after the other, each in a pass of its own.
+The automaton is made in every task from the words of the items. Beyond ``words_per_automaton``
+the items, and an item that is longer itself, are split: the documents are read once for each
+part, and what a pass has found is written before the next one starts, the table of the pass
+before being deleted. So the driver, the plan and a worker hold one part at a time, however
+large the benchmark is.
 
 Null texts have no words and no hits; so do empty ones. Items that are null or have no word
 match nothing. Repeated rows give equal results, and items that share a passage are all named.
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.batches import marked, raw, runs, text_udf
+from marquee.llm.tables import Stored
 
 WINDOW = 10
 # A window has about 60 bytes, so this is a trie of one or two million nodes.
@@ -69,15 +72,15 @@ def _scanner(items: list[tuple[object, str | None]], window: int) -> Callable[[p
     def scan(texts: pa.Array) -> list:
         data, offsets = raw(texts)
         plain = data.tobytes().translate(_CLEAN)
-        n_words, spans, item_places = [], [], []
+        n_words, spans, names = [], [], []
         for i in range(len(texts)):
             words = plain[offsets[i] : offsets[i + 1]].split()
             n_words.append(len(words))
             joined = b" %b " % b" ".join(words)
             at, places = hits(joined.decode("latin-1")) if words and len(automaton) else ([], ())
-            item_places.append(sorted(places))
+            names.append([str(items[place][0]) for place in sorted(places) if items[place][0] is not None])
             spans.append(_spans(texts[i].as_py(), joined, at) if at else [])
-        return [n_words, spans, item_places]
+        return [n_words, spans, names]
 
     return scan
 
@@ -107,16 +110,24 @@ def _spans(text: str, joined: bytes, at: list[tuple[int, int]]) -> list[dict]:
 _SPANS = "array<struct<start:int,end:int,first_word:int,n_words:int>>"
 
 
-def _parts(items: DataFrame, id_column: str, text_column: str, words_per_automaton: int) -> Iterator[list]:
+def _pieces(text: str | None, window: int, most: int) -> Iterator[tuple[int, str]]:
+    """An item's words in pieces that have ``most`` windows at most, and how many words a piece has."""
+    words = words_of(text)
+    for start in range(0, max(1, len(words) - window + 1), most):
+        piece = words[start : start + most + window - 1]
+        yield len(piece), b" ".join(piece).decode()
+
+
+def _parts(items: DataFrame, id_column: str, text_column: str, window: int, most: int) -> Iterator[list]:
     """The items in parts of so many words; the driver holds one part at a time."""
     part, n = [], 0
     for row in items.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).toLocalIterator():
-        words = len(words_of(row.text))
-        if part and n + words > words_per_automaton:
-            yield part
-            part, n = [], 0
-        part.append((row.id, row.text))
-        n += words
+        for words, piece in _pieces(row.text, window, most):
+            if part and n + words > most:
+                yield part
+                part, n = [], 0
+            part.append((row.id, piece))
+            n += words
     yield part
 
 
@@ -135,32 +146,31 @@ def scanned(
     characters of the text) and ``items`` (distinct ids as text, sorted).
     """
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    passes: list[Column] = []
-    for k, part in enumerate(_parts(items, item_id, item_text, words_per_automaton)):
+    before: Stored | None = None
+    done: Stored | None = None
+    for k, part in enumerate(_parts(items, item_id, item_text, window, words_per_automaton)):
+        if k:
+            before, done = done, Stored(rows)
+            rows = done.frame
+            if before:
+                before.delete()
         scan = text_udf(
             lambda part=part: _scanner(part, window),
-            f"n_words bigint, spans {_SPANS}, places array<int>",
+            f"n_words bigint, spans {_SPANS}, items array<string>",
         )
-        rows = rows.withColumn(f"pass{k}", scan(F.col(f"row.`{text}`")))
-        passes.append(_named(F.col(f"pass{k}.places"), [None if i is None else str(i) for i, _ in part]))
-    ids = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array(*passes)))))
-    spans = F.col("pass0.spans") if len(passes) == 1 else _united(len(passes))
-    hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["n_words"])
-    return rows.select(
-        "row",
-        F.struct(
-            F.col("pass0.n_words").alias("n_words"), hit.alias("n_hit"), spans.alias("spans"), ids.alias("items")
-        ).alias("found"),
-    )
-
-
-def _named(places: Column, names: list[str | None]) -> Column:
-    return F.transform(places, lambda place: F.get(F.lit(names or [""]), place))
-
-
-def _united(n_passes: int) -> Column:
-    """The spans of several passes, those that overlap or touch made one."""
-    every = F.array_sort(F.flatten(F.array(*[F.col(f"pass{k}.spans") for k in range(n_passes)])))
+        rows = rows.withColumn("pass", scan(F.col(f"row.`{text}`")))
+        if k:
+            spans, named = _united(F.col("spans"), F.col("pass.spans")), F.concat("items", "pass.items")
+        else:
+            spans, named = F.col("pass.spans"), F.col("pass.items")
+        rows = rows.select("row", "pass.n_words", spans.alias("spans"), F.array_sort(F.array_distinct(named)).alias("items"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["n_words"])
+    return rows.select("row", F.struct("n_words", hit.alias("n_hit"), "spans", "items").alias("found"))
+
+
+def _united(earlier: Column, later: Column) -> Column:
+    """The spans of two passes, those that overlap or touch made one."""
+    every = F.array_sort(F.concat(earlier, later))
 
     def add(done: Column, span: Column) -> Column:
         last = F.element_at(done, -1)
