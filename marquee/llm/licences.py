@@ -1,12 +1,15 @@
 """Licence texts in documents, by a positional index of their rarest words.
 
-Each template is a text of a licence, or a short phrase that names one. The index has, for the
-rarest words of every template, where in the template they stand; rare means a high inverse
-document frequency over all the documents, with the templates' own counts deciding ties. A
-document's words are looked up there: an occurrence says where the template would have to
-begin. Places that the rare words agree on are candidates, and each is verified: a phrase must
-be there word by word, and a licence text must have its mandatory phrases where they belong,
-give or take a few words, and most of its words in place.
+Each template is a text of a licence, or a short phrase that names one. The index has, for
+every mandatory phrase of a template, its rarest word and where in the template it stands; rare
+means a high inverse document frequency over all the documents, with the templates' own counts
+deciding ties. A document's words are looked up there: an occurrence says where the template
+would have to begin. Places on which the words of all its mandatory phrases agree, give or take
+a few words, are candidates. As a template is only accepted where all its mandatory phrases
+are, no place that the verification accepts is missed. Each candidate is verified: a phrase
+must be there word by word, and a licence text must have its mandatory phrases where they belong,
+give or take a few words, and most of its words in place. Of accepted beginnings that are next
+to each other the one with the highest score counts, the first one of equals.
 
 Words are compared by their bytes after A-Z went to lower case; anything but digits, letters
 and what lies beyond ASCII separates them. Null and empty texts have no words and no labels.
@@ -15,7 +18,9 @@ Documents are independent, so repeated rows give equal results.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -26,8 +31,6 @@ from pyspark.sql import functions as F
 from marquee.llm.batches import SpanHash, marked, raw, runs, slices, text_udf
 from marquee.llm.decontaminate import words_of
 
-# So many of a template's rarest words are indexed.
-RARE = 6
 # A licence text is there if this share of its words is in place.
 LEAST = 0.6
 # How far apart from its place a part of a licence text may be, in words.
@@ -191,30 +194,27 @@ def document_frequencies(documents: DataFrame, text: str, every: list[Template])
 
 
 class Index(NamedTuple):
-    """Postings of rare words, sorted by hash: the word's hash, its template and its place there."""
+    """Postings of rare words, sorted by hash: the word's hash, its template, mandatory phrase and place there."""
 
     every: list[Template]
     hashes: np.ndarray
     template: np.ndarray
+    key: np.ndarray
     place: np.ndarray
-    n_rare: np.ndarray
 
 
-def index(every: list[Template], frequencies: dict[bytes, int], rare: int = RARE) -> Index:
-    """Index each template's words with the highest inverse document frequency.
-
-    A phrase needs its rarest word alone, since all its words are verified.
-    """
+def index(every: list[Template], frequencies: dict[bytes, int]) -> Index:
+    """Index the word with the highest inverse document frequency of each mandatory phrase."""
     shared = {w: sum(w in t.words for t in every) for t in every for w in t.words}
     rows = []
     for number, template in enumerate(every):
-        ranked = sorted(set(template.words), key=lambda w: (frequencies.get(w, 0), shared[w], w))
-        for word in ranked[: 1 if template.exact else rare]:
-            rows += [(word, number, i) for i, w in enumerate(template.words) if w == word]
-    hashes = _hashes([word for word, _, _ in rows])
+        for key, (place, phrase) in enumerate(template.keys):
+            rarest = min(range(len(phrase)), key=lambda i: (frequencies.get(phrase[i], 0), shared[phrase[i]], phrase[i], i))
+            rows.append((phrase[rarest], number, key, place + rarest))
+    hashes = _hashes([row[0] for row in rows])
     order = np.argsort(hashes, kind="stable")
-    number, place = (np.array([row[k] for row in rows], np.int64)[order] for k in (1, 2))
-    return Index(every, hashes[order], number, place, np.bincount(number, minlength=len(every)))
+    template, key, place = (np.array([row[k] for row in rows], np.int64)[order] for k in (1, 2, 3))
+    return Index(every, hashes[order], template, key, place)
 
 
 class Match(NamedTuple):
@@ -253,7 +253,6 @@ def _scanner(found: Index) -> Callable[[pa.Array], list]:
     distinct = np.unique(found.hashes)
     lows = np.searchsorted(found.hashes, distinct)
     sizes = np.diff(np.append(lows, len(found.hashes)))
-    exact = np.array([t.exact for t in found.every])
 
     def scan(texts: pa.Array) -> list:
         words = Words(texts)
@@ -270,42 +269,37 @@ def _scanner(found: Index) -> Callable[[pa.Array], list]:
         text = owner[each]
         matches: list[list[Match]] = [[] for _ in range(len(texts))]
         order = np.lexsort((begin, template, text))
-        rows = zip(text[order].tolist(), template[order].tolist(), begin[order].tolist(), strict=True)
-        group: tuple[int, int] | None = None
-        votes: list[int] = []
-        for t, k, b in [*rows, (-1, -1, 0)]:
-            if (t, k) != group:
-                if group:
-                    _add(matches[group[0]], words, group, votes)
-                group, votes = (t, k), []
-            votes.append(b)
+        rows = zip(text[order].tolist(), template[order].tolist(), found.key[posting[order]].tolist(), begin[order].tolist(), strict=True)
+        for (t, k), own in groupby(rows, lambda row: row[:2]):
+            votes: list[list[int]] = [[] for _ in found.every[k].keys]
+            for _, _, key, b in own:
+                votes[key].append(b)
+            if all(votes):
+                matches[t] += _verified(words, int(words.bounds[t]), int(words.bounds[t + 1]), found.every[k], votes)
         return [n_words, [[m._asdict() for m in sorted(own, key=lambda m: (m.first_word, m.label))] for own in matches]]
 
-    def _add(out: list[Match], words: Words, group: tuple[int, int], votes: list[int]) -> None:
-        """Verify the places that enough rare words agree on, give or take the slack."""
-        low, high = int(words.bounds[group[0]]), int(words.bounds[group[0] + 1])
-        template = found.every[group[1]]
-        if exact[group[1]]:
-            out += [m for b in votes if (m := _match(words, low, high, template, b))]
-            return
-        needed = (int(found.n_rare[group[1]]) + 1) // 2
-        i = 0
-        while i < len(votes):
-            j = i
-            while j + 1 < len(votes) and votes[j + 1] - votes[i] <= 2 * SLACK:
-                j += 1
-            if j - i + 1 >= needed:
-                tries = sorted(set(votes[i : j + 1]), key=lambda b: (-votes[i : j + 1].count(b), b))
-                match = next((m for b in tries if (m := _match(words, low, high, template, b))), None)
-                if match:
-                    out.append(match)
-                    i = j + 1
-                    continue
-            i += 1
-
     return scan
 
 
+def _verified(words: Words, low: int, high: int, template: Template, votes: list[list[int]]) -> list[Match]:
+    """The template's matches; ``votes`` has for each mandatory phrase where the template would begin, sorted."""
+    slack = 0 if template.exact else SLACK
+
+    def agreed(begin: int) -> bool:
+        return all((i := bisect_left(own, begin - slack)) < len(own) and own[i] <= begin + slack for own in votes)
+
+    accepted = []
+    for begin in sorted({v + d for v in min(votes, key=len) for d in range(-slack, slack + 1)}):
+        if agreed(begin) and (match := _match(words, low, high, template, begin)):
+            accepted.append((begin, match))
+    best, i = [], 0
+    while i < len(accepted):
+        side = [a for a in accepted[i : i + 2 * slack + 1] if a[0] <= accepted[i][0] + 2 * slack]
+        best.append(max(side, key=lambda a: (a[1].score, -a[0]))[1])
+        i += len(side)
+    return best
+
+
 _MATCHES = "array<struct<label:string,exact:boolean,first_word:bigint,n_words:bigint,score:double>>"
 
 

@@ -174,6 +174,36 @@ def phrases(text):
     return len(own), len(places), min(starts, default=None), max(starts, default=None), labels
 
 
+def licence_texts(text, texts, least=0.6, slack=3):
+    """``label, first word, score`` of every licence text, tried at every place."""
+    own, found = words(text), []
+    for label, template, keys in texts:
+        template = words(template)
+        places = []
+        for key in map(words, keys):
+            at = next(i for i in range(len(template)) if template[i : i + len(key)] == key)
+            places.append((at, key))
+        accepted = []
+        for begin in range(-len(template) - slack, len(own) + slack):
+            ok = all(
+                any(0 <= begin + at + d and own[begin + at + d : begin + at + d + len(key)] == key for d in range(-slack, slack + 1))
+                for at, key in places
+            )
+            if ok:
+                near = [
+                    any(0 <= begin + i + d < len(own) and own[begin + i + d] == w for d in range(-slack, slack + 1))
+                    for i, w in enumerate(template)
+                ]
+                if sum(near) / len(near) >= least:
+                    accepted.append((begin, sum(near) / len(near)))
+        while accepted:
+            side = [a for a in accepted if a[0] <= accepted[0][0] + 2 * slack]
+            begin, score = max(side, key=lambda a: (a[1], -a[0]))
+            found.append((label, max(0, begin), score))
+            accepted = accepted[len(side) :]
+    return sorted(found)
+
+
 # --- tokens ---
 
 
