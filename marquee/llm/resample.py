@@ -29,7 +29,7 @@ from marquee.llm.batches import SpanHash, marked, mixed, raw, runs, slices, text
 from marquee.scratch import written
 
 BUCKETS = 10_000
-TEMPERATURE = 0.01
+TEMPERATURE = 0.05
 MARGIN = 0.2
 # The target model is fitted on so many labelled documents at most; the raw model on all.
 MOST_TARGETS = 20_000
