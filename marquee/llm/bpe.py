@@ -40,9 +40,9 @@ UNKNOWN_YET = (
     "2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
 
-# Kept from task to task in a worker: the kinds of code points, and what was merged before.
+# Kept from task to task in a worker: the kinds of code points, and for a vocabulary the ranks that merging looks up.
 _KINDS: list[np.ndarray] = []
-_MEMOS: dict[int, dict[bytes, bytes]] = {}
+_RANKS: dict[int, "Ranks"] = {}
 
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -60,6 +60,14 @@ class Vocabulary(NamedTuple):
     ids: np.ndarray
 
 
+class Ranks(NamedTuple):
+    """The rank of a token, that of every two bytes (-1: no token), and what was merged before."""
+
+    of: Callable[[bytes], int | None]
+    pairs: list[list[int]]
+    memo: dict[bytes, bytes]
+
+
 def load(path: str) -> Vocabulary:
     """Read a rank file: a line per token, base64 and id, the ids being 0, 1, …"""
     ranks = {}
@@ -249,12 +257,20 @@ def _pre_tokens(texts: pa.Array, pattern: str) -> tuple[np.ndarray, list[bytes],
     return codes, [w.encode() for w in distinct], np.array([len(words) for words in found], np.int64)
 
 
-def _encoder(vocabulary: Vocabulary, pattern: str) -> Callable[[pa.Array], pa.Array]:
+def _ranks(vocabulary: Vocabulary) -> Ranks:
+    """Built once in a worker, however many tasks it gets."""
     tokens = vocabulary.flat.tobytes()
-    bounds = vocabulary.offsets.tolist()
-    rank = {tokens[a:b]: i for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))}.get
-    pairs = [[rank(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
-    memo = _MEMOS.setdefault(hash(tokens), {})
+    key = hash((tokens, vocabulary.offsets.tobytes()))
+    if key not in _RANKS:
+        bounds = vocabulary.offsets.tolist()
+        rank = {tokens[a:b]: i for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))}.get
+        pairs = [[rank(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
+        _RANKS[key] = Ranks(rank, pairs, {})
+    return _RANKS[key]
+
+
+def _encoder(vocabulary: Vocabulary, pattern: str) -> Callable[[pa.Array], pa.Array]:
+    rank, pairs, memo = _ranks(vocabulary)
 
     def ids_of(words: list[bytes]) -> list[bytes]:
         """The ids of each word, packed."""
@@ -316,3 +332,21 @@ def encode(text: Column, vocabulary: Vocabulary, pattern: str) -> Column:
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes that such ids stand for."""
     return text_udf(lambda: _decoder(vocabulary), "binary")(ids)
+
+
+def round_trip(text: Column, vocabulary: Vocabulary, pattern: str) -> Column:
+    """``token_ids, intact``: the ids as ``encode`` gives them, and whether ``decode`` gives the text's bytes back.
+
+    One Python step instead of two, so a task has one worker with one vocabulary, and the decoded bytes stay in it.
+    """
+
+    def both() -> Callable[[pa.Array], list[pa.Array]]:
+        to_ids, to_bytes = _encoder(vocabulary, pattern), _decoder(vocabulary)
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            ids = to_ids(texts)
+            return [ids, pc.equal(to_bytes(ids), pc.fill_null(texts, "").cast(pa.binary()))]
+
+        return work
+
+    return text_udf(both, "token_ids binary, intact boolean")(text)

@@ -336,3 +336,18 @@ def test_languages_of_all_letters_at_once():
     for text, (_, own, count) in zip((0, 200), alone, strict=True):
         assert sorted(zip(gram[owner == text].tolist(), n[owner == text].tolist(), strict=True)) == sorted(zip(own.tolist(), count.tolist(), strict=True))
     assert set(owner.tolist()) == set(range(256))
+
+
+def test_round_trip_of_one_step(spark, documents):
+    """Ids and their check in one step are those of the two steps, also of null, empty and odd texts."""
+    vocabulary = bpe.load(queries.VOCABULARY)
+    pattern = queries.public_tokenizers.PATTERN
+    texts = [(None,), ("",), ("à \U0001f600'll  \n",)] + [(t,) for _, t, _ in documents[:50]]
+    frame = spark.createDataFrame(texts, "text string").repartition(3)
+    one = frame.select("text", bpe.round_trip(F.col("text"), vocabulary, pattern).alias("c")).select("text", "c.*")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    two = {r.text: bytes(r.ids) for r in frame.select("text", bpe.encode(F.col("text"), vocabulary, pattern).alias("ids")).collect()}
+    rows = one.collect()
+    assert len(rows) == len(texts)
+    assert all(r.intact and bytes(r.token_ids) == two[r.text] for r in rows)
