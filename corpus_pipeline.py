@@ -53,18 +53,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, token_ids`` (little-endian, 32 bits each) and whether decoding gives the text back."""
-    vocabulary = bpe.load(VOCABULARY)
-    ids = bpe.encode(F.col("text"), vocabulary, public_tokenizers.PATTERN)
-    decoded = bpe.decode(F.col("token_ids"), vocabulary)
-    return (
-        docs.select("doc_id", "text", ids.alias("token_ids"))
-        .select("doc_id", "text", "token_ids", decoded.alias("decoded"))
-        .select(
-            "doc_id",
-            (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
-            "token_ids",
-            (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("intact"),
-        )
+    coded = bpe.round_trip(F.col("text"), bpe.load(VOCABULARY), public_tokenizers.PATTERN)
+    return docs.select("doc_id", coded.alias("coded")).select(
+        "doc_id",
+        (F.octet_length("coded.token_ids") / 4).cast("bigint").alias("n_tokens"),
+        "coded.token_ids",
+        "coded.intact",
     )
 
 
