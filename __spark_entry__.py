@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee import debut_effect, hidden_gems, load_check, profile, rating_stability
+from marquee import debut_effect, hidden_gems, load_check, load_check_stored, period_overview, profile, rating_stability
 from marquee import report, roi_by_decile, roi_skipped, run, top_share, variants
 from marquee.functions import (
     blank_to_null,
     capped_bucket,
     entities_status,
+    lead_by_pattern,
     lenient_date,
     lenient_double,
     lenient_long,
@@ -180,6 +181,19 @@ def hidden_gems_approx(spark: SparkSession, folder: str) -> DataFrame:
     return _gems(spark, folder, method="approx")
 
 
+def _by_period(spark: SparkSession, folder: str, parts: bool = False) -> str:
+    """The titles stored in folders by period."""
+    path = scratch_path(spark)
+    write_titles(order_titles(spark, folder, parts).withColumn("period", period_of_date(F.col("release_date"))), path)
+    return path
+
+
+def hidden_gems_by_period(spark: SparkSession, folder: str) -> DataFrame:
+    """Each period read with its own thresholds."""
+    stored = spark.read.parquet(_by_period(spark, folder))
+    return hidden_gems(stored, min_votes=2, limit=500, stored_by_period=True)
+
+
 def hidden_gems_rank_error(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the approximate thresholds lie within their rank error, per decade."""
     accuracy = 1000
@@ -315,6 +329,10 @@ def list_names_by_pattern(spark: SparkSession, folder: str) -> DataFrame:
     return _list_texts(spark, folder).select("c_custkey", names.alias("name"))
 
 
+def lead_companies(spark: SparkSession, folder: str) -> DataFrame:
+    return _list_texts(spark, folder).select("c_custkey", lead_by_pattern(F.col("text")).alias("lead"))
+
+
 LINK = r'href="([^"]*)"'
 
 
@@ -383,6 +401,27 @@ def load_check_titles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def load_check_footers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of a stored table, from the footers of its files."""
+    checked = load_check_stored(spark, _by_period(spark, folder))
+    return checked.select(
+        "total", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_date", "last_date")]
+    )
+
+
+def _overview(spark: SparkSession, folder: str, **options) -> DataFrame:
+    titles, credits = order_titles(spark, folder), order_credits(spark, folder, parts=False)
+    return in_digits(period_overview(titles, credits, **options), {**MONEY, **SHARES})
+
+
+def overview_by_decade(spark: SparkSession, folder: str) -> DataFrame:
+    return _overview(spark, folder, min_votes=2)
+
+
+def overview_by_year(spark: SparkSession, folder: str) -> DataFrame:
+    return _overview(spark, folder, k=3, min_votes=7, width=1)
+
+
 def running_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines of a flag were shipped up to each day."""
     days = (
@@ -798,6 +837,11 @@ _QUERIES = [
     result_sinks,
     registered_table,
     type_listing,
+    hidden_gems_by_period,
+    load_check_footers,
+    lead_companies,
+    overview_by_decade,
+    overview_by_year,
     *map(_run_named, variants()),
 ]
 
@@ -971,6 +1015,24 @@ def _sql_gems(period: str, measured: str, limit: str) -> str:
     ORDER BY decade, va DESC, pop, id {limit}"""
 
 
+def _sql_overview(period: str, k: int, min_votes: int) -> str:
+    shares = _sql_shares(
+        period, "company_id, company", k, f"decade, {_SHARE}, round(total, 2) AS total", "rank = 1 OR rank IS NULL"
+    )
+    return f"""
+    WITH {_TITLES},
+    shares AS ({shares}),
+    sizes AS (
+      SELECT {period} AS decade, count(revenue) AS n_movies, count(*) AS n_budgets FROM titles WHERE budget > 0 GROUP BY 1),
+    rated AS (
+      SELECT {period} AS decade, count(*) AS n_rated FROM titles
+      WHERE vote_average IS NOT NULL AND vote_count >= {min_votes} GROUP BY 1),
+    spine AS (SELECT decade FROM shares UNION SELECT decade FROM sizes UNION SELECT decade FROM rated)
+    SELECT decade, coalesce(total, 0e0) AS total, coalesce(top_share, 0e0) AS top_share,
+           coalesce(n_movies, 0) AS n_movies, coalesce(n_budgets, 0) AS n_budgets, coalesce(n_rated, 0) AS n_rated
+    FROM spine LEFT JOIN shares USING (decade) LEFT JOIN sizes USING (decade) LEFT JOIN rated USING (decade)"""
+
+
 def _sql_cell_gems(accuracy: int) -> str:
     """Thresholds by counts of logarithmic cells."""
 
@@ -1123,6 +1185,9 @@ def _own_sql() -> dict[str, str]:
         "hidden_gems_eligible": _sql_gems(
             "decade", "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2", "LIMIT 500"
         ),
+        "hidden_gems_by_period": _sql_gems(
+            "decade", "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2", "LIMIT 500"
+        ),
         "hidden_gems_approx": _sql_cell_gems(10_000),
         "hidden_gems_all": _sql_gems("decade", "true", ""),
         "hidden_gems_yearly": _sql_gems("year", "va IS NOT NULL AND pop IS NOT NULL AND vc >= 2", ""),
@@ -1212,6 +1277,15 @@ def _own_sql() -> dict[str, str]:
             SELECT count(*) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date,
                    strftime(max(o_orderdate), '%Y-%m-%d') AS last_date
             FROM orders""",
+        "load_check_footers": """
+            SELECT count(*) AS total, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date,
+                   strftime(max(o_orderdate), '%Y-%m-%d') AS last_date
+            FROM orders""",
+        "overview_by_decade": _sql_overview("decade", 5, 2),
+        "overview_by_year": _sql_overview("year", 3, 7),
+        "lead_companies": f"""
+            WITH {_TEXTS}
+            SELECT c_custkey, CASE WHEN kind <> 2 THEN c_name END AS lead FROM texts""",
         "running_counts": """
             SELECT l_returnflag, day, n, CAST(sum(n) OVER w - n AS BIGINT) AS start,
                    CAST(sum(n) OVER w AS BIGINT) AS "end"

@@ -3,7 +3,8 @@
 from marquee.plans.concentration import top_share
 from marquee.plans.debuts import debut_effect
 from marquee.plans.gems import hidden_gems
-from marquee.plans.ingest import ingest, load_check, profile
+from marquee.plans.ingest import ingest, load_check, load_check_stored, profile
+from marquee.plans.overview import period_overview
 from marquee.plans.registry import report, run, variants
 from marquee.plans.returns import roi_by_decile, roi_skipped
 from marquee.plans.stability import rating_stability
@@ -13,6 +14,8 @@ __all__ = [
     "hidden_gems",
     "ingest",
     "load_check",
+    "load_check_stored",
+    "period_overview",
     "profile",
     "rating_stability",
     "report",

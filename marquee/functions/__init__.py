@@ -3,6 +3,7 @@ from marquee.functions.entities import (
     as_records,
     entities,
     entities_status,
+    lead_by_pattern,
     names_by_pattern,
     parse_entities,
     read_records,
@@ -16,6 +17,7 @@ from marquee.functions.lenient import (
     lenient_long,
     one_line,
     strip_space,
+    unquoted,
     year_of_text,
 )
 from marquee.functions.measures import (
@@ -40,6 +42,7 @@ __all__ = [
     "entities",
     "entities_status",
     "fraction",
+    "lead_by_pattern",
     "lenient_date",
     "lenient_double",
     "lenient_long",
@@ -55,5 +58,6 @@ __all__ = [
     "return_on_investment",
     "status",
     "strip_space",
+    "unquoted",
     "year_of_text",
 ]

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.lenient import WHITE_SPACE, strip_space
+from marquee.functions.lenient import WHITE_SPACE, strip_space, unquoted
 
 # A named entry in the JSON and in the Python spelling.
 NAME_PATTERNS = (
     r'"name"\s*:\s*"([^"]+)"',
     r"'name'\s*:\s*'([^']+)'",
 )
+NAME_KEY = r"""\A["']name["']\s*:\s*"""
 
 _RECORD = "struct<id:string,name:string>"
 _JSON = {"allowBackslashEscapingAnyCharacter": "true"}
@@ -186,6 +187,12 @@ def entities_status(text: Column) -> Column:
     return status(text, read_records(text))
 
 
+def lead_by_pattern(text: Column) -> Column:
+    """The first name found by the two patterns alone, the double-quoted ones first; null if there is none."""
+    pairs = [F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")) for pattern in NAME_PATTERNS]
+    return unquoted(F.regexp_replace(F.coalesce(*pairs), NAME_KEY, ""))
+
+
 def names_by_pattern(text: Column) -> Column:
     """Names found by the two patterns alone; quotes inside a name are not understood."""
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in NAME_PATTERNS]

@@ -14,6 +14,11 @@ def strip_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def unquoted(text: Column) -> Column:
+    """Drop the character that a text opens with from both its ends."""
+    return F.btrim(text, F.left(text, F.lit(1)))
+
+
 def blank_to_null(text: Column) -> Column:
     """A stripped key; empty text and the word ``nan`` count as missing."""
     key = strip_space(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions import names_by_pattern
+from marquee.functions import lead_by_pattern, names_by_pattern
 
 
 def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFrame:
@@ -31,13 +31,15 @@ def explode_credits(titles: DataFrame, companies: str = "companies") -> DataFram
     )
 
 
-def pattern_credits(titles: DataFrame, text: str) -> DataFrame:
+def pattern_credits(titles: DataFrame, text: str, lead_only: bool = False) -> DataFrame:
     """The same from a list text by the name patterns alone, for comparison with such reports.
 
-    Names holding quotes are missed and don't count in ``n_companies``; there are no ids.
+    Names holding quotes are missed and don't count in ``n_companies``; there are no ids. With
+    ``lead_only`` a title is credited to its first name alone.
     """
     others = [name for name in titles.columns if name != text]
-    named = titles.select(*others, names_by_pattern(F.col(text)).alias("_names"))
+    names = F.array_compact(F.array(lead_by_pattern(F.col(text)))) if lead_only else names_by_pattern(F.col(text))
+    named = titles.select(*others, names.alias("_names"))
     return (
         named.select(*others, F.size("_names").alias("n_companies"), "_names")
         .select(*others, "n_companies", F.explode("_names").alias("company"))

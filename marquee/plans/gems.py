@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from marquee.operators.ranks import cell_quantiles, nearest_rank, values_at_rank
 from marquee.plans.shape import PLAUSIBLE_DECADES, with_decade
 from marquee.scratch import small
 
+# So many periods have their limits written into filters; with more of them the limits are joined only.
+MOST_PERIODS = 100
+
 
 def hidden_gems(
     titles: DataFrame,
@@ -22,6 +27,7 @@ def hidden_gems(
     accuracy: int = 10_000,
     limit: int | None = None,
     width: int = 10,
+    stored_by_period: bool = False,
 ) -> DataFrame:
     """``decade, id, original_title, va, pop, vc`` of the titles beyond both thresholds.
 
@@ -30,6 +36,10 @@ def hidden_gems(
     values, enough votes and a plausible decade, with ``'all'`` over every known value of
     the decade. ``method='exact'`` is nearest rank, ``'approx'`` one pass that counts
     by cells of one part in ``accuracy``, the same for any order of the rows. Exact reads ``titles`` several times, so it should be a table.
+
+    The thresholds become literals in the filters, so that a Parquet reader skips row groups
+    below them. ``stored_by_period`` says that ``titles`` is as ``write_titles`` stores it, in
+    folders by period: each is then read with its own thresholds. The rows are the same.
     """
     votes = F.coalesce(F.col("vote_count"), F.lit(0)) if scope == "all" else F.col("vote_count")
     base = with_decade(titles, width).select(
@@ -55,14 +65,31 @@ def hidden_gems(
 
     limits = small(gem_limits(measured, method, high_q, low_q, accuracy))
     gems = (
-        join_small(eligible, limits, ["decade"])
-        .where("va >= _va AND pop <= _pop")
+        _beyond(eligible, limits, stored_by_period and width == 10)
         .select("decade", "id", "original_title", "va", "pop", "vc")
         .orderBy("decade", F.col("va").desc(), "pop", "id")
     )
     return gems if limit is None else gems.limit(limit)
 
 
+def _beyond(eligible: DataFrame, limits: DataFrame, by_period: bool) -> DataFrame:
+    """The rows beyond the thresholds of their decade, which stand in the filters as far as they can."""
+    found = limits.limit(MOST_PERIODS + 1).collect()
+    known = [row for row in found if row["_va"] is not None and row["_pop"] is not None]
+    va, pop = F.col("va"), F.col("pop")
+    if known and len(found) <= MOST_PERIODS:
+        if by_period:
+            parts = [
+                eligible.where((F.col("decade") == row["decade"]) & (va >= row["_va"]) & (pop <= row["_pop"]))
+                for row in sorted(known, key=lambda row: row["decade"])
+            ]
+            return reduce(DataFrame.unionByName, parts)
+        eligible = eligible.where(
+            (va >= min(row["_va"] for row in known)) & (pop <= max(row["_pop"] for row in known))
+        )
+    return join_small(eligible, limits, ["decade"]).where("va >= _va AND pop <= _pop")
+
+
 def gem_limits(measured: DataFrame, method: str, high_q: float, low_q: float, accuracy: int = 10_000) -> DataFrame:
     """``decade, _va, _pop``: the thresholds of rating and popularity, exact or approximate."""
     if method == "approx":

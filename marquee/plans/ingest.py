@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.functions import (
     as_records,
@@ -137,3 +138,55 @@ def load_check(frame: DataFrame, date: str = "release_date") -> DataFrame:
     return frame.agg(
         F.count("*").alias("total"), F.min(date).alias("first_date"), F.max(date).alias("last_date")
     )
+
+
+def by_footers(spark: SparkSession, path: str) -> DataFrame:
+    """A stored Parquet table whose counts and extremes are taken from the statistics in the footers.
+
+    Spark's second Parquet reader does that. It is switched on in a session of its own on the same
+    context, so that the caller's settings stay as they are.
+    """
+    footers = spark.newSession()
+    v1_only = [name for name in footers.conf.get("spark.sql.sources.useV1SourceList").split(",") if name.strip() != "parquet"]
+    footers.conf.set("spark.sql.sources.useV1SourceList", ",".join(v1_only))
+    footers.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return footers.read.parquet(path)
+
+
+def _dated(frame: DataFrame, by: list[str]) -> DataFrame:
+    return frame.groupBy(*by).agg(F.count("*").alias("n"), F.count("_date").alias("n_dated"))
+
+
+def _extremes(frame: DataFrame, by: list[str], keys: list) -> DataFrame:
+    if by:
+        named = F.col(by[0]).isin([key for key in keys if key is not None])
+        frame = frame.where(named | F.col(by[0]).isNull() if None in keys else named)
+    return frame.agg(F.min("_date").alias("first_date"), F.max("_date").alias("last_date"))
+
+
+def load_check_stored(spark: SparkSession, path: str, date: str = "release_date", period: str = "period") -> DataFrame:
+    """The same of a stored Parquet table, from the footers of its files.
+
+    Footers count the rows and the dates of every ``period`` (the folders of ``write_titles``; a table
+    without that column is one period). Where all rows have a date they give the first and last one too; footers of
+    files without any date have none, so the column is read in periods where dates are missing in part.
+    The periods' counts, a row each, are looked at here, so jobs start before the frame is returned.
+    """
+    footers = by_footers(spark, path).withColumnRenamed(date, "_date")
+    by = [period] if period in footers.columns else []
+    # Files without any row have no statistics, not even a count of zero.
+    counts = [row for row in _dated(footers, by).collect() if row.n]
+    found = []
+    for frame, rows in (
+        (footers, [row for row in counts if 0 < row.n_dated == row.n]),
+        (spark.read.parquet(path).withColumnRenamed(date, "_date"), [row for row in counts if 0 < row.n_dated < row.n]),
+    ):
+        if rows:
+            found.append(_extremes(frame, by, [row[period] for row in rows] if by else []).first())
+    kind = footers.schema["_date"].dataType
+    schema = T.StructType(
+        [T.StructField("total", T.LongType()), T.StructField("first_date", kind), T.StructField("last_date", kind)]
+    )
+    first = min((row.first_date for row in found), default=None)
+    last = max((row.last_date for row in found), default=None)
+    return spark.createDataFrame([(sum(row.n for row in counts), first, last)], schema)

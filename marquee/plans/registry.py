@@ -100,11 +100,12 @@ def _debut_report(credits: DataFrame) -> DataFrame:
 
 @dataclass
 class Limits:
-    """What a caller may set: votes for the gems, titles and budgets per decade for the returns."""
+    """What a caller may set: votes for the gems, titles and budgets per decade for the returns, how titles are stored."""
 
     min_votes: int = DEFAULT_MIN_VOTES
     min_rows: int = REPORT_MIN_ROWS
     min_budgets: int | None = None
+    stored_by_period: bool = False
 
 
 _VARIANTS: dict[str, Callable[[DataFrame, DataFrame, Limits], DataFrame]] = {
@@ -117,7 +118,9 @@ _VARIANTS: dict[str, Callable[[DataFrame, DataFrame, Limits], DataFrame]] = {
     "q1_detalle": lambda t, c, limits: top_share(t, c, entity="name", output="detail"),
     "q2": lambda t, c, limits: roi_by_decile(t, keep_null_period=True),
     "q3": lambda t, c, limits: debut_effect(c, entity="name", limit=LISTED_DEBUTS),
-    "q4": lambda t, c, limits: hidden_gems(t, limits.min_votes, limit=LISTED_GEMS),
+    "q4": lambda t, c, limits: hidden_gems(
+        t, limits.min_votes, limit=LISTED_GEMS, stored_by_period=limits.stored_by_period
+    ),
     "q5": lambda t, c, limits: _named(
         rating_stability(t, zero_weight="count", keep_null_period=True), mean="mean_va", std="sd_va"
     ),
@@ -136,7 +139,9 @@ _VARIANTS: dict[str, Callable[[DataFrame, DataFrame, Limits], DataFrame]] = {
     "debut": lambda t, c, limits: in_digits(_debut_report(c), REPORT_DIGITS),
     "hg": lambda t, c, limits: in_digits(
         _named(
-            hidden_gems(t, limits.min_votes, scope="all"), original_title="title", vc="votes"
+            hidden_gems(t, limits.min_votes, scope="all", stored_by_period=limits.stored_by_period),
+            original_title="title",
+            vc="votes",
         ),
         REPORT_DIGITS,
     ),
@@ -155,10 +160,12 @@ def run(
     min_votes: object = None,
     min_rows: int = REPORT_MIN_ROWS,
     min_budgets: int | None = None,
+    stored_by_period: bool = False,
 ) -> DataFrame:
     """The named analysis over a titles table.
 
-    Only ``q4`` and ``hg`` heed ``min_votes``, only ``roi`` the other two limits. Without
+    Only ``q4`` and ``hg`` heed ``min_votes`` and ``stored_by_period`` (see ``hidden_gems``),
+    only ``roi`` the other two limits. Without
     ``credits`` the companies listed in ``titles`` are used. ``q2``, ``q4``, ``roi`` and ``hg``
     start jobs of their own before the frame is returned, to find the ranks they need.
     """
@@ -166,7 +173,7 @@ def run(
         raise KeyError(f"unknown query {name!r}; available: {', '.join(_VARIANTS)}")
     if credits is None and "companies" in titles.columns:
         credits = explode_credits(titles)
-    return _VARIANTS[name](titles, credits, Limits(min_votes_of(min_votes), min_rows, min_budgets))
+    return _VARIANTS[name](titles, credits, Limits(min_votes_of(min_votes), min_rows, min_budgets, stored_by_period))
 
 
 def report(name: str, titles: DataFrame, credits: DataFrame | None = None, **limits: object) -> DataFrame:

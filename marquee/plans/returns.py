@@ -27,6 +27,11 @@ def _sizes(funded: DataFrame) -> DataFrame:
     )
 
 
+def budget_sizes(titles: DataFrame, width: int = 10, keep_null_period: bool = False) -> DataFrame:
+    """``decade, n_movies, n_budgets``: titles with a budget, those of them with a revenue first."""
+    return _sizes(_funded(titles, width, keep_null_period))
+
+
 def _gate(sizes: DataFrame, min_movies: int, min_budgets: int) -> DataFrame:
     enough = (F.col("n_movies") >= min_movies) & (F.col("n_budgets") >= min_budgets)
     return sizes.withColumn("enough", enough)

@@ -85,9 +85,12 @@ def write_titles(titles: DataFrame, path: str, mode: str = "error") -> None:
     """The titles as Parquet in one folder per period.
 
     The rebalancing merges small shuffle blocks and splits large ones, so a period that
-    holds most rows is written by many tasks and a rare one as a single file.
+    holds most rows is written by many tasks and a rare one as a single file. Each file is
+    sorted by rating, best first, so that a reader with a lower limit skips the row groups behind it.
     """
-    titles.hint("rebalance", "period").write.mode(mode).partitionBy("period").parquet(path)
+    best_first = [F.desc_nulls_last("vote_average")] if "vote_average" in titles.columns else []
+    spread = titles.hint("rebalance", "period").sortWithinPartitions("period", *best_first)
+    spread.write.mode(mode).partitionBy("period").parquet(path)
 
 
 def write_result(frame: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
