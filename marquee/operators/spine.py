@@ -19,8 +19,7 @@ def key_spine(frames: list[DataFrame], key: str) -> DataFrame:
 def side_by_side(frames: list[DataFrame], key: str) -> DataFrame:
     """The frames, each with at most one row for each key, as columns beside each other; a missing row is null.
 
-    The frames are read twice, for their keys and for their columns. Spark keeps what both have in common
-    where a shuffle can be used again.
+    The frames are read twice, for their keys and for their columns, so they should be tables.
     """
     out = key_spine(frames, key)
     for i, frame in enumerate(frames):

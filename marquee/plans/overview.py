@@ -9,6 +9,7 @@ from marquee.operators.spine import side_by_side
 from marquee.plans.concentration import top_share
 from marquee.plans.returns import budget_sizes
 from marquee.plans.shape import with_decade
+from marquee.scratch import small
 
 
 def period_overview(
@@ -18,7 +19,8 @@ def period_overview(
 
     ``total`` and ``top_share`` are those of ``top_share``, ``n_movies`` and ``n_budgets`` the sizes that
     ``roi_by_decile`` looks at, ``n_rated`` the titles with a rating and enough votes. An analysis
-    without the period counts as zero.
+    without the period counts as zero. Each analysis is computed once, before the frame is
+    returned, as its rows are read for their periods and for their columns.
     """
     shares = top_share(titles, credits, k, "summary", width=width)
     rated = (
@@ -27,7 +29,7 @@ def period_overview(
         .groupBy("decade")
         .agg(F.count("*").alias("n_rated"))
     )
-    found = side_by_side([shares, budget_sizes(titles, width), rated], "decade")
+    found = side_by_side([small(frame) for frame in (shares, budget_sizes(titles, width), rated)], "decade")
     return found.fillna(0, ["total", "top_share", "n_movies", "n_budgets", "n_rated"]).select(
         "decade", "total", "top_share", "n_movies", "n_budgets", "n_rated"
     ).orderBy("decade")
