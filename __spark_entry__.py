@@ -16,6 +16,7 @@ from marquee import report, roi_by_decile, roi_skipped, run, top_share, variants
 from marquee.functions import (
     blank_to_null,
     capped_bucket,
+    entities,
     entities_status,
     lead_by_pattern,
     lenient_date,
@@ -27,6 +28,8 @@ from marquee.functions import (
     period_of_date,
     period_of_year,
     prorate,
+    read_records,
+    status,
     year_of_text,
 )
 from marquee.operators.ranks import nearest_rank, values_at_ranks
@@ -37,7 +40,7 @@ from marquee.plans.gems import gem_limits
 from marquee.plans.ingest import as_declared, clean, ingest_to, split
 from marquee.plans.shape import in_digits, with_decade
 from marquee.schema import RAW_COLUMNS
-from marquee.scratch import scratch_path, written
+from marquee.scratch import scratch_path, spread, written
 from marquee.sources.catalog import create_database, register_table
 from marquee.sources.files import read_csv, write_csv, write_result, write_titles
 from marquee.sources.orders import order_credits, order_titles, table
@@ -567,11 +570,14 @@ def list_literals(spark: SparkSession, folder: str) -> DataFrame:
     kind, text = F.col("c_custkey") % len(forms), F.lit(None)
     for i, form in enumerate(forms):
         text = F.when(kind == i, F.format_string(form, "c_name")).otherwise(text)
-    texts = table(spark, folder, "customer").select("c_custkey", text.alias("text"))
-    named = F.get(parse_entities(F.col("text")), F.lit(0))
-    return texts.select(
-        "c_custkey", named["id"].alias("id"), named["name"].alias("name"), entities_status(F.col("text")).alias("status")
+    # Spelt and parsed by all tasks, however few splits the file has; each text is parsed once.
+    names = spread(table(spark, folder, "customer").select("c_custkey", "c_name"))
+    texts = names.select("c_custkey", text.alias("text"))
+    read = texts.withColumn("records", read_records(F.col("text")))
+    found = read.select(
+        "c_custkey", F.get(entities(F.col("records")), F.lit(0)).alias("named"), status(F.col("text"), F.col("records")).alias("status")
     )
+    return found.select("c_custkey", F.col("named.id").alias("id"), F.col("named.name").alias("name"), "status")
 
 
 def mixed_dates(spark: SparkSession, folder: str) -> DataFrame:

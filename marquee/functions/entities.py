@@ -7,6 +7,8 @@ read is cut into tokens, see ``_from_tokens``, which costs more and is tried for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +50,15 @@ _BETWEEN = "\u0001"
 _SHORT = {"n": r"\n", "t": r"\t", "r": r"\r", "b": r"\b", "f": r"\f", "a": r"\u0007", "v": r"\u000b", "\\": r"\\", "'": "'", '"': r"\"", "\n": ""}
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _quoted(plain: Column) -> Column:
-    """The text as it stands between the quotes of a JSON text."""
+    """The text as it stands between the quotes of a JSON text. Most need no change."""
     json = F.to_json(F.array(plain))
-    return F.substring(json, F.lit(3), F.length(json) - 4)
+    return F.when(plain.rlike(r'["\\\x00-\x1f]'), F.substring(json, F.lit(3), F.length(json) - 4)).otherwise(plain)
 
 
 def _code_point(point: Column) -> Column:
@@ -97,10 +104,9 @@ def _text_token(token: Column) -> Column:
 def _json_token(token: Column) -> Column:
     number = F.regexp_replace(token, r"(?<=\d)_(?=\d)|\A\+", "")
     words = {"None": "null", "True": "true", "False": "false"}
-    out = F.when(token.rlike(r"""['"]\z"""), _text_token(token))
+    out = F.when(token.isin(*"[]{}(),:"), token).when(token.rlike(r"""['"]\z"""), _text_token(token))
     for word, json in words.items():
         out = out.when(token == word, F.lit(json))
-    out = out.when(token.rlike(r"\A[\[\]{}(),:]\z"), token)
     return out.when(number.rlike(r"\A-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\z"), number)
 
 
@@ -112,6 +118,11 @@ def _from_tokens(text: Column) -> Column:
     """
     tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), _json_token)
     nothing_else = F.regexp_replace(text, rf"{_TOKEN}|\s+", "") == ""
+    return F.when(nothing_else, _once(tokens, _joined))
+
+
+def _joined(tokens: Column) -> Column:
+    """The tokens as one JSON text, null if one of them has none."""
     joined = F.array_join(tokens, _BETWEEN)
     # Texts that follow each other are one; a comma before a closing bracket goes.
     joined = F.replace(joined, F.lit(f'"{_BETWEEN}"'), F.lit(""))
@@ -121,7 +132,7 @@ def _from_tokens(text: Column) -> Column:
     joined = F.regexp_replace(joined, rf"(?<={_BETWEEN})\)(?={_BETWEEN})", "]")
     joined = F.regexp_replace(joined, rf",{_BETWEEN}(?=[\]}}])", "")
     whole = F.replace(joined, F.lit(_BETWEEN), F.lit(""))
-    return F.when(nothing_else & ~F.exists(tokens, lambda t: t.isNull()), whole)
+    return F.when(~F.exists(tokens, lambda t: t.isNull()), whole)
 
 
 def _records_of(json: Column) -> Column:
@@ -139,7 +150,7 @@ def read_records(text: Column) -> Column:
     # Escapes that mean something else in JSON, or nothing.
     escaped = text.contains("\\") & text.rlike(r"""(?<!\\)(?:\\\\)*\\[^\\'"ntrbfxu]""")
     usual = F.when(~escaped, _records_of(_as_json(text)))
-    return F.when(is_list, F.coalesce(usual, _records_of(_from_tokens(text))))
+    return F.when(is_list, F.coalesce(usual, _once(_from_tokens(text), _records_of)))
 
 
 def entities(records: Column, named_only: bool = True) -> Column:
@@ -148,9 +159,7 @@ def entities(records: Column, named_only: bool = True) -> Column:
     ``named_only`` drops records without a name; without it every record counts. ``ref`` is
     the text of an id that isn't a whole number, so that such entities can be told apart.
     """
-    present = F.filter(records, lambda r: r.isNotNull())
-    if named_only:
-        present = F.filter(present, lambda r: F.coalesce(r["name"], F.lit("")) != "")
+    present = F.filter(records, lambda r: (F.coalesce(r["name"], F.lit("")) != "") if named_only else r.isNotNull())
     typed = F.transform(
         present,
         lambda r: F.struct(

@@ -44,6 +44,16 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The same rows dealt evenly to many tasks, for costly work on rows that come from few splits.
+
+    A file's row group is read by one task, whatever follows the scan.
+    """
+    spark = frame.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return frame.repartition(tasks)
+
+
 def small(frame: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """A table computed now, for a join: fixed on the driver and marked for broadcast if it is small.
 
