@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,15 @@ def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS) -> DataF
     """
     date = lenient_date(F.col("release_date"), date_formats)
     year = year_of_text(strip_space(F.col("release_date")))
-    # The lists are read in a step of their own, as several columns come from them.
+    # The lists are read in a step of their own, as several columns come from them. Spark merges a step into the
+    # next one where its columns are used once, and evaluates what stands inside a lambda function's list uncompiled,
+    # so the check for null below, a second use, keeps the parsing in compiled code.
     read = raw.withColumns({f"_{name}": read_records(F.col(text)) for name, text in LISTS.items()})
+
+    def listed(name: str, named_only: bool) -> Column:
+        records = F.col(f"_{name}")
+        return F.when(records.isNull(), F.array()).otherwise(entities(records, named_only)).alias(name)
+
     failed = [
         F.when(
             status(F.col(text), F.col(f"_{name}")) == "unreadable",
@@ -52,8 +59,8 @@ def clean(raw: DataFrame, date_formats: tuple[str, ...] = DATE_FORMATS) -> DataF
         F.col("release_date").alias("release_date_raw"),
         *[lenient_double(F.col(c)).alias(c) for c in ("budget", "revenue", "popularity", "vote_average")],
         lenient_long(F.col("vote_count")).alias("vote_count"),
-        entities(F.col("_companies")).alias("companies"),
-        entities(F.col("_genres"), named_only=False).alias("genres"),
+        listed("companies", named_only=True),
+        listed("genres", named_only=False),
         F.coalesce(period_of_date(date), period_of_year(year)).alias("period"),
         F.array_compact(F.array(*failed)).alias("unreadable"),
     )

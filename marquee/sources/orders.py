@@ -19,21 +19,22 @@ def _hundredths(value: Column) -> Column:
     return F.floor(value * 100 + F.lit(0.5))
 
 
-def _keyed_titles(spark: SparkSession, folder: str, parts: bool) -> DataFrame:
+def keyed_titles(spark: SparkSession, folder: str, parts: bool = True, types: bool = False) -> DataFrame:
+    """``order_titles`` with ``o_orderkey``; ``types``, the set of the parts' types, can take the place of ``n_genres``."""
     lines = table(spark, folder, "lineitem")
     figures = [
         F.sum("l_quantity").alias("popularity"),
         F.sum(_hundredths(F.col("l_discount"))).alias("_percents"),
         F.count("*").alias("vote_count"),
     ]
+    added = []
     if parts:
         part = table(spark, folder, "part")
         lines = lines.join(part, lines["l_partkey"] == part["p_partkey"])
         cost = _hundredths(F.col("l_quantity")) * _hundredths(F.col("p_retailprice"))
-        figures += [
-            (F.sum(cost) / F.lit(10_000.0)).alias("budget"),
-            F.count_distinct("p_type").alias("n_genres"),
-        ]
+        kinds = F.collect_set("p_type").alias("types") if types else F.count_distinct("p_type").alias("n_genres")
+        figures += [(F.sum(cost) / F.lit(10_000.0)).alias("budget"), kinds]
+        added = ["budget", "types" if types else "n_genres"]
     per_order = lines.groupBy("l_orderkey").agg(*figures)
     orders = table(spark, folder, "orders")
     rating = F.floor(F.lit(10.0) * F.col("_percents") / F.col("vote_count")) / F.lit(10.0)
@@ -46,7 +47,7 @@ def _keyed_titles(spark: SparkSession, folder: str, parts: bool) -> DataFrame:
         "popularity",
         rating.alias("vote_average"),
         "vote_count",
-        *(["budget", "n_genres"] if parts else []),
+        *added,
     )
 
 
@@ -55,26 +56,39 @@ def order_titles(spark: SparkSession, folder: str, parts: bool = True) -> DataFr
 
     Orders without line items keep null figures.
     """
-    return _keyed_titles(spark, folder, parts).drop("o_orderkey")
+    return keyed_titles(spark, folder, parts).drop("o_orderkey")
 
 
-def order_credits(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
-    """One credit per order and supplier, with the title's figures and ``n_companies``."""
-    # One shuffle by order serves the distinct pairs and the count, which is dropped where unused.
-    pairs = (
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order's suppliers as ``o_orderkey, company_id``, every pair once."""
+    return (
         table(spark, folder, "lineitem")
         .where("l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL")
         .select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("company_id"))
         .repartition("o_orderkey")
         .distinct()
-        .withColumn("n_companies", F.count("*").over(Window.partitionBy("o_orderkey")))
     )
-    titles = _keyed_titles(spark, folder, parts)
-    names = table(spark, folder, "supplier").select(
+
+
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("company_id"), F.col("s_name").alias("company")
     )
+
+
+def order_companies(spark: SparkSession, folder: str) -> DataFrame:
+    """``o_orderkey, company_id, company`` of the credits, without the title's figures, which cost an aggregation."""
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return _pairs(spark, folder).join(orders, "o_orderkey").join(_names(spark, folder), "company_id")
+
+
+def order_credits(spark: SparkSession, folder: str, parts: bool = True) -> DataFrame:
+    """One credit per order and supplier, with the title's figures and ``n_companies``."""
+    # One shuffle by order serves the distinct pairs and the count, which is dropped where unused.
+    pairs = _pairs(spark, folder).withColumn("n_companies", F.count("*").over(Window.partitionBy("o_orderkey")))
+    titles = keyed_titles(spark, folder, parts)
     return (
         pairs.join(titles, "o_orderkey")
-        .join(names, "company_id")
+        .join(_names(spark, folder), "company_id")
         .drop("o_orderkey")
     )
