@@ -520,10 +520,9 @@ def csv_layouts(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_to_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Raw CSV whose overviews hold quotes and line ends, through the ingest to an analysis."""
-    titles, credits = order_titles(spark, folder, parts=False), order_credits(spark, folder, parts=False)
-    named = F.format_string("{'name': '%s', 'id': %s}", "company", "company_id")
-    lists = credits.groupBy("id").agg(F.array_join(F.collect_list(named), ", ").alias("_list"))
-    raw = titles.join(lists, "id", "left").select(
+    named = _filled("{'name': '%s', 'id': %s}", F.col("company"), F.col("company_id"))
+    lists = order_companies(spark, folder).groupBy("o_orderkey").agg(F.array_join(F.collect_list(named), ", ").alias("_list"))
+    raw = keyed_titles(spark, folder, parts=False).join(lists, "o_orderkey", "left").select(
         F.concat(F.lit('He said: "'), F.col("id"), F.lit('",\nand left.\n')).alias("overview"),
         "id",
         "original_title",

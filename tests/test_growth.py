@@ -57,7 +57,7 @@ def grabbed(monkeypatch, writer, name, spark, folder):
     return found[0]
 
 
-@pytest.mark.parametrize("writer, name", [("write_titles", "_catalogue")])
+@pytest.mark.parametrize("writer, name", [("write_titles", "_catalogue"), ("write_csv", "csv_to_shares")])
 def test_line_items_are_read_for_the_figures_and_the_companies(spark, folder, monkeypatch, writer, name):
     plan = plan_of(grabbed(monkeypatch, writer, name, spark, folder))
     assert len([line for line in plan.splitlines() if "Relation [l_orderkey#" in line]) == 2
