@@ -184,7 +184,11 @@ def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             found = _clustered(matrix, (low + high) / 2, size, radius, vectors)
         values += [value for value, _ in found]
-        vectors = np.vstack([vectors, *[vector for _, vector in found]])
+        for _, vector in found:
+            # A small eigenvalue beside large ones leaves the last digits of its vector to rounding; they are made orthogonal.
+            for _ in range(2):
+                vector = vector - vectors.T @ (vectors @ vector)
+            vectors = np.vstack([vectors, vector / np.linalg.norm(vector)])
     order = np.argsort(-np.array(values[:most]), kind="stable")
     return np.array(values)[order], vectors[order]
 
