@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.llm.batches import SpanHash, mixed, raw, runs, signed, slices
+from marquee.llm.batches import Places, SpanHash, mixed, raw, runs, signed, slices
 from marquee.llm.tables import Stored
 from marquee.scratch import written
 
@@ -57,8 +58,9 @@ MOST_WORDS = 1 << 18
 MOST_PAIRS = 1 << 19
 # Tokens of a task that are counted together before they are sent on.
 GATHER = 1 << 21
-# Dishes that are drawn at once.
+# Dishes that are drawn at once, and bytes of their rows.
 ROWS = 1 << 18
+MOST_BYTES = 1 << 28
 # Steps between equal cells of a logarithmic histogram of counts.
 _STEPS = 16
 
@@ -84,7 +86,10 @@ class Tokens:
 
     @property
     def classes(self) -> np.ndarray:
-        return (self.keys >> np.uint64(_HASH_BITS) & np.uint64(4095)).astype(np.int64)
+        return self.classes_of(slice(None))
+
+    def classes_of(self, which: np.ndarray | slice) -> np.ndarray:
+        return (self.keys[which] >> np.uint64(_HASH_BITS) & np.uint64(4095)).astype(np.int64)
 
 
 def tokens(texts: pa.Array, classes: int) -> Tokens:
@@ -121,18 +126,29 @@ class Lexicon:
         """Symbols: the end, the words, the classes. The context at the start comes after them."""
         return 1 + self.words + self.classes
 
+    @cached_property
+    def _places(self) -> Places:
+        return Places(self.keys)
+
+    @cached_property
+    def _symbols(self) -> np.ndarray:
+        """The last one is of all words that aren't among the frequent ones."""
+        return np.append(self.symbols, -1)
+
+    def __getstate__(self) -> dict:
+        """A task makes the tables itself; they aren't sent."""
+        return {name: self.__dict__[name] for name in ("keys", "counts", "symbols", "words", "classes")}
+
     def found(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key among the frequent words, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[place] == keys, place, -1)
+        return self._places.of(keys)
 
     def read(self, own: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token the place among the frequent words, the symbol, and the context."""
         place = self.found(own.keys)
-        symbol = np.append(self.symbols, -1)[place]
-        symbol = np.where(symbol < 0, 1 + self.words + own.classes, symbol)
+        symbol = self._symbols[place]
+        apart = np.flatnonzero(symbol < 0)
+        symbol[apart] = 1 + self.words + own.classes_of(apart)
         symbol[own.keys == END] = 0
         context = np.empty(len(symbol), np.int64)
         context[1:] = symbol[:-1]
@@ -265,7 +281,8 @@ class Draws:
             own = which[left]
             u, angle, accept = self.uniform(own), self.uniform(own), self.uniform(own)
             x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * angle)
-            v = (1 + c[left] * x) ** 3
+            v = 1 + c[left] * x
+            v = v * v * v
             good = v > 0
             safe = np.where(good, v, 1.0)
             good &= np.log(accept) < 0.5 * x * x + d[left] * (1 - safe + np.log(safe))
@@ -396,7 +413,8 @@ class Model:
         return -float(np.log10(self.tokens + self.distinct + 1))
 
 
-_STATE = "key bigint, context int, symbol int, c bigint, opened array<bigint>, tables bigint, t bigint"
+# ``opened`` holds 64-bit numbers: one value for Spark to move, however many tables there are.
+_STATE = "key bigint, context int, symbol int, c bigint, opened binary, tables bigint, t bigint"
 
 
 def _unigram(customers: np.ndarray, old: Seats | None, strength: float, seed: int) -> tuple[Seats | None, np.ndarray]:
@@ -564,26 +582,26 @@ class _Sweep:
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Many rows at a time: the steps for each table are few calls over long arrays."""
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = weight = 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-            if size >= ROWS:
-                yield self._batch(pa.concat_batches(held))
-                held, size = [], 0
+                weight += batch.nbytes
+            if size >= ROWS or weight >= MOST_BYTES:
+                yield from self._batches(pa.concat_batches(held))
+                held, size, weight = [], 0, 0
         if held:
-            yield self._batch(pa.concat_batches(held))
+            yield from self._batches(pa.concat_batches(held))
 
-    def _batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def _batches(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """``opened`` and ``tables`` are missing in the first round."""
         key, context, symbol, c = batch.columns[:4]
         context_, symbol_, c_ = context.to_numpy(), symbol.to_numpy(), c.to_numpy()
         old = None
         if batch.num_columns > 4:
-            opened = batch.column(4)
-            offsets = opened.offsets.to_numpy()
-            old = Seats(c_, opened.flatten().to_numpy().astype(np.int64), np.diff(offsets).astype(np.int64))
+            opened, offsets = raw(batch.column(4))
+            old = Seats(c_, opened.view(np.int64), np.diff(offsets) // 8)
         in_class = symbol_ < 0
         t = np.ones(len(c_), np.int64) if old is None else old.t
         parent = np.where(in_class, 1.0, self.probabilities[np.maximum(symbol_, 0)])
@@ -598,10 +616,16 @@ class _Sweep:
             flats[kind] = (np.repeat(own, new.sizes), new.opened)
         owner = np.concatenate([f[0] for f in flats])
         flat = np.concatenate([f[1] for f in flats])[np.argsort(owner, kind="stable")]
-        seats = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat, pa.int64()))
+        if flat.nbytes >= 1 << 31 and len(flat) > sizes.max():  # more than an array of bytes holds; seats don't depend on the batch
+            middle = len(sizes) // 2
+            for half in (batch.slice(0, middle), batch.slice(middle)):
+                yield from self._batches(half)
+            return
+        ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+        seats = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
         summed = (batch.column(5).to_numpy() if batch.num_columns > 4 else 0) + (sizes + 1) * self.sample
         columns = [key, context, symbol, c, seats, pa.array(summed, pa.int64()), pa.array(sizes + 1, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["key", "context", "symbol", "c", "opened", "tables", "t"])
+        yield pa.RecordBatch.from_arrays(columns, ["key", "context", "symbol", "c", "opened", "tables", "t"])
 
 
 def _picked(seats: Seats, which: np.ndarray) -> Seats:
@@ -647,6 +671,8 @@ def _scorer(model: Model) -> Callable:
     n_pairs = lexicon.size * (lexicon.size + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent_pairs = Places(model.pairs)
+        pair_gains = np.append(model.pair_gains, 0.0)
         for batch in batches:
             schema = pa.schema(
                 [
@@ -672,13 +698,10 @@ def _scorer(model: Model) -> Callable:
                 place, symbol, context = lexicon.read(own)
                 pair, known = lexicon.pair(context, symbol), place >= 0
                 score = np.log10(model.pair_default(context, symbol))
-                hot = np.zeros(len(pair), bool)
-                if len(model.pairs):
-                    found = np.minimum(np.searchsorted(model.pairs, pair), len(model.pairs) - 1)
-                    hot = model.pairs[found] == pair
-                    score += np.where(hot, model.pair_gains[found], 0.0)
-                apart = symbol > lexicon.words
-                score[apart] += np.log10(model.class_default(own.classes[apart]))
+                found = frequent_pairs.of(pair)
+                score += pair_gains[found]
+                apart = np.flatnonzero(symbol > lexicon.words)
+                score[apart] += np.log10(model.class_default(own.classes_of(apart)))
                 score += word_gains[place]
                 sums = {
                     "row": rows,
@@ -690,7 +713,8 @@ def _scorer(model: Model) -> Callable:
                 }
                 yield part_of(sums, n)
                 # Pairs and words that the task doesn't know.
-                both, counts = _summed(own.text[~hot] * np.int64(n_pairs) + pair[~hot])
+                cold = np.flatnonzero(found < 0)
+                both, counts = _summed(own.text[cold] * np.int64(n_pairs) + pair[cold])
                 text, key = np.divmod(both, n_pairs)
                 yield part_of({"row": rows[text], "key": key, "n": counts}, len(text))
                 rare = np.flatnonzero(~known)

@@ -14,7 +14,7 @@ import pytest
 from odd_tables import CLASHING, FOLDER
 from pyspark.sql import functions as F
 
-from marquee.llm import centroids, pitman_yor, queries, whitening
+from marquee.llm import batches, centroids, pitman_yor, queries, whitening
 
 NAN, INF = float("nan"), float("inf")
 
@@ -304,6 +304,65 @@ def test_what_tasks_know_does_not_change_scores(small):
         assert {i: r.n_known for i, r in other.items()} == {i: r.n_known for i, r in plain.items()}
 
 
+@pytest.mark.parametrize("kind", [np.uint64, np.int64])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1000, 1025])
+def test_places_of_numbers(n, kind):
+    """Numbers in a row, spread ones, and ones with equal places in the table, which clash."""
+    rng = np.random.default_rng(n)
+    inverse = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    clashing = [(i * inverse) % (1 << 64) for i in range(2 * n)]
+    for numbers in (range(2 * n), clashing, rng.choice(1 << 62, 2 * n, replace=False).tolist(), [(1 << 64) - 1 - i for i in range(2 * n)]):
+        every = rng.permutation(np.array(list(numbers), np.uint64)).view(kind)
+        keys, place = every[:n], {int(k): i for i, k in enumerate(every[:n])}
+        found = batches.Places(keys).of(np.concatenate([every, every]))
+        assert found.tolist() == [place.get(int(k), -1) for k in every] * 2
+
+
+def test_words_and_pairs_are_not_searched_for(small, monkeypatch):
+    """Tokens are looked up in steps that don't grow with what a task knows."""
+    model = pitman_yor.learnt(small.select("text"), words=4, classes=3)
+    texts = pa.array(["a b c zz a", "d e"])
+    plain = pitman_yor.tokens(texts, 3)
+    expected = [model.lexicon.keys.tolist().index(k) if k in model.lexicon.keys else -1 for k in plain.keys]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), texts, pa.StructArray.from_arrays([pa.array([0, 1])], ["id"])], ["row", "text", "kept"])
+    search, needles = np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *args, **kw: needles.append(np.ravel(a)) or search(a, v, *args, **kw))
+    assert model.lexicon.read(plain)[0].tolist() == expected
+    list(pitman_yor._scorer(model)(iter([batch])))
+    assert not any(np.array_equal(a, known) for a in needles for known in (model.lexicon.keys, model.pairs))
+    # Tables are made by a task, not sent to it.
+    assert not {"_places", "_symbols"} & set(model.lexicon.__getstate__())
+
+
+def test_rounds_hand_seats_on_as_bytes():
+    """Three rounds over rows in batches of all sizes are those over seats that are kept as they are."""
+    rng = np.random.default_rng(5)
+    n, n_contexts, classes = 300, 20, 4
+    keys, c = rng.choice(1 << 60, n, replace=False), rng.integers(2, 60, n)
+    context, symbol = rng.integers(0, n_contexts, n), rng.integers(0, 9, n)
+    in_class = np.arange(n) % 3 == 0
+    context[in_class], symbol[in_class] = n_contexts + rng.integers(0, classes, in_class.sum()), -1
+    tables, level = rng.integers(60, 90, n_contexts + classes), rng.uniform(0.01, 0.2, 9)
+    d, sizes = np.array([0.4, 0.6]), rng.integers(5, 9, classes)
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(context, pa.int32()), pa.array(symbol, pa.int32()), pa.array(c)], ["key", "context", "symbol", "c"])
+    parent = np.where(in_class, 1 / (sizes[np.maximum(context - n_contexts, 0) % classes] + 1), level[symbol])
+    state, plain, total = [rows], None, np.zeros(n, np.int64)
+    for round_ in range(3):
+        step = pitman_yor._Sweep(1.0, d, n_contexts, tables, level, sizes, round_, round_ >= 1)
+        state = [out.slice(i, 77) for out in step.run(iter(state)) for i in range(0, out.num_rows, 77)]
+        t, both = np.ones(n, np.int64) if plain is None else plain.t, {}
+        for kind in (False, True):
+            own = np.flatnonzero(in_class == kind)
+            base = 1.0 + d[int(kind)] * (tables[context[own]] - t[own])
+            new = pitman_yor.seated(keys[own], plain and pitman_yor._picked(plain, own), c[own], base, parent[own], d[int(kind)], round_)
+            both.update(zip(own.tolist(), np.split(new.opened, np.cumsum(new.sizes)[:-1]), strict=True))
+        plain = pitman_yor.Seats(c, np.concatenate([both[i] for i in range(n)]), np.array([len(both[i]) for i in range(n)]))
+        total += plain.t * (round_ >= 1)
+    out = pa.Table.from_batches(state)
+    assert [np.frombuffer(x, np.int64).tolist() for x in out["opened"].to_pylist()] == [both[i].tolist() for i in range(n)]
+    assert out["t"].to_pylist() == plain.t.tolist() and out["tables"].to_pylist() == total.tolist()
+
+
 def one_by_one(texts, rounds, seed, d=0.5):
     """Plain Gibbs sampling, a customer at a time, of the same two levels; strength one."""
     import random
